@@ -375,3 +375,32 @@ def hash_cuts(
     for r in rows:
         cuts[r["_g"]][r["i"]] = r["_h"]
     return cuts
+
+
+# --------------------------------------------------------------------------
+# position in a total order of any type
+# --------------------------------------------------------------------------
+
+
+def dense_codes(values: DataFrame, column: str, small_rows: int = SMALL_ROWS) -> DataFrame:
+    """Add `code`, the 0-based position of each (distinct) value in sort order.
+
+    Above `small_rows` the values are range-sorted into partitions and
+    materialised; a row's code is then its place in the partition plus the
+    rows of the partitions before it (one offset per partition).
+    """
+    from .session import cut_lineage
+
+    if values.count() <= small_rows:
+        return values.withColumn("code", F.row_number().over(Window.orderBy(q(column))) - 1)
+    placed = cut_lineage(values.orderBy(q(column))).withColumn("_id", F.monotonically_increasing_id())
+    placed = placed.withColumns(
+        {"_part": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}
+    )
+    sizes = placed.groupBy("_part").agg((F.max("_place") + 1).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # one row per partition of the sort
+    return placed.join(F.broadcast(offsets), "_part").select(
+        *[q(c) for c in values.columns], (F.col("_before") + F.col("_place")).cast("int").alias("code")
+    )
