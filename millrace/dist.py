@@ -351,12 +351,16 @@ def hash_cuts(
             (F.ceil("exact") if rounding == "ceil" else F.floor("exact")).cast("long"),
         )
         .where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("n")))
-        .select("_g", "_p", F.col("share.i").alias("i"), (F.col("rank") - F.col("before")).alias("local"))
+        .select(
+            F.col("_g").alias("_group"),
+            F.col("_p").alias("_prefix"),
+            F.col("share.i").alias("i"),
+            (F.col("rank") - F.col("before")).alias("local"),
+        )
     )
     # groups x shares rows: classes are few (checked by the callers' contract)
-    ranked = base.join(F.broadcast(places), [base["_p"] == places["_p"], base["_g"].eqNullSafe(places["_g"])]).select(
-        places["_g"], "i", "local", "_h"
-    )
+    same = [F.col("_p") == F.col("_prefix"), F.col("_g").eqNullSafe(F.col("_group"))]
+    ranked = base.join(F.broadcast(places), same).select("_g", "i", "local", "_h")
     # Equal keys share a hash, so copies are counted before the window.
     upto_here = (
         Window.partitionBy("_g", "i").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
