@@ -261,6 +261,24 @@ def running_totals(
     )
 
 
+def running_max(df: DataFrame, order: str, value: str, output: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Add the maximum of `value` over rows strictly before this one in `order`
+    (NULL at the start), by the same bucket scheme as `running_totals`."""
+    tagged = range_buckets(df, order, bucket_rows=bucket_rows)
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tagged.groupBy("_bucket").agg(F.max(q(value)).alias("_top")).select(
+        "_bucket", F.max("_top").over(before).alias("_ahead")
+    )
+    within = (
+        Window.partitionBy("_bucket").orderBy(q(order)).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    # greatest() skips NULLs; the offsets have at most MAX_BUCKETS rows
+    return tagged.join(F.broadcast(offsets), "_bucket").select(
+        *[q(c) for c in df.columns],
+        F.greatest(F.col("_ahead"), F.max(q(value)).over(within)).alias(output),
+    )
+
+
 def value_ranks(df: DataFrame, value: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per distinct non-NULL value: `n`, rows `before`, and `dense` index."""
     counts = (

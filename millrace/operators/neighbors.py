@@ -43,18 +43,37 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def block_distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
     """Distances between rows of a and b, NaN coordinates skipped and the sum
     scaled by all/present coordinates (NaN when none is shared)."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, BLOCK_CELLS // max(1, b.size))
-    for i in range(0, len(a), step):
-        diff = np.abs(a[i : i + step, None, :] - b[None, :, :])
-        if p == 2:
-            diff = diff * diff
-        shared = np.count_nonzero(~np.isnan(diff), axis=2)
-        total = np.nansum(diff, axis=2)
+    dims = a.shape[1]
+    total = np.zeros((len(a), len(b)))
+    gaps = bool(np.isnan(a).any() or np.isnan(b).any())
+    shared = np.zeros_like(total) if gaps else None
+    for j in range(dims):
+        diff = np.subtract.outer(a[:, j], b[:, j])
+        diff = diff * diff if p == 2 else np.abs(diff)
+        if gaps:
+            known = ~np.isnan(diff)
+            shared += known
+            diff = np.where(known, diff, 0.0)
+        total += diff
+    if gaps:
         with np.errstate(divide="ignore", invalid="ignore"):
-            total = np.where(shared > 0, total * (a.shape[1] / shared), np.nan)
-        out[i : i + step] = np.sqrt(total) if p == 2 else total
-    return out
+            total = np.where(shared > 0, total * (dims / shared), np.nan)
+    return np.sqrt(total) if p == 2 else total
+
+
+def smallest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k smallest finite entries of each row, ties by column."""
+    d = np.where(np.isnan(d), np.inf, d)
+    if d.shape[1] > k:
+        edge = np.partition(d, k - 1, axis=1)[:, k - 1]
+        rows, cols = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
+    else:
+        rows, cols = np.nonzero(np.isfinite(d))
+    order = np.lexsort((cols, d[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    first = np.searchsorted(rows, rows, side="left")
+    keep = np.arange(len(rows)) - first < k
+    return rows[keep], cols[keep]
 
 
 def _box_bounds(x: np.ndarray, cells: dict, p: int):
@@ -211,14 +230,15 @@ def nearest_rows(
         step = max(1, BLOCK_CELLS // len(b))
         for i in range(0, len(a_all), step):
             d = block_distances(a_all[i : i + step], b, p)
-            # rows are in id order, so a stable sort breaks ties by id
-            best = np.argsort(np.where(np.isnan(d), np.inf, d), axis=1, kind="stable")[:, :k]
-            dist = np.take_along_axis(d, best, 1)
-            ok = ~np.isnan(dist)
-            rep = np.repeat(q_all[i : i + step], ok.sum(axis=1))
+            at, best = smallest(d, k)  # rows of b are in id order
             out.append(
                 pd.DataFrame(
-                    {"query_id": rep, "neighbor_id": ids[best][ok], "distance": dist[ok], "payload": load_[best][ok]}
+                    {
+                        "query_id": q_all[i : i + step][at],
+                        "neighbor_id": ids[best],
+                        "distance": d[at, best],
+                        "payload": load_[best],
+                    }
                 )
             )
         return pd.concat(out)

@@ -6,13 +6,15 @@ duration_s and params (map of strings).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..dist import q
+from ..dist import q, running_max
+
+BLOCK_POINTS = 20_000
 
 def _complete() -> Column:
     return F.col("state") == "COMPLETE"
@@ -34,15 +36,11 @@ def history(trials: DataFrame, params: Sequence[str]) -> DataFrame:
 
 
 def best_so_far(trials: DataFrame, direction: str = "maximize") -> DataFrame:
-    """Running best over complete trials in trial order.
-
-    One study has a bounded number of trials (its budget), so one window task
-    is enough; with a `study` column each study is its own window.
-    """
-    part = ["study"] if "study" in trials.columns else []
-    order = Window.partitionBy(*part).orderBy("trial").rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.max if direction == "maximize" else F.min
-    return trials.where(_complete()).select(*part, "trial", "value", pick("value").over(order).alias("best"))
+    """(trial, value, best): running best over complete trials in trial order."""
+    sign = 1.0 if direction == "maximize" else -1.0
+    rows = trials.where(_complete()).select("trial", "value", (F.col("value") * F.lit(sign)).alias("_v"))
+    ahead = running_max(rows, "trial", "_v", "_ahead")
+    return ahead.select("trial", "value", (F.greatest("_ahead", "_v") * F.lit(sign)).alias("best"))
 
 
 def param_ranges(trials: DataFrame) -> DataFrame:
@@ -97,8 +95,8 @@ def pareto_front(trials: DataFrame, objectives: dict[str, str]) -> DataFrame:
     """Trials that no other trial matches in all objectives and beats in one.
 
     Two objectives need no pairs at all: in order of the first, a trial stays
-    when it beats the running best of the second.  More objectives compare
-    only with the few trials that survive inside each block, merged pairwise.
+    when it beats the running best of the second.  More objectives are reduced
+    in rounds of hash blocks, so only block fronts move on.
     """
     rows = trials.where(_complete())
     for c in objectives:
@@ -112,13 +110,9 @@ def pareto_front(trials: DataFrame, objectives: dict[str, str]) -> DataFrame:
     points = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
     if len(names) == 2:
         a, b = names
-        # best second objective per first objective, then a running maximum;
-        # a study has few distinct values of a metric compared with its rows
-        steps = points.groupBy(a).agg(F.max(b).alias(b))
-        ahead = Window.orderBy(F.col(a).desc()).rowsBetween(Window.unboundedPreceding, -1)
-        front = steps.withColumn("_seen", F.max(b).over(ahead)).where(
-            F.col("_seen").isNull() | (F.col(b) > F.col("_seen"))
-        ).select(a, b)
+        steps = points.groupBy(a).agg(F.max(b).alias(b)).withColumn("_down", -F.col(a))
+        ahead = running_max(steps, "_down", b, "_seen")
+        front = ahead.where(F.col("_seen").isNull() | (F.col(b) > F.col("_seen"))).select(a, b)
     else:
         front = _block_front(points, names)
     return rows.join(front, names, "left_semi").drop(*names)
@@ -140,9 +134,10 @@ def _block_front(points: DataFrame, names: Sequence[str]) -> DataFrame:
 
     schema = ", ".join(f"{n} double" for n in names)
     typed = points.select(*[F.col(n).cast("double").alias(n) for n in names])
-    blocks = 64
-    while blocks >= 1:
+    blocks = max(1, math.ceil(points.count() / BLOCK_POINTS))
+    while True:
         block = F.pmod(F.xxhash64(*names), F.lit(blocks)).alias("_block")
         typed = typed.groupBy(block).applyInPandas(front, schema)
-        blocks //= 8
-    return typed
+        if blocks == 1:
+            return typed
+        blocks = max(1, blocks // 8)
