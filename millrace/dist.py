@@ -279,16 +279,16 @@ def running_max(df: DataFrame, order: str, value: str, output: str, bucket_rows:
     )
 
 
-def value_ranks(df: DataFrame, value: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row per distinct non-NULL value: `n`, rows `before`, and `dense` index."""
+def value_ranks(df: DataFrame, column: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row per distinct non-NULL `value`: `n`, rows `before`, and `dense` index."""
     counts = (
-        df.where(q(value).isNotNull())
-        .groupBy(q(value).alias(value))
+        df.where(q(column).isNotNull())
+        .groupBy(q(column).alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("_one", F.lit(1).cast("long"))
     )
     return running_totals(
-        counts, value, {"before": "n", "dense": "_one"}, bucket_rows=bucket_rows
+        counts, "value", {"before": "n", "dense": "_one"}, bucket_rows=bucket_rows
     ).drop("_one")
 
 
@@ -299,7 +299,7 @@ def many_quantiles(df: DataFrame, column: str, levels: int) -> list[float]:
     falls on, so the cost does not grow with `levels`.
     """
     ranks = value_ranks(df, column).select(
-        q(column).cast("double").alias("v"), "before", (F.col("before") + F.col("n")).alias("after")
+        F.col("value").cast("double").alias("v"), "before", (F.col("before") + F.col("n")).alias("after")
     )
     n = df.select(F.count(q(column)).alias("n")).first()["n"]
     if n == 0:

@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..dist import BUCKET_ROWS, numeric_columns, q, running_totals, value_ranks
+from ..dist import BUCKET_ROWS, numeric_columns, q, running_totals
 
 PAIRS_PER_PASS = 400
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..dist import exact_quantiles, numeric_columns, q, string_columns
-from .profile import column_counts, iqr_bounds, missing_counts, per_column, value_counts
+from .profile import column_counts, iqr_bounds, missing_counts, per_column_outside, value_counts
 
 # ---- duplicates ------------------------------------------------------------
 
@@ -292,8 +292,6 @@ def fit_cleaner(df: DataFrame, target: str | None = None, strategy: str = "auto"
         report.append(("missing", c, counts[c]["missing"], "median"))
     for c, v in missing.imputer.text.items():
         report.append(("missing", c, counts[c]["missing"], "mode"))
-    from .profile import per_column_outside
-
     fenced = [c for c, b in clipper.bounds.items() if b[0] is not None]
     for r in per_column_outside(filled, fenced, clipper.bounds).where("outliers > 0").collect():
         bounds = f"[{r['lower']:.2f}, {r['upper']:.2f}]"

@@ -25,7 +25,8 @@ def _ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, flo
 def equal_width_bin(c: Column, lo: float, hi: float, bins: int) -> Column:
     """0-based bin of a value; the last bin is closed on the right."""
     width = (hi - lo) / bins
-    return F.least(F.floor((c.cast("double") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("long")
+    place = F.least(F.floor((c.cast("double") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
+    return F.when(c.isNotNull(), place).cast("long")
 
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 30) -> DataFrame:

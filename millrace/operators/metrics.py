@@ -156,7 +156,8 @@ def log_loss(df: DataFrame, label: str = "label", probability: str = "probabilit
     """Labels are 0-based positions in the probability array."""
     total = F.aggregate(q(probability), F.lit(0.0), lambda a, x: a + x)
     p = F.get(q(probability), q(label).cast("int")) / total
-    return df.agg(F.avg(-F.log(F.greatest(F.least(p, F.lit(1 - EPS)), F.lit(EPS)))).alias("log_loss"))
+    inner = F.greatest(F.least(p, F.lit(1 - EPS)), F.lit(EPS))
+    return df.agg(F.avg(F.when(p.isNotNull(), -F.log(inner))).alias("log_loss"))
 
 
 # ---- regression ------------------------------------------------------------------

@@ -39,6 +39,7 @@ from .metrics import (
 from .neighbors import knn_predict
 
 SEED = 42
+TASK_ROWS = 50_000
 
 
 @contextmanager
@@ -101,6 +102,13 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep").transform(df)
 
 
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """Iterative solvers run a job per step, so a small set is read by few
+    tasks; above TASK_ROWS per core nothing changes."""
+    tasks = math.ceil(rows / TASK_ROWS)
+    return df.coalesce(tasks) if tasks < df.sparkSession.sparkContext.defaultParallelism else df
+
+
 @dataclass
 class NeighborModel:
     """k nearest neighbours; keeps the training frame and joins at prediction."""
@@ -292,6 +300,7 @@ def fit_adaboost(df: DataFrame, features: Sequence[str], label: str, params: dic
     """
     rounds, rate = int(params.get("n_estimators", 100)), float(params.get("learning_rate", 1.0))
     work = assemble(df, features).select("_features", q(label).cast("double").alias("_y"), F.lit(1.0).alias("_w"))
+    work = cut_lineage(few_tasks(work, df.count()))
     trees, weights = [], []
     for i in range(rounds):
         total = work.agg(F.sum("_w")).first()[0]
@@ -352,7 +361,8 @@ def fit_model(
     if name == "svm":
         lift = fourier_features(train, features, int(params.get("components", 100)), params.get("gamma"))
     ready = lift(train) if lift else assemble(train, features)
-    model = estimator.fit(ready.withColumn(label, q(label).cast("double")))
+    ready = few_tasks(ready.select("_features", q(label).cast("double").alias(label)), n)
+    model = estimator.fit(ready)
     return FittedModel(name, task, features, model, classes, lift)
 
 
@@ -386,13 +396,15 @@ def all_scores(predictions: DataFrame, label: str, task: str) -> dict[str, float
     if task == "regression":
         row = regression_metrics(predictions, label).first().asDict()
     else:
-        counts = confusion_counts(predictions, label)
-        row = averaged_scores(counts).where("average = 'weighted'").first().asDict()
-        row.pop("average")
-        row["accuracy"] = accuracy(counts).first()[0]
         from .curves import auc
 
-        row["roc_auc"] = auc(predictions, label).first()[0]
+        # several small jobs read the predictions; keep just the scored columns
+        with cached(predictions.select(q(label), "prediction", "probability")) as scored:
+            with cached(confusion_counts(scored, label)) as counts:
+                row = averaged_scores(counts).where("average = 'weighted'").first().asDict()
+                row["accuracy"] = accuracy(counts).first()[0]
+            row["roc_auc"] = auc(scored, label).first()[0]
+        row.pop("average")
     return {k: float(v) for k, v in row.items() if v is not None}
 
 

@@ -66,7 +66,7 @@ def qq_points(
     """
     rows = with_residual(df, label, prediction).select("residual")
     n = rows.agg(F.count("residual")).first()[0]
-    ranks = value_ranks(rows, "residual", bucket_rows)
+    ranks = value_ranks(rows, "residual", bucket_rows).withColumnRenamed("value", "residual")
     chunk = F.lit(COPIES_PER_STEP)
     steps = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk)))
     pieces = ranks.select("residual", "n", "before", steps.alias("piece"))

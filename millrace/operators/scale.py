@@ -10,6 +10,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -279,7 +280,8 @@ class Scaler:
             df = _interpolate(df, c, f.knots, f.low_ref, f.high_ref, "_u")
             u = F.col("_u")
             if f.method == "quantile_normal":
-                df = df.withColumn("_u", F.greatest(F.least(u, F.lit(1 - 1e-7)), F.lit(1e-7)))
+                inner = F.greatest(F.least(u, F.lit(1 - 1e-7)), F.lit(1e-7))
+                df = df.withColumn("_u", F.when(u.isNotNull(), inner))
                 return df.withColumn(c, normal_quantile(u)).drop("_u")
             return df.withColumn(c, u).drop("_u")
 
@@ -304,8 +306,6 @@ class Scaler:
 
 
 def _normal_cdf():
-    import pandas as pd
-
     @F.pandas_udf("double")
     def cdf(x: pd.Series) -> pd.Series:
         return x.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2.0)), na_action="ignore")
@@ -375,7 +375,7 @@ def uniformity(df: DataFrame, column: str) -> tuple[float, float]:
     if not n or lo == hi:
         return math.nan, math.nan
     ranks = value_ranks(df.select(x.alias(column)), column)
-    cdf = (q(column) - F.lit(lo)) / F.lit(hi - lo)
+    cdf = (F.col("value") - F.lit(lo)) / F.lit(hi - lo)
     above = (F.col("before") + F.col("n")) / F.lit(n) - cdf
     below = cdf - F.col("before") / F.lit(n)
     d = ranks.agg(F.max(F.greatest(above, below))).first()[0]

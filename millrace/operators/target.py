@@ -147,9 +147,6 @@ def validate_target(df: DataFrame, target: str, problem_type: str) -> DataFrame:
     return _class_facts(df, target).select(message.isNull().alias("ok"), message.alias("message"))
 
 
-PRIORITY = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2)
-
-
 def recommend_cleaning(df: DataFrame, target: str | None = None) -> DataFrame:
     """Advice by rule, most urgent first: (priority, rule, action, column_name, strategy, reason)."""
     numeric = numeric_columns(df)
@@ -200,7 +197,8 @@ def recommend_cleaning(df: DataFrame, target: str | None = None) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.orderBy(PRIORITY, "rule", "column_name")
+    urgency = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2)
+    return out.orderBy(urgency, "rule", "column_name")
 
 
 def recommend_overall(df: DataFrame, task: str = "classification") -> DataFrame:

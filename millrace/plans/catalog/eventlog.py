@@ -50,7 +50,7 @@ def r1(spark, d):
 
 @query("r1_newest_per_session_stream", newest_sql(20))
 def r1b(spark, d):
-    kept = streaming.run_to_table(streaming.newest_candidates(log_stream(spark, d), keep=20), "append")
+    kept = streaming.run_to_table(streaming.newest_candidates(log_stream(spark, d), keep=20, salts=2), "append")
     return eventlog.newest_per_session(kept, 20).select("event_id", "session_id", "event_type")
 
 
