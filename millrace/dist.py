@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
 GRID = 500
+SPLIT_LEVELS = 1024
 BUCKET_ROWS = 250_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = SPLIT_LEVELS
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -69,6 +70,7 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     small_rows: int = SMALL_ROWS,
+    sizes: dict[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of each column, NULLs ignored.
 
@@ -77,13 +79,14 @@ def exact_quantiles(
     known to hold its rank; each pass counts the rows below and inside the
     bracket and sketches the inside, which shrinks it by two to three orders
     of magnitude.  A pass is one scan with map-side combining; nothing is
-    shuffled but the sketches.
+    shuffled but the sketches.  `sizes` are the non-NULL counts, if known.
     """
     columns, probs = list(columns), [float(p) for p in probs]
     if not columns:
         return {}
-    counts = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    sizes = {c: counts[f"n{i}"] for i, c in enumerate(columns)}
+    if sizes is None:
+        counts = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        sizes = {c: counts[f"n{i}"] for i, c in enumerate(columns)}
     small = [c for c in columns if sizes[c] <= small_rows]
     out: dict[str, list[float | None]] = {}
     if small:
@@ -193,15 +196,15 @@ def range_buckets(
     not affect results.  Row counts per bucket are near even as long as
     `order` holds distinct values, so callers pre-aggregate ties.
     """
-    n = df.count()
-    buckets = min(MAX_BUCKETS, math.ceil(n / bucket_rows))
+    levels = [i / SPLIT_LEVELS for i in range(1, SPLIT_LEVELS)]
+    facts = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx(q(order).cast("double"), levels, SKETCH_ACCURACY).alias("s"),
+    ).first()
+    buckets = min(MAX_BUCKETS, math.ceil(facts["n"] / bucket_rows))
     splits: list[float] = []
-    if buckets > 1:
-        levels = [i / buckets for i in range(1, buckets)]
-        found = df.agg(
-            F.percentile_approx(q(order).cast("double"), levels, SKETCH_ACCURACY).alias("s")
-        ).first()["s"]
-        splits = sorted(set(found or []))
+    if buckets > 1 and facts["s"]:
+        splits = sorted({facts["s"][round(i * SPLIT_LEVELS / buckets) - 1] for i in range(1, buckets)})
     if not splits:
         return df.withColumn(bucket, F.lit(0.0))
     cut = Bucketizer(

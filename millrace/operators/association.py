@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dist import BUCKET_ROWS, numeric_columns, q, running_totals
+from ..session import cached
 
 PAIRS_PER_PASS = 400
 
@@ -72,14 +73,14 @@ def spearman(df: DataFrame, a: str, b: str, bucket_rows: int = BUCKET_ROWS) -> D
     Ranks come from distinct values, so ties never travel; the two joins back
     are plain equi-joins on (x, y) counts that AQE splits when skewed.
     """
-    pairs = _pair_counts(df, a, b)
-    rx, ry = _ranked(pairs, "x", bucket_rows), _ranked(pairs, "y", bucket_rows)
-    rows = pairs.join(rx, "x").join(ry, "y")
-    total = pairs.agg(F.sum("n").alias("n")).first()["n"] or 0
-    mid = (total + 1) / 2  # the mean rank on both sides
-    dx, dy, n = F.col("rank_x") - mid, F.col("rank_y") - mid, F.col("n")
-    r = F.try_divide(F.sum(n * dx * dy), F.sqrt(F.sum(n * dx * dx) * F.sum(n * dy * dy)))
-    return rows.agg(r.alias("r")).select(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), "r")
+    with cached(_pair_counts(df, a, b)) as pairs:
+        rx, ry = _ranked(pairs, "x", bucket_rows), _ranked(pairs, "y", bucket_rows)
+        rows = pairs.join(rx, "x").join(ry, "y")
+        total = pairs.agg(F.sum("n").alias("n")).first()["n"] or 0
+        mid = (total + 1) / 2  # the mean rank on both sides
+        dx, dy, n = F.col("rank_x") - mid, F.col("rank_y") - mid, F.col("n")
+        r = F.try_divide(F.sum(n * dx * dy), F.sqrt(F.sum(n * dx * dx) * F.sum(n * dy * dy)))
+        return _one_pair(df, a, b, rows.agg(r.alias("r")).first()["r"])
 
 
 def kendall(df: DataFrame, a: str, b: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -91,7 +92,15 @@ def kendall(df: DataFrame, a: str, b: str, bucket_rows: int = BUCKET_ROWS) -> Da
     y are summed for each 1-side row.  That sum is a prefix sum over y, spread
     over range buckets; no pair of rows is ever formed.
     """
-    pairs = _pair_counts(df, a, b)
+    with cached(_pair_counts(df, a, b)) as pairs:
+        return _one_pair(df, a, b, _tau_b(pairs, bucket_rows))
+
+
+def _one_pair(df: DataFrame, a: str, b: str, r: float | None) -> DataFrame:
+    return df.sparkSession.createDataFrame([(a, b, r)], "left_column string, right_column string, r double")
+
+
+def _tau_b(pairs: DataFrame, bucket_rows: int) -> float | None:
     rx, ry = _ranked(pairs, "x", bucket_rows), _ranked(pairs, "y", bucket_rows)
     rows = pairs.join(rx.select("x", "dense_x"), "x").join(ry.select("y", "dense_y"), "y")
 
@@ -101,7 +110,7 @@ def kendall(df: DataFrame, a: str, b: str, bucket_rows: int = BUCKET_ROWS) -> Da
 
     n0, n3 = pairs.agg((F.sum("n").cast("double") * (F.sum("n").cast("double") - 1) / 2), tied("n")).first()
     n1 = rx.agg(tied("ties_x")).first()[0]
-    kx, n2 = ry.agg(F.max("dense_y"), tied("ties_y")).first()
+    n2 = ry.agg(tied("ties_y")).first()[0]
     top = rx.agg(F.max("dense_x")).first()[0] or 0
     bits = max(int(top).bit_length(), 1)
     level = F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))
@@ -122,12 +131,9 @@ def kendall(df: DataFrame, a: str, b: str, bucket_rows: int = BUCKET_ROWS) -> Da
     )
     n0 = n0 or 0.0
     scale = ((n0 - n1) * (n0 - n2)) ** 0.5
-    s = F.lit(n0 - n1 - n2 + n3) - F.lit(2.0) * F.col("d")
-    return discordant.select(
-        F.lit(a).alias("left_column"),
-        F.lit(b).alias("right_column"),
-        (s / F.lit(scale) if scale else F.lit(None).cast("double")).alias("r"),
-    )
+    if not scale:
+        return None
+    return (n0 - n1 - n2 + n3 - 2.0 * discordant.first()["d"]) / scale
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:

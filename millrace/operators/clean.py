@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..dist import exact_quantiles, numeric_columns, q, string_columns
+from ..session import cached
 from .profile import column_counts, iqr_bounds, missing_counts, per_column_outside, value_counts
 
 # ---- duplicates ------------------------------------------------------------
@@ -274,9 +275,17 @@ class FittedCleaner:
         )
 
 
-def fit_cleaner(df: DataFrame, target: str | None = None, strategy: str = "auto") -> FittedCleaner:
+def fit_cleaner(
+    df: DataFrame, target: str | None = None, strategy: str = "auto", report: bool = False
+) -> FittedCleaner:
     """Decide missing → outliers → constant → high cardinality on `df`, which
-    should already be without duplicates."""
+    should already be without duplicates.  Several small jobs read it, so it is
+    kept while they run."""
+    with cached(df) as kept:
+        return _fit_cleaner(kept, target, strategy, report)
+
+
+def _fit_cleaner(df: DataFrame, target: str | None, strategy: str, with_report: bool) -> FittedCleaner:
     counts = {r["column_name"]: r for r in missing_counts(df).collect()}
     missing = fit_missing(df, target, strategy)
     filled = missing.transform(df)
@@ -292,7 +301,7 @@ def fit_cleaner(df: DataFrame, target: str | None = None, strategy: str = "auto"
         report.append(("missing", c, counts[c]["missing"], "median"))
     for c, v in missing.imputer.text.items():
         report.append(("missing", c, counts[c]["missing"], "mode"))
-    fenced = [c for c, b in clipper.bounds.items() if b[0] is not None]
+    fenced = [c for c, b in clipper.bounds.items() if b[0] is not None] if with_report else []
     for r in per_column_outside(filled, fenced, clipper.bounds).where("outliers > 0").collect():
         bounds = f"[{r['lower']:.2f}, {r['upper']:.2f}]"
         report.append(("outliers", r["column_name"], r["outliers"], bounds))
@@ -310,7 +319,7 @@ def clean(df: DataFrame, target: str | None = None, strategy: str = "auto") -> D
 def cleaning_report(df: DataFrame, target: str | None = None, strategy: str = "auto") -> DataFrame:
     """(step, column_name, n, detail) of what `clean` does."""
     unique = drop_duplicates(df)
-    fitted = fit_cleaner(unique, target, strategy)
+    fitted = fit_cleaner(unique, target, strategy, report=True)
     repeats = df.groupBy(*[q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n")).agg(
         F.sum(F.col("n") - 1).alias("n")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,12 +23,16 @@ def impute_knn(df: DataFrame, row_id: str, columns: Sequence[str], k: int = 5) -
     holes = df.agg(*[F.count(F.when(q(c).isNull(), 1)).alias(c) for c in columns]).first()
     means = df.agg(*[F.avg(q(c).cast("double")).alias(c) for c in columns]).first()
     out = df
-    for c in columns:
-        if not holes[c] or means[c] is None:
-            continue
-        near = nearest_rows(
+    todo = [c for c in columns if holes[c] and means[c] is not None]
+
+    def neighbours(c: str) -> DataFrame:
+        return nearest_rows(
             df.where(q(c).isNull()), df.where(q(c).isNotNull()), columns, row_id, row_id, k, payload=c
         )
+
+    with ThreadPoolExecutor(max_workers=4) as pool:  # their small jobs overlap
+        found = list(pool.map(neighbours, todo))
+    for c, near in zip(todo, found):
         fill = near.groupBy(F.col("query_id").alias(row_id)).agg(F.avg("payload").alias("_fill"))
         out = (
             out.join(fill, row_id, "left")

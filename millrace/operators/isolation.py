@@ -50,18 +50,24 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[t
 def tree_samples(df: DataFrame, columns: Sequence[str], trees: int, sample: int, seed: int) -> DataFrame:
     """Up to `sample` rows for every tree, drawn by row hash.
 
-    A row is offered to each tree with a probability that yields about twice
-    the sample; ranks then keep the first `sample` per tree, which Spark
-    prunes before the shuffle.
+    A large table gives each tree rows of its own: one hash keeps about twice
+    the rows that all trees need and another deals them out.  A table smaller
+    than that offers every row to every tree.  Ranks then keep the first
+    `sample` per tree, which Spark prunes before the shuffle.
     """
     n = df.count()
-    share = min(1.0, 2.0 * sample / max(n, 1))
+    wanted = 2 * sample * trees
     row = F.xxhash64(*[q(c) for c in columns], F.monotonically_increasing_id())
     cells = df.select(F.array(*[q(c).cast("double") for c in columns]).alias("x"), row.alias("h"))
-    limit = int(share * (1 << 30))
-    drawn = cells.select("x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "h").withColumn(
-        "draw", F.xxhash64("h", "tree", F.lit(seed))
-    ).where(F.pmod("draw", F.lit(1 << 30)) < limit)
+    if n > wanted:
+        limit = int(wanted / n * (1 << 40))
+        drawn = cells.withColumn("draw", F.xxhash64("h", F.lit(seed)))
+        drawn = drawn.where(F.pmod("draw", F.lit(1 << 40)) < limit).withColumn(
+            "tree", F.pmod(F.xxhash64("draw"), F.lit(trees)).cast("int")
+        )
+    else:
+        every = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+        drawn = cells.select("x", "h", every).withColumn("draw", F.xxhash64("h", "tree", F.lit(seed)))
     order = Window.partitionBy("tree").orderBy("draw")
     return drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("tree", "x")
 
@@ -131,5 +137,6 @@ def flag_outliers(
         return df
     forest = fit_forest(df, columns, trees=trees, seed=seed)
     scored = df.withColumn("_score", anomaly_score(df.sparkSession, forest, columns))
-    limit = exact_quantiles(scored, ["_score"], [1.0 - contamination])["_score"][0]
+    size = {"_score": df.count()}
+    limit = exact_quantiles(scored, ["_score"], [1.0 - contamination], sizes=size)["_score"][0]
     return scored.withColumn("is_outlier", F.col("_score") > F.lit(limit)).drop("_score")

@@ -10,13 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml import Transformer
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
@@ -27,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..dist import q
-from ..session import cut_lineage
+from ..session import cached, cut_lineage
 from .metrics import (
     accuracy,
     averaged_scores,
@@ -42,16 +40,6 @@ SEED = 42
 TASK_ROWS = 50_000
 
 
-@contextmanager
-def cached(df: DataFrame):
-    """Keep a table that several fits read; Spark rebuilds lost blocks from lineage."""
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield kept
-    finally:
-        kept.unpersist()
-
-
 # ---- fitted models -------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from ..dist import nan_to_null, numeric_columns
 from ..operators.clean import FittedCleaner, drop_duplicates, fit_cleaner
 from ..operators.encode import Encoder, fit_encoder
 from ..operators.scale import Scaler, fit_scaler
+from ..session import cached
 
 # preset → (cleaning strategy or None, encoding strategy, scaling method or None)
 PRESETS = {
@@ -38,20 +39,19 @@ def fit_preprocessor(
 ) -> Preprocessor:
     """`keep` names columns (row ids) that pass through without scaling."""
     strategy, encoding, scaling = PRESETS[preset]
-    unique = drop_duplicates(nan_to_null(df))
-    cleaner = fit_cleaner(unique, target, strategy)
-    cleaned = cleaner.transform(unique)
-    encoder = fit_encoder(cleaned, target=target, strategy=encoding)
-    scaler = None
-    if scaling:
-        scaled = [c for c in numeric_columns(cleaned) if c != target and c not in keep]
-        picked = cleaned.select(*scaled)
-        methods = scaling if scaling == "auto" else {c: scaling for c in scaled}
-        scaler = fit_scaler(picked, methods)
+    with cached(drop_duplicates(nan_to_null(df))) as unique:
+        cleaner = fit_cleaner(unique, target, strategy)
+        cleaned = cleaner.transform(unique)
+        encoder = fit_encoder(cleaned, target=target, strategy=encoding)
+        scaler = None
+        if scaling:
+            scaled = [c for c in numeric_columns(cleaned) if c != target and c not in keep]
+            picked = cleaned.select(*scaled)
+            methods = scaling if scaling == "auto" else {c: scaling for c in scaled}
+            scaler = fit_scaler(picked, methods)
     return Preprocessor(cleaner, encoder, scaler)
 
 
 def preprocess(df: DataFrame, target: str | None = None, preset: str = "standard", keep: Sequence[str] = ()) -> DataFrame:
     """Fit on the table without its duplicates and transform that same table."""
-    unique = drop_duplicates(nan_to_null(df))
-    return fit_preprocessor(unique, target, preset, keep).transform(unique)
+    return fit_preprocessor(df, target, preset, keep).transform(drop_duplicates(nan_to_null(df)))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -54,3 +56,17 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+@contextmanager
+def cached(df: DataFrame):
+    """Keep a table that several jobs read; Spark rebuilds lost blocks from
+    lineage.  A table that is kept already stays so."""
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+        yield df
+        return
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
