@@ -27,7 +27,7 @@ SMALL_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
 GRID = 500
 SPLIT_LEVELS = 1024
-BUCKET_ROWS = 250_000
+BUCKET_ROWS = 50_000
 MAX_BUCKETS = SPLIT_LEVELS
 
 
@@ -145,14 +145,17 @@ def _bracketed_quantiles(df, columns, probs, sizes, small_rows) -> dict[str, lis
         todo = [b for b in brackets if not b.closed and b.inside > small_rows]
         if not todo:
             break
+        # brackets of one column that still coincide share a sketch
+        shared = {(b.column, b.lo, b.hi): b for b in todo}
+        names = {k: f"g{i}" for i, k in enumerate(shared)}
         sketches = df.agg(
             *[
-                F.percentile_approx(b.inside_value(), levels, SKETCH_ACCURACY).alias(f"g{i}")
-                for i, b in enumerate(todo)
+                F.percentile_approx(b.inside_value(), levels, SKETCH_ACCURACY).alias(names[k])
+                for k, b in shared.items()
             ]
         ).first()
-        for i, b in enumerate(todo):
-            b.narrow(sketches[f"g{i}"])
+        for b in todo:
+            b.narrow(sketches[names[b.column, b.lo, b.hi]])
         counts = df.agg(
             *[
                 e
@@ -298,26 +301,32 @@ def value_ranks(df: DataFrame, column: str, bucket_rows: int = BUCKET_ROWS) -> D
 def many_quantiles(df: DataFrame, column: str, levels: int) -> list[float]:
     """`levels` evenly spaced exact quantiles (0 … 1) of one column.
 
-    Ranks every distinct value once and keeps the few rows that a wanted rank
-    falls on, so the cost does not grow with `levels`.
+    Ranks every distinct value once.  Level i falls on rank i (n-1) / (levels-1),
+    so each value computes from its own rank range which few levels can touch
+    it; the cost does not grow with `levels`.
     """
-    ranks = value_ranks(df, column).select(
-        F.col("value").cast("double").alias("v"), "before", (F.col("before") + F.col("n")).alias("after")
-    )
     n = df.select(F.count(q(column)).alias("n")).first()["n"]
     if n == 0:
         return []
-    wanted = [i * (n - 1) / (levels - 1) for i in range(levels)]
-    edges = sorted({math.floor(w) for w in wanted} | {math.ceil(w) for w in wanted})
-    hit = F.expr("filter(edges, e -> e >= before AND e < after)")
+    last = levels - 1
+    after = F.col("before") + F.col("n")
+    scale = F.lit(last / max(n - 1, 1))
+    first_level = F.greatest(F.lit(0), F.floor(F.col("before") * scale) - 1)
+    last_level = F.least(F.lit(last), F.ceil(after * scale) + 1)
+    exact = F.col("i") * F.lit(float(n - 1)) / F.lit(float(last))
     rows = (
-        ranks.withColumn("edges", F.lit(edges).cast("array<long>"))
-        .select("v", F.explode(hit).alias("rank"))
+        value_ranks(df, column)
+        .select("value", "before", after.alias("after"), F.explode(F.sequence(first_level, last_level)).alias("i"))
+        .select("value", "before", "after", F.explode(F.array(F.floor(exact), F.ceil(exact))).alias("rank"))
+        .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("after")))
+        .select("rank", F.col("value").cast("double").alias("v"))
+        .distinct()
         .collect()  # at most 2 * levels rows
     )
     at = {r["rank"]: r["v"] for r in rows}
     out = []
-    for w in wanted:
+    for i in range(levels):
+        w = i * float(n - 1) / float(last)
         lo, hi = at[math.floor(w)], at[math.ceil(w)]
         out.append(lo + (hi - lo) * (w - math.floor(w)))
     return out

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dist import q
+from ..session import kernel_tasks
 from .neighbors import block_distances
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1024
 
 
 def silhouette(
@@ -60,9 +61,11 @@ def silhouette(
             }
         )
 
+    tasks = kernel_tasks(df.sparkSession)
     totals = (
-        left.groupBy("i", "j")
-        .cogroup(right.groupBy("i", "j"))
+        left.repartition(tasks, "i", "j")
+        .groupBy("i", "j")
+        .cogroup(right.repartition(tasks, "i", "j").groupBy("i", "j"))
         .applyInPandas(sums, "row_id long, own string, cluster string, total double")
         .groupBy("row_id", "own", "cluster")
         .agg(F.sum("total").alias("total"))

@@ -10,7 +10,7 @@ from pyspark.ml.feature import CountVectorizer, IDF, RegexTokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..dist import SMALL_ROWS, exact_quantiles, many_quantiles, numeric_columns, q
+from ..dist import exact_quantiles, many_quantiles, numeric_columns, q
 
 
 def date_features(df: DataFrame, column: str) -> DataFrame:
@@ -120,9 +120,8 @@ def bin_quantile(df: DataFrame, column: str, bins: int = 10, output: str | None
 
 
 def even_quantiles(df: DataFrame, column: str, levels: int) -> list[float]:
-    """Evenly spaced exact quantiles, one aggregate while the column is small."""
-    n = df.select(F.count(q(column))).first()[0]
-    if n <= SMALL_ROWS:
+    """Evenly spaced exact quantiles: a few by `exact_quantiles`, many by ranks."""
+    if levels <= 50:
         probs = [i / (levels - 1) for i in range(levels)]
         return exact_quantiles(df, [column], probs)[column]
     return many_quantiles(df, column, levels)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..dist import exact_quantiles, numeric_columns, q
+from ..session import spread
 
 TREE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, length double"
 
@@ -136,7 +137,8 @@ def flag_outliers(
     if len(columns) <= 2:
         return df
     forest = fit_forest(df, columns, trees=trees, seed=seed)
+    n = df.count()
+    df = spread(df, n)
     scored = df.withColumn("_score", anomaly_score(df.sparkSession, forest, columns))
-    size = {"_score": df.count()}
-    limit = exact_quantiles(scored, ["_score"], [1.0 - contamination], sizes=size)["_score"][0]
+    limit = exact_quantiles(scored, ["_score"], [1.0 - contamination], sizes={"_score": n})["_score"][0]
     return scored.withColumn("is_outlier", F.col("_score") > F.lit(limit)).drop("_score")

@@ -22,10 +22,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..dist import q
+from ..session import kernel_tasks
 
 CELL_ROWS = 2048
 MAX_CELLS = 1024
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 2048
 VISITS_PER_CHUNK = 16384
 BLOCK_CELLS = 2_000_000
 
@@ -244,9 +245,11 @@ def nearest_rows(
         return pd.concat(out)
 
     keys = ["cell", "part", "team"]
+    tasks = kernel_tasks(spark)
     found = (
-        visitors.groupBy(*keys)
-        .cogroup(rows.groupBy(*keys))
+        visitors.repartition(tasks, *keys)
+        .groupBy(*keys)
+        .cogroup(rows.repartition(tasks, *keys).groupBy(*keys))
         .applyInPandas(block, "query_id long, neighbor_id long, distance double, payload double")
     )
     best = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")

@@ -58,6 +58,18 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def kernel_tasks(spark: SparkSession) -> int:
+    """Tasks for Python kernels: an explicit number, because their small inputs
+    would otherwise be merged into few tasks while the work is in the compute."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, rows: int, small: int = 5_000_000) -> DataFrame:
+    """A small table may sit in one file split, which leaves a Python kernel on
+    one core; it is dealt out to all.  Larger tables arrive split and stay."""
+    return df.repartition(kernel_tasks(df.sparkSession)) if rows <= small else df
+
+
 @contextmanager
 def cached(df: DataFrame):
     """Keep a table that several jobs read; Spark rebuilds lost blocks from

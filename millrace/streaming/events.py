@@ -62,6 +62,7 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
         last.append(batch)
 
     run_available(stream, mode, write)
+    last = sorted(set(last))
     if not last:
         return spark.createDataFrame([], schema)
     reader = spark.read.schema(schema)
