@@ -105,12 +105,13 @@ def e9(spark, d):
 
 @query("e9_auto_transform", """SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS l_linestatus,
 CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS "l_returnflag_N", CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS "l_returnflag_R",
-round(prior * (1 - w) + m * w, 6) AS l_ship, l_quantity FROM lineitem JOIN (SELECT l_suppkey % 40 AS s, avg(l_quantity) AS m,
-1 / (1 + exp(-(count(*) - 20) / 1.0)) AS w FROM lineitem GROUP BY 1) ON s = l_suppkey % 40, (SELECT avg(l_quantity) AS prior FROM lineitem)""")
+round(prior * (1 - w) + m * w, 4) AS quantity_class, l_extendedprice FROM lineitem JOIN (SELECT l_quantity AS s, avg(l_extendedprice) AS m,
+1 / (1 + exp(-(count(*) - 20) / 1.0)) AS w FROM lineitem GROUP BY 1) ON s = l_quantity, (SELECT avg(l_extendedprice) AS prior FROM lineitem)""")
 def e9b(spark, d):
     df = table(spark, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag", (F.col("l_suppkey") % 40).cast("string").alias("l_ship"), "l_quantity")
-    return rounded(encode.fit_encoder(df, target="l_quantity").transform(df))
+        "l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag",
+        F.col("l_quantity").cast("int").cast("string").alias("quantity_class"), "l_extendedprice")
+    return rounded(encode.fit_encoder(df, target="l_extendedprice").transform(df), 4, ["quantity_class"])
 
 
 @query("e10_encoding_report", """SELECT 'o_orderstatus' AS column_name, 'onehot' AS method, count(DISTINCT o_orderstatus) - 1 AS categories, count(DISTINCT o_orderstatus) - 1 AS features FROM orders
