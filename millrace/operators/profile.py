@@ -7,7 +7,6 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..dist import datetime_columns, exact_quantiles, numeric_columns, q, string_columns

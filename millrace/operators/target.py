@@ -14,7 +14,6 @@ from .profile import (
     feature_roles,
     missing_report,
     outlier_report,
-    percent,
     varying_scales,
 )
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ...operators import ensemble, models, reports, trials, tune
 from ...operators.split import train_test_split
-from .base import PREDS_CLS_SQL, class_predictions, query, rounded, table, union_sql
+from .base import PREDS_CLS_SQL, class_predictions, query, rounded, table
 
 FEATURES = ["qty", "price", "n_lines", "disc", "tax"]
 KEY = "o_orderkey"
@@ -200,9 +200,6 @@ def n1(spark, d):
     return mixed.groupBy("label", ensemble.top_class(F.col("p")).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
 
 
-HARD = "CASE WHEN w0 >= w1 AND w0 >= w2 THEN 0 WHEN w1 >= w2 THEN 1 ELSE 2 END"
-
-
 @query("n1_hard_voting", """WITH l AS (SELECT l_linenumber % 3 AS a, l_suppkey % 3 AS b, l_partkey % 3 AS c FROM lineitem),
 v AS (SELECT a, b, c, list_transform(range(3), lambda k: CASE WHEN a = k THEN 1.0 ELSE 0 END + CASE WHEN b = k THEN 1.5 ELSE 0 END + CASE WHEN c = k THEN 1.0 ELSE 0 END) AS s FROM l)
 SELECT a, b, c, CAST(list_position(s, list_max(s)) - 1 AS DOUBLE) AS prediction, count(*) AS n FROM v GROUP BY ALL""")
@@ -251,9 +248,6 @@ def n4(spark, d):
     return ensemble_query(spark, d, lambda a: ensemble.fit_multi_level(a, [REG_BASES, [("line", "ridge", {})]], FEATURES, "charge", "regression", KEY, folds=3), "charge", "regression")
 
 
-SCORES_SQL = "SELECT o_orderpriority AS model, {e} AS value FROM orders WHERE {w} GROUP BY 1"
-
-
 @query("n5_compare_all", "SELECT 'Base_' || model AS model, round(value, 6) AS value FROM (SELECT o_orderpriority AS model, avg(o_totalprice) / 500000 AS value FROM orders GROUP BY 1) UNION ALL SELECT 'Ensemble_' || model, round(value, 6) FROM (SELECT o_orderstatus AS model, avg(o_totalprice) / 400000 AS value FROM orders GROUP BY 1)")
 def n5(spark, d):
     orders = table(spark, d, "orders")
