@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import decontaminate, minhash, mixing, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +56,73 @@ FROM documents d LEFT JOIN sizes ON sizes.id = d.doc_id LEFT JOIN least ON least
 @query("op1_bbit_minhash", NEAR_DUPLICATES_SQL)
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op3_ftrl_toxicity")
+def toxic(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+SUBSTRINGS_SQL = r"""WITH cut AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM cut WHERE len(w) >= 50),
+hashed AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM windows),
+least AS (SELECT h, min(doc_id) AS m FROM hashed GROUP BY h),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM hashed JOIN least USING (h) WHERE m < doc_id),
+gone_list AS (SELECT doc_id, count(*) AS n, list(k) AS ks FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_transform(
+    list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(ks, k)), lambda k: w[k]), ' ') END) AS kept_sha256
+FROM cut LEFT JOIN gone_list USING (doc_id)"""
+
+
+@query("op6_fm_substrings", SUBSTRINGS_SQL)
+def repeated_words(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    cut = substrings.remove_repeated(docs, removed_col="n_removed")
+
+    def run(batches):
+        for batch in batches:
+            kept = [(t or "").encode().split() for t in batch.column("text").to_pylist()]
+            lost = batch.column("n_removed").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array([len(k) + int(n) for k, n in zip(kept, lost)], pa.int64()),
+                    batch.column("n_removed"),
+                    pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for k in kept]),
+                ],
+                names=["doc_id", "n_words", "n_removed", "kept_sha256"],
+            )
+
+    return cut.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+@query("op2_soft_mixing")
+def mixture(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    mixed = mixing.mix_by_quality(docs, table(spark, folder, "labels"))
+    return mixed.select("doc_id", "domain", "n_tokens", "rate")
+
+
+LEAKS_SQL = rf"""WITH src AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark),
+{SHINGLES_SQL},
+items AS (SELECT -1 - id AS item_id, s FROM shingles WHERE id < 0),
+sizes AS (SELECT item_id, count(*) AS n FROM items GROUP BY item_id)
+SELECT d.id AS doc_id, item_id, count(*) AS n_shared, any_value(n) AS n_item, count(*) / any_value(n) AS containment
+FROM shingles d JOIN items USING (s) JOIN sizes USING (item_id) WHERE d.id >= 0
+GROUP BY d.id, item_id HAVING count(*) * 100 >= any_value(n) * 75"""
+
+
+@query("op5_minhash_containment", LEAKS_SQL)
+def leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
