@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, mixing, substrings, toxicity
+from millrace.session import scratch_path
+
+from . import chat, decontaminate, minhash, mixing, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +128,66 @@ GROUP BY d.id, item_id HAVING count(*) * 100 >= any_value(n) * 75"""
 @query("op5_minhash_containment", LEAKS_SQL)
 def leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+CHAT_SQL = r"""WITH src AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+clean AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM src),
+marked AS (SELECT *, regexp_replace(replace(text, '\', '\\'), '(<\||</s>|<s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>)', '~\1', 'g') AS e FROM clean),
+texts AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS t,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS l,
+    sum(12 + length(role) + 1 + length(e) + 11) AS f
+  FROM marked GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(l) AS loss_chars, sha256(l) AS loss_sha256,
+  CAST(f AS BIGINT) AS formatted_chars FROM texts"""
+
+
+@query("op7_schema_chat", CHAT_SQL)
+def chats(spark: SparkSession, folder: str) -> DataFrame:
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    formatted = chat.format_turns(chat.canonical_turns(chat.as_records(rows)))
+    turns, loss = chat.read_turns(F.col("formatted")), chat.masked_text(F.col("formatted"), F.col("loss_spans"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    back = formatted.select("conv_id", "fingerprint", "formatted", turns.alias("turns"), loss.alias("loss"))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+WARC_SQL = """WITH rows AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+sized AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM rows),
+owned AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS o FROM sized)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> o THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> o THEN o END AS refers_to FROM owned"""
+
+
+@query("op8_warc_archive", WARC_SQL)
+def archive(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archive(table(spark, folder, "pages"), path)
+    records = warc.read_archive(spark, path)
+    page = F.regexp_extract(warc.header_field("WARC-Record-ID"), ":([0-9-]+)>", 1)
+    refers = F.regexp_extract(warc.header_field("WARC-Refers-To"), ":([0-9-]+)>", 1)
+    return records.select(
+        F.when(page != "", page).cast("long").alias("page_id"),
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.when(F.col("verified"), F.col("digest")).alias("payload_digest"),
+        warc.header_field("WARC-Type").alias("record_type"),
+        F.when(refers != "", refers).cast("long").alias("refers_to"),
+    )
