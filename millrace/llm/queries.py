@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import scratch_path
 
-from . import chat, decontaminate, minhash, mixing, substrings, toxicity, warc
+from . import chat, decontaminate, itq, language, minhash, mixing, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -191,3 +191,31 @@ def archive(spark: SparkSession, folder: str) -> DataFrame:
         warc.header_field("WARC-Type").alias("record_type"),
         F.when(refers != "", refers).cast("long").alias("refers_to"),
     )
+
+
+@query("op9_subword_language")
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held = toxicity.held_out(F.col("doc_id"), 4, 2)
+    model = language.fit(docs.where(~held))
+    found = language.predict(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+COSINE_SQL = """WITH RECURSIVE v AS (
+  SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+some AS (SELECT * FROM v WHERE list_dot_product(e, e) > 0),
+links AS (SELECT x.id AS a, y.id AS b FROM some x JOIN some y ON x.id <> y.id AND len(x.e) = len(y.e)
+          WHERE list_cosine_similarity(x.e, y.e) >= 0.9),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings LEFT JOIN counts ON counts.a = vec_id LEFT JOIN least ON least.a = vec_id"""
+
+
+@query("op10_itq_vectors", COSINE_SQL)
+def near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, folder, "embeddings"))
