@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import scratch_path
 
-from . import chat, decontaminate, itq, language, minhash, mixing, substrings, toxicity, warc
+from . import chat, decontaminate, itq, language, minhash, mixing, substrings, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -219,3 +219,25 @@ FROM embeddings LEFT JOIN counts ON counts.a = vec_id LEFT JOIN least ON least.a
 @query("op10_itq_vectors", COSINE_SQL)
 def near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return itq.near_duplicates(table(spark, folder, "embeddings"))
+
+
+#: fixed values: rules of the contract
+RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+@query("op4_path_templates")
+def filtered(spark: SparkSession, folder: str) -> DataFrame:
+    """A page's label is that of the document whose number its url ends with: bad if toxic or of low quality."""
+    labels = table(spark, folder, "labels").groupBy("doc_id").agg(
+        F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)).alias("bad")
+    )
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    number = F.regexp_extract(urls.host_and_path(F.col("url"))[1], "/([0-9]{1,18})(?:\\.html)?/?$", 1)
+    pages = pages.withColumn("doc_id", F.when(number != "", number).cast("long")).join(labels, "doc_id", "left")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urls.judge(pages, rules)
