@@ -72,21 +72,25 @@ def exact_quantiles(
     small_rows: int = SMALL_ROWS,
     sizes: dict[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of each column, NULLs ignored.
+    """Linearly interpolated quantiles of each column; NULL and NaN are missing.
 
     Up to `small_rows` non-NULL rows one `percentile` aggregate answers
     directly.  Beyond that every (column, quantile) keeps a bracket of values
     known to hold its rank; each pass counts the rows below and inside the
     bracket and sketches the inside, which shrinks it by two to three orders
     of magnitude.  A pass is one scan with map-side combining; nothing is
-    shuffled but the sketches.  `sizes` are the non-NULL counts, if known.
+    shuffled but the sketches.  `sizes` are the non-NULL counts, if known;
+    columns that may hold NaN are counted here all the same.
     """
-    columns, probs = list(columns), [float(p) for p in probs]
+    columns, probs = list(dict.fromkeys(columns)), [float(p) for p in probs]
     if not columns:
         return {}
-    if sizes is None:
-        counts = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-        sizes = {c: counts[f"n{i}"] for i, c in enumerate(columns)}
+    df = nan_to_null(df.select(*[q(c) for c in columns]))
+    kinds, sizes = dict(df.dtypes), dict(sizes or {})
+    unsure = [c for c in columns if c not in sizes or kinds[c] in ("float", "double")]
+    if unsure:
+        counts = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(unsure)]).first()
+        sizes |= {c: counts[f"n{i}"] for i, c in enumerate(unsure)}
     small = [c for c in columns if sizes[c] <= small_rows]
     out: dict[str, list[float | None]] = {}
     if small:
@@ -350,7 +354,7 @@ def hash_cuts(
     shares: Sequence[tuple[int, int]],
     by: str | None = None,
     rounding: str = "floor",
-    digits: int = 4,
+    digits: int | None = None,
 ) -> dict:
     """md5 values that cut the hash order at exact ranks.
 
@@ -361,7 +365,11 @@ def hash_cuts(
 
     Pass 1 counts rows per (group, hash prefix); pass 2 ranks only the rows
     whose prefix holds a wanted rank, which is about 1/16**digits of them.
+    `digits` follows the number of rows, so that pass 2 ranks some thousand
+    rows for each cut at any size.
     """
+    if digits is None:
+        digits = max(4, math.ceil(math.log(max(df.count(), 1) / BUCKET_ROWS + 1, 16)))
     h = hash_key(key, seed)
     group = [q(by).alias("_g")] if by else [F.lit(None).cast("string").alias("_g")]
     base = df.select(*group, h.alias("_h")).withColumn("_p", F.substring("_h", 1, digits))

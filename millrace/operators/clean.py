@@ -49,8 +49,12 @@ def drop_duplicates(
         raise ValueError("a subset needs order_by")
     pick = F.min_by if keep == "first" else F.max_by
     whole = F.struct(*[q(c) for c in df.columns])
+    # a null order comes last for `first` and first for `last`; the struct itself is never null
+    known = F.struct(q(order_by).isNull().alias("null"), q(order_by).alias("value"))
+    if keep != "first":
+        known = F.struct(q(order_by).isNotNull().alias("known"), q(order_by).alias("value"))
     return df.groupBy(*[q(c).alias(f"_k{i}") for i, c in enumerate(keys)]).agg(
-        pick(whole, q(order_by)).alias("_row")
+        pick(whole, known).alias("_row")
     ).select("_row.*")
 
 

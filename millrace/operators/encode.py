@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dist import dense_codes, q, string_columns
+from ..session import cut_lineage
 from .profile import column_counts, value_counts
 
 BROADCAST_ROWS = 200_000
@@ -100,8 +101,8 @@ def _lookup(df: DataFrame, side: DataFrame, key: Column, value: Column, size: in
 def fit_labels(df: DataFrame, column: str, missing: str = "unknown") -> CodeTable:
     """Codes 0… in sort order of the values; NULL counts as the text `missing`."""
     values = df.select(F.coalesce(q(column).cast("string"), F.lit(missing)).alias("value")).distinct()
-    table = dense_codes(values, "value")
-    return CodeTable(column, table, values.count(), missing)
+    table = cut_lineage(dense_codes(values, "value"))  # fitted once, not again at each transform
+    return CodeTable(column, table, table.count(), missing)
 
 
 @dataclass
@@ -141,7 +142,8 @@ def fit_target_means(
         .agg(F.count(y).alias("n"), F.avg(y).alias("m"))
     )
     table = groups.select("value", (F.lit(prior) * (1.0 - weight) + F.col("m") * weight).alias("mean"))
-    return TargetMeans(column, table, groups.count(), prior)
+    table = cut_lineage(table)
+    return TargetMeans(column, table, table.count(), prior)
 
 
 @dataclass
@@ -186,6 +188,7 @@ def fit_frequency(df: DataFrame, column: str) -> Frequency:
         .groupBy(q(column).cast("string").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    table = cut_lineage(table)
     return Frequency(column, table, table.count())
 
 

@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from itertools import combinations, combinations_with_replacement
 
-from pyspark.ml.feature import CountVectorizer, IDF, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,14 +68,15 @@ def tf_idf(df: DataFrame, row_id: str, column: str) -> DataFrame:
     )
 
 
-def fit_text_vectors(df: DataFrame, column: str, vocabulary: int = 1 << 16, output: str = "text_vector"):
-    """MLlib stages (tokenizer, counts, idf) for a text column as model input."""
+def fit_text_vectors(df: DataFrame, column: str, slots: int = 1 << 20, output: str = "text_vector"):
+    """MLlib stages (tokenizer, hashed counts, idf) for a text column as model
+    input.  Every term counts; none is collected on the driver."""
     from pyspark.ml import Pipeline
 
     return Pipeline(
         stages=[
             RegexTokenizer(inputCol=column, outputCol="_words", pattern=r"[^\p{L}\p{N}_]+"),
-            CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocabulary),
+            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=slots),
             IDF(inputCol="_counts", outputCol=output),
         ]
     ).fit(df)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..dist import exact_quantiles, numeric_columns, q
-from ..session import spread
+from ..session import cached, spread
 
 TREE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, length double"
 
@@ -49,27 +49,25 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[t
 
 
 def tree_samples(df: DataFrame, columns: Sequence[str], trees: int, sample: int, seed: int) -> DataFrame:
-    """Up to `sample` rows for every tree, drawn by row hash.
+    """Up to `sample` rows for every tree, drawn by a hash of the row.
 
-    A large table gives each tree rows of its own: one hash keeps about twice
-    the rows that all trees need and another deals them out.  A table smaller
-    than that offers every row to every tree.  Ranks then keep the first
-    `sample` per tree, which Spark prunes before the shuffle.
+    The hash covers the cells and, among equal rows, the number of the copy, so
+    the draw follows the rows alone and not their partitions.  One rule at any
+    size: a row is offered to the trees whose hash of it is among the lowest
+    2 * sample / n; ranks keep the first `sample` of each tree, which Spark
+    prunes before the shuffle.
     """
     n = df.count()
-    wanted = 2 * sample * trees
-    row = F.xxhash64(*[q(c) for c in columns], F.monotonically_increasing_id())
-    cells = df.select(F.array(*[q(c).cast("double") for c in columns]).alias("x"), row.alias("h"))
-    if n > wanted:
-        limit = int(wanted / n * (1 << 40))
-        drawn = cells.withColumn("draw", F.xxhash64("h", F.lit(seed)))
-        drawn = drawn.where(F.pmod("draw", F.lit(1 << 40)) < limit).withColumn(
-            "tree", F.pmod(F.xxhash64("draw"), F.lit(trees)).cast("int")
-        )
-    else:
-        every = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-        drawn = cells.select("x", "h", every).withColumn("draw", F.xxhash64("h", "tree", F.lit(seed)))
-    order = Window.partitionBy("tree").orderBy("draw")
+    limit = int(min(1.0, 2 * sample / max(n, 1)) * (1 << 40))
+    cells = df.select(F.array(*[q(c).cast("double") for c in columns]).alias("x"))
+    copies = cells.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    rows = copies.select("x", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    rows = rows.select("x", F.xxhash64("x", "copy").alias("h"))
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    mine = F.filter(every, lambda t: F.pmod(F.xxhash64("h", t, F.lit(seed)), F.lit(1 << 40)) < limit)
+    drawn = rows.select("x", "h", F.explode(mine).alias("tree"))
+    drawn = drawn.withColumn("draw", F.xxhash64("h", "tree", F.lit(seed)))
+    order = Window.partitionBy("tree").orderBy("draw", "x")
     return drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("tree", "x")
 
 
@@ -140,5 +138,6 @@ def flag_outliers(
     n = df.count()
     df = spread(df, n)
     scored = df.withColumn("_score", anomaly_score(df.sparkSession, forest, columns))
-    limit = exact_quantiles(scored, ["_score"], [1.0 - contamination], sizes={"_score": n})["_score"][0]
+    with cached(scored.select("_score")) as scores:  # read once for each pass of the quantile
+        limit = exact_quantiles(scores, ["_score"], [1.0 - contamination])["_score"][0]
     return scored.withColumn("is_outlier", F.col("_score") > F.lit(limit)).drop("_score")

@@ -73,7 +73,8 @@ def compare_metrics(experiments: DataFrame, ids: Sequence) -> DataFrame:
 def best_of(experiments: DataFrame, ids: Sequence, metric: str) -> DataFrame:
     """The experiment with the largest metric; the first of `ids` on ties."""
     long = compare_metrics(experiments, ids).where((F.col("metric") == metric) & F.col("value").isNotNull())
-    position = F.array_position(F.lit(list(ids)).cast("array<long>"), F.col("id").cast("long"))
+    kind = experiments.schema["id"].dataType.simpleString()
+    position = F.array_position(F.array(*[F.lit(i).cast(kind) for i in ids]), F.col("id"))
     return long.orderBy(F.col("value").desc(), position).limit(1)
 
 

@@ -57,16 +57,25 @@ def box_cox_inverse(y: Column, lam: float) -> Column:
     return F.exp(y) if lam == 0 else F.pow(y * F.lit(lam) + 1.0, F.lit(1.0 / lam))
 
 
+#: brackets of a power are doubled so often at most: up to 5 * 2**12
+WIDENINGS = 12
+
+
 def fit_lambda(df: DataFrame, columns: Sequence[str], kind: str, passes: int = 6) -> dict[str, float]:
     """Power by maximum likelihood: each pass scores a grid of powers for every
-    column in one aggregate and zooms in tenfold around the best."""
+    column in one aggregate and zooms in tenfold around the best.  A best power
+    at an end of its grid moves and doubles the bracket instead, so that the
+    search has no bounds (columns of no spread keep 1)."""
     steps = 20
+    left = {c: passes for c in columns}
     best = {c: 1.0 for c in columns}
     span = {c: (-5.0, 5.0) for c in columns}
     x, lam = F.col("x"), F.col("lo") + F.col("g") * F.col("step")
     y = yeo_johnson(x, lam) if kind == "yeo" else box_cox(x, lam)
     jacobian = F.signum(x) * F.log1p(F.abs(x)) if kind == "yeo" else F.log(x)
-    for _ in range(passes):
+    for _ in range(passes + WIDENINGS):
+        if not any(left.values()):
+            break
         cells = [
             F.struct(
                 F.lit(i).alias("i"),
@@ -94,8 +103,12 @@ def fit_lambda(df: DataFrame, columns: Sequence[str], kind: str, passes: int = 6
         for i, (_, g) in top.items():
             c = columns[i]
             step = (span[c][1] - span[c][0]) / steps
+            if not left[c]:
+                continue
             best[c] = span[c][0] + step * g
-            span[c] = (best[c] - step, best[c] + step)
+            reach = steps * step if g in (0, steps) else step
+            left[c] -= g not in (0, steps)
+            span[c] = (best[c] - reach, best[c] + reach)
     return best
 
 

@@ -14,29 +14,21 @@ from pyspark.sql import types as T
 from ..dist import hash_cuts, hash_key, q
 
 FOLD = "fold"
-MAX_CLASSES = 1_000
+BROADCAST_CLASSES = 100_000
 
 
 def _share(x: float) -> tuple[int, int]:
     return round(x * 1_000_000), 1_000_000
 
 
-def _by_class(df: DataFrame, label: str, cuts: dict, pick) -> Column:
-    """`pick(cuts of the row's class)` as a chain over the few classes."""
-    text = q(label).cast("string")
-    out = None
-    for value, c in cuts.items():
-        hit = text.eqNullSafe(F.lit(value))
-        out = F.when(hit, pick(c)) if out is None else out.when(hit, pick(c))
-    return out
-
-
-def _class_cuts(df, key, seed, shares, label, rounding):
+def _with_class_cuts(df: DataFrame, key: str, seed: int, shares: list, label: str) -> DataFrame:
+    """Add `_cuts`, the hash cuts of the row's class, from a table of one row per class."""
     typed = df.withColumn("_label", q(label).cast("string"))
-    n = df.agg(F.count_distinct(q(label))).first()[0]
-    if n > MAX_CLASSES:
-        raise ValueError(f"{label} has {n} values; stratify by a class column")
-    return hash_cuts(typed, key, seed, shares, by="_label", rounding=rounding)
+    cuts = hash_cuts(typed, key, seed, shares, by="_label", rounding="ceil")
+    table = df.sparkSession.createDataFrame(list(cuts.items()), "_class string, _cuts array<string>")
+    table = F.broadcast(table) if len(cuts) <= BROADCAST_CLASSES else table
+    same = F.col("_label").eqNullSafe(F.col("_class"))
+    return typed.join(table, same, "left").drop("_label", "_class")
 
 
 def mark_test(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, stratify: str | None = None) -> DataFrame:
@@ -45,8 +37,8 @@ def mark_test(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, s
     if stratify is None:
         cut = hash_cuts(df, key, seed, [_share(test_size)])[None][0]
         return df.withColumn("is_test", h <= F.lit(cut))
-    cuts = _class_cuts(df, key, seed, [_share(test_size)], stratify, "ceil")
-    return df.withColumn("is_test", _by_class(df, stratify, cuts, lambda c: h <= F.lit(c[0])))
+    marked = _with_class_cuts(df, key, seed, [_share(test_size)], stratify)
+    return marked.withColumn("is_test", h <= F.col("_cuts")[0]).drop("_cuts")
 
 
 def train_test_split(
@@ -65,10 +57,10 @@ def split_sizes(df: DataFrame, test_size: float = 0.2) -> DataFrame:
     )
 
 
-def _fold_number(h: Column, cuts: list[str]) -> Column:
+def _fold_number(h: Column, cuts: list[Column]) -> Column:
     out = F.lit(0)
     for c in cuts:
-        out = out + F.when(h > F.lit(c), 1).otherwise(0)
+        out = out + F.when(h > c, 1).otherwise(0)
     return out.cast(T.IntegerType())
 
 
@@ -80,9 +72,9 @@ def mark_folds(
     shares = [(i, folds) for i in range(1, folds)]
     if stratify is None:
         cuts = hash_cuts(df, key, seed, shares, rounding="ceil")[None]
-        return df.withColumn(output, _fold_number(h, cuts))
-    cuts = _class_cuts(df, key, seed, shares, stratify, "ceil")
-    return df.withColumn(output, _by_class(df, stratify, cuts, lambda c: _fold_number(h, c)))
+        return df.withColumn(output, _fold_number(h, [F.lit(c) for c in cuts]))
+    marked = _with_class_cuts(df, key, seed, shares, stratify)
+    return marked.withColumn(output, _fold_number(h, [F.col("_cuts")[i] for i in range(folds - 1)])).drop("_cuts")
 
 
 def nested_samples(df: DataFrame, key: str, shares: list[float], seed: int = 42) -> list[DataFrame]:

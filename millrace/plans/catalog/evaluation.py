@@ -102,10 +102,9 @@ def k9(spark, d):
     return rounded(curves.class_auc(points).select("auc"))
 
 
-@query("k9_roc_auc_classes", CLS + " SELECT round(sum(auc * support) / sum(support), 6) AS roc_auc FROM (" + union_sql([AUC_BIN.format(k=f"'{k}'", v=k, s=f"round(w{k} / (w0 + w1 + w2), 12)") for k in range(3)]) + ")")
+@query("k9_roc_auc_classes", CLS + " SELECT round(sum(auc * support) / sum(support), 6) AS roc_auc FROM (" + union_sql([AUC_BIN.format(k=f"'{k}'", v=k, s=f"w{k} / (w0 + w1 + w2)") for k in range(3)]) + ")")
 def k9b(spark, d):
-    df = class_predictions(spark, d).withColumn("probability", F.transform("probability", lambda p: F.round(p, 12)))
-    return rounded(curves.auc(df))
+    return rounded(curves.auc(class_predictions(spark, d)))
 
 
 CURVE = BIN + """, c AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM preds GROUP BY 1),

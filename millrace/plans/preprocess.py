@@ -37,15 +37,16 @@ class Preprocessor:
 def fit_preprocessor(
     df: DataFrame, target: str | None = None, preset: str = "standard", keep: Sequence[str] = ()
 ) -> Preprocessor:
-    """`keep` names columns (row ids) that pass through without scaling."""
+    """`keep` names columns (row ids) that pass through as they are: no step sees them."""
     strategy, encoding, scaling = PRESETS[preset]
     with cached(drop_duplicates(nan_to_null(df))) as unique:
-        cleaner = fit_cleaner(unique, target, strategy)
-        cleaned = cleaner.transform(unique)
+        seen = unique.drop(*keep)
+        cleaner = fit_cleaner(seen, target, strategy)
+        cleaned = cleaner.transform(seen)
         encoder = fit_encoder(cleaned, target=target, strategy=encoding)
         scaler = None
         if scaling:
-            scaled = [c for c in numeric_columns(cleaned) if c != target and c not in keep]
+            scaled = [c for c in numeric_columns(cleaned) if c != target]
             picked = cleaned.select(*scaled)
             methods = scaling if scaling == "auto" else {c: scaling for c in scaled}
             scaler = fit_scaler(picked, methods)

@@ -16,14 +16,51 @@ MAX_BYTES = 500 * 1024 * 1024
 ALLOWED = ("csv", "json", "parquet", "xlsx", "xls")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, max_rows: int | None = None) -> DataFrame:
+#: fixed values: quotes are doubled inside quoted fields; NULL is an empty field, an empty string is quoted
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": None}
+WRITE_OPTIONS = {"quote": '"', "escape": '"', "emptyValue": '""', "nullValue": ""}
+
+
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    max_rows: int | None = None,
+    line_breaks: bool = True,
+) -> DataFrame:
     """Header row, types from `schema` or inferred; `max_rows` becomes a limit
-    that Spark takes from the first files."""
-    reader = spark.read.option("header", True)
-    df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
+    that Spark takes from the first files, and types come from those rows alone.
+
+    Quotes inside a field are doubled and fields may hold line breaks, as most
+    tools write them.  Such a file is read by one task; `line_breaks=False`
+    promises that no field holds one and splits large files.  An empty field is
+    NULL and a quoted empty one the empty string.
+    """
+    options = CSV_OPTIONS | {"multiLine": line_breaks}
+    reader = spark.read.options(**options)
+    if schema is None and max_rows is None:
+        return reader.option("inferSchema", True).csv(path)
+    if schema is None:
+        schema = infer_types(reader.csv(path).limit(max_rows))
+    df = reader.schema(schema).csv(path)
     return df if max_rows is None else df.limit(max_rows)
 
 
+def infer_types(head: DataFrame) -> T.StructType:
+    """Schema of text columns: the first type that takes every value of a column."""
+    kinds = ["int", "bigint", "double", "date", "timestamp", "boolean"]
+
+    def fits(c: str, kind: str):
+        ok = q(c).try_cast(kind).isNotNull()
+        if kind == "date":
+            ok = ok & q(c).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+        return F.coalesce(F.bool_and(F.when(q(c).isNotNull(), ok)), F.lit(False))
+
+    row = head.agg(*[fits(c, k).alias(f"{k}{i}") for i, c in enumerate(head.columns) for k in kinds]).first()
+    found = [next((k for k in kinds if row[f"{k}{i}"]), "string") for i in range(len(head.columns))]
+    return T.StructType([T.StructField(c, T.DataType.fromDDL(k)) for c, k in zip(head.columns, found)])
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:
     """One array of records per file, or one record per line (splittable)."""
     reader = spark.read.option("multiLine", not lines)
@@ -76,7 +113,7 @@ def write_dataset(df: DataFrame, path: str, kind: str, partition_by: Sequence[st
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if kind == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(header=True, escapeQuotes=True, **WRITE_OPTIONS).csv(path)
     elif kind == "json":
         writer.json(path)
     else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -27,9 +28,11 @@ def run_available(
     mode: str,
     each_batch: Callable[[DataFrame, int], None],
     checkpoint: str | None = None,
-    timeout: int = 600,
-) -> None:
-    """Process everything present, batch by batch, and stop."""
+    timeout: int | None = None,
+) -> int:
+    """Process everything present, batch by batch, and stop; no time limit
+    unless one is given.  Returns how many rows came too late for a watermark
+    (as far back as Spark keeps progress) and warns if there were any."""
     checkpoint = checkpoint or scratch_path(stream.sparkSession, "stream")
     query = (
         stream.writeStream.outputMode(mode)
@@ -39,8 +42,14 @@ def run_available(
         .start()
     )
     try:
-        if not query.awaitTermination(timeout):
+        if timeout is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout):
             raise TimeoutError(f"stream did not finish in {timeout} s")
+        late = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+        if late:
+            warnings.warn(f"{late} rows came later than the watermark and were dropped", stacklevel=2)
+        return late
     finally:
         query.stop()
 
@@ -71,22 +80,36 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     return reader.parquet(*[f"{out}/batch={b}" for b in last])
 
 
-def push_to(stream: DataFrame, subscribers: list[Callable[[DataFrame, int], None]]) -> None:
+def replay_delay(events: DataFrame, time: str = "ts") -> str:
+    """Watermark delay with which a replay of `events` drops no row, whatever
+    the order of its files: the time between the first and the last event."""
+    first, last = events.agg(F.min(time), F.max(time)).first()
+    return f"{int((last - first).total_seconds()) + 1 if first is not None else 1} seconds"
+
+
+def push_to(
+    stream: DataFrame, subscribers: list[Callable[[DataFrame, int], None]], checkpoint: str | None = None
+) -> None:
     """Hand every new micro-batch to all subscribers; one that fails does not
-    keep the others from theirs."""
+    keep the others from theirs.  The batch then counts as failed: it is raised
+    after all were called, and a run from the same `checkpoint` hands the batch
+    out again, with the same number, by which subscribers overwrite."""
 
     def notify(df: DataFrame, batch: int) -> None:
-        kept = df.persist()
+        kept, failed = df.persist(), []
         try:
-            for call in subscribers:
+            for i, call in enumerate(subscribers):
                 try:
                     call(kept, batch)
-                except Exception as e:  # a subscriber's error is its own
-                    print(f"subscriber failed on batch {batch}: {e}")
+                except Exception as e:
+                    failed.append((i, e))
         finally:
             kept.unpersist()
+        if failed:
+            names = ", ".join(f"{i}: {e}" for i, e in failed)
+            raise RuntimeError(f"subscribers failed on batch {batch}: {names}") from failed[0][1]
 
-    run_available(stream, "append", notify)
+    run_available(stream, "append", notify, checkpoint)
 
 
 def newest_candidates(
@@ -141,5 +164,9 @@ def windowed_counts(stream: DataFrame, width: str = "1 hour", delay: str = "10 m
 
 
 def drop_repeats(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """First copy of each event_id within the watermark."""
+    """First copy of each event_id within the watermark.
+
+    Rows later than `delay` behind the newest event are dropped.  A bounded
+    replay takes its delay from the data (`replay_delay`) and loses nothing.
+    """
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
