@@ -6,10 +6,14 @@
 2. Documents with the same set collapse to the smallest id.
 3. Bands: in each bucket the smallest id is the centre.  Pairs (member, centre)
    whose collision-corrected estimate is high enough are confirmed on full sets.
-4. Buckets that still hold several components are joined with themselves: every
-   pair of different components passes the estimate inside the join condition,
-   and what is left is confirmed as well.  Pairs inside a component are never
-   formed, so a large group of copies costs its size and not its square.
+4. Documents of buckets that still hold several components are searched to the
+   end.  Their shingles are ordered from rare to common; two sets that reach the
+   threshold share one of their first shingles, and what can follow the first
+   shared one bounds the intersection (an exact prefix and position filter).
+   Pairs of different components that pass this and the estimate, both inside
+   the join condition, are confirmed as well.  Pairs inside a component are
+   never formed or compared with each other where the largest component of a
+   shingle is concerned, so a group of copies costs its size and not its square.
 
 With 32 bands of 3 rows a pair of similarity 0.75 is missed with probability
 (1 - 0.75^3)^32 = 2e-8; the estimate (96 minima, standard error 0.05) is cut at
@@ -111,6 +115,57 @@ def _common(pairs: DataFrame, width: int) -> DataFrame:
     return pairs.mapInArrow(run, f"a {kind}, b {kind}, na long, nb long, both long")
 
 
+def _shingle_rows(texts: DataFrame, width: int) -> DataFrame:
+    """texts (id, text) -> id, tag (of the text), h: a row for each distinct shingle."""
+
+    def run(batches):
+        for batch in sliced(batches, "text"):
+            sets = shingle_sets(Words(batch.column("text"), lower=True), width)
+            row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            flat = np.concatenate(sets)
+            for at in range(0, len(flat), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c).take(pa.array(row[part])) for c in ("id", "tag")]
+                    + [pa.array(as_long(flat[part]))],
+                    names=["id", "tag", "h"],
+                )
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.withColumn("tag", F.xxhash64("text")).mapInArrow(run, f"id {kind}, tag long, h long")
+
+
+def _across(texts: DataFrame, found: DataFrame, close: Column, percent: int, width: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components that may reach the threshold.
+
+    texts (id, text), found (id, component, size of the component, sig)."""
+    rows = scratch.write(_shingle_rows(texts, width), "tokens")
+    often = scratch.write(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    ranked = rows.join(often, "h", "left").groupBy("id", "tag").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "h"))).alias("s")
+    )
+    n = F.size("s")
+    first = F.slice("s", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
+    prefix = ranked.select("id", n.alias("n"), F.posexplode(first).alias("i", "t"))
+    prefix = prefix.where("t.df > 1").select("id", (F.col("n") - F.col("i")).alias("rest"), "n", F.col("t.h").alias("h"))
+    prefix = scratch.write(prefix.join(found, "id"), "prefix")
+    major = prefix.groupBy("h").agg(
+        F.max_by("component", F.struct("size", "component")).alias("major"),
+        F.min("component").alias("lo"),
+        F.max("component").alias("hi"),
+    )
+    major = scratch.write(major.where("lo <> hi").select("h", "major"), "major")
+    minor = scratch.write(prefix.join(major, "h").where("component <> major").drop("major"), "minor")
+    cols = ["id", "component", "sig", "n", "rest"]
+    left = minor.select("h", *[F.col(c).alias(f"{c}_a") for c in cols]).withColumnRenamed("sig_a", "sa")
+    right = prefix.select(F.col("h").alias("hb"), *[F.col(c).alias(f"{c}_b") for c in cols]).withColumnRenamed("sig_b", "sb")
+    # |x and y| >= percent / (100 + percent) * (|x| + |y|), and at most what is left of either
+    enough = (100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    met = (F.col("h") == F.col("hb")) & (F.col("component_a") != F.col("component_b")) & enough & close
+    pairs = left.join(right, met).select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b"))
+    return pairs.distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -169,16 +224,16 @@ def near_duplicates(
         placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
             "key", "id", F.coalesce("component", "id").alias("component")
         )
-        placed = scratch.write(placed.join(sigs, "id"), "placed")
+        placed = scratch.write(placed, "placed")
         mixed_up = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
         mixed_up = scratch.write(mixed_up.where("x <> y").select("key"), "mixed")
-        open_rows = scratch.write(placed.join(mixed_up, "key"), "open")
-        left = open_rows.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sa"))
-        right = open_rows.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sb"))
-        across = left.join(
-            right, (left["key"] == right["key"]) & (F.col("ca") < F.col("cb")) & close
-        ).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        across = scratch.write(across.distinct().join(tried, ["a", "b"], "left_anti"), "across")
+        open_ids = placed.join(mixed_up, "key").select("id", "component").distinct()
+        sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+        open_ids = open_ids.join(sizes, "component", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+        open_ids = scratch.write(open_ids.join(sigs, "id"), "open")
+        open_texts = texts.join(open_ids.select("id"), "id", "left_semi")
+        across = _across(open_texts, open_ids, close, percent, width, scratch)
+        across = scratch.write(across.join(tried, ["a", "b"], "left_anti"), "across")
         more = scratch.write(confirm(across), "found")
         edges = same.unionByName(found).unionByName(more)
         groups = connected_components(edges, scratch)
