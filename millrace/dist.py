@@ -26,9 +26,9 @@ from pyspark.sql.window import Window
 SMALL_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
 GRID = 500
-SPLIT_LEVELS = 1024
 BUCKET_ROWS = 50_000
-MAX_BUCKETS = SPLIT_LEVELS
+#: a few hundred million distinct values; beyond that buckets grow
+MAX_BUCKETS = 8192
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -203,15 +203,12 @@ def range_buckets(
     not affect results.  Row counts per bucket are near even as long as
     `order` holds distinct values, so callers pre-aggregate ties.
     """
-    levels = [i / SPLIT_LEVELS for i in range(1, SPLIT_LEVELS)]
-    facts = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(q(order).cast("double"), levels, SKETCH_ACCURACY).alias("s"),
-    ).first()
-    buckets = min(MAX_BUCKETS, math.ceil(facts["n"] / bucket_rows))
+    buckets = min(MAX_BUCKETS, math.ceil(df.count() / bucket_rows))
     splits: list[float] = []
-    if buckets > 1 and facts["s"]:
-        splits = sorted({facts["s"][round(i * SPLIT_LEVELS / buckets) - 1] for i in range(1, buckets)})
+    if buckets > 1:
+        levels = [i / buckets for i in range(1, buckets)]
+        found = df.agg(F.percentile_approx(q(order).cast("double"), levels, SKETCH_ACCURACY).alias("s")).first()["s"]
+        splits = sorted(set(found or []))
     if not splits:
         return df.withColumn(bucket, F.lit(0.0))
     cut = Bucketizer(
@@ -235,10 +232,13 @@ def running_totals(
     """Add, for every `new: source` in `totals`, the sum of `source` over rows
     strictly before this one in `order` (within `partition`).
 
-    `df` must hold each (partition, order) key once.  Only a table of one row
+    `df` must hold each (partition, order) key once; it is materialised, because
+    the sketch, the offsets and the sums all read it.  Only a table of one row
     per bucket passes through an unpartitioned window.
     """
-    part = list(partition)
+    from .session import cut_lineage
+
+    part, df = list(partition), cut_lineage(df)
     tagged = range_buckets(df, order, bucket_rows=bucket_rows)
     before = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1
@@ -274,6 +274,9 @@ def running_totals(
 def running_max(df: DataFrame, order: str, value: str, output: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add the maximum of `value` over rows strictly before this one in `order`
     (NULL at the start), by the same bucket scheme as `running_totals`."""
+    from .session import cut_lineage
+
+    df = cut_lineage(df)
     tagged = range_buckets(df, order, bucket_rows=bucket_rows)
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tagged.groupBy("_bucket").agg(F.max(q(value)).alias("_top")).select(

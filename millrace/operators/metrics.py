@@ -113,18 +113,19 @@ def classification_report(counts: DataFrame) -> DataFrame:
 
 def confusion_matrix(counts: DataFrame, labels: Sequence | None = None, normalize: str | None = None) -> DataFrame:
     """(label, prediction, value) for every pair of labels; counts or shares of
-    the true row, predicted column or all."""
-    if labels is None:
-        pair = F.explode(F.array("label", "prediction")).alias("v")
-        labels = sorted(r["v"] for r in counts.select(pair).distinct().collect() if r["v"] is not None)
+    the true row, predicted column or all.  A missing label or prediction is a
+    value of its own, as it is a miss for the accuracy; cells add up to all rows."""
     kind = counts.schema["label"].dataType
-    spark = counts.sparkSession
-    grid = spark.createDataFrame([(a, b) for a in labels for b in labels], "label string, prediction string").select(
-        F.col("label").cast(kind), F.col("prediction").cast(kind)
-    )
-    cells = F.broadcast(grid).join(counts, ["label", "prediction"], "left").select(
-        "label", "prediction", F.coalesce("n", F.lit(0)).alias("n")
-    )
+    if labels is None:
+        values = counts.select(F.explode(F.array("label", "prediction")).alias("v")).distinct()
+    else:
+        values = counts.sparkSession.createDataFrame([(str(v),) for v in labels], "v string").select(F.col("v").cast(kind))
+    every = values.agg(F.collect_list(F.struct("v")).alias("vs"))  # one row, an element per class
+    grid = every.select("vs", F.explode("vs").alias("a")).select("a", F.explode("vs").alias("b"))
+    grid = grid.select(F.col("a.v").alias("label"), F.col("b.v").alias("prediction"))
+    had = counts.select(F.col("label").alias("_l"), F.col("prediction").alias("_p"), F.col("n").alias("_n"))
+    same = F.col("label").eqNullSafe(F.col("_l")) & F.col("prediction").eqNullSafe(F.col("_p"))
+    cells = grid.join(had, same, "left").select("label", "prediction", F.coalesce("_n", F.lit(0)).alias("n"))
     if normalize is None:
         return cells.select("label", "prediction", F.col("n").cast("double").alias("value"))
     key = {"true": ["label"], "pred": ["prediction"], "all": []}[normalize]

@@ -90,6 +90,10 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep").transform(df)
 
 
+#: models whose result does not depend on the partitions
+LINEAR = {"linear_regression", "ridge", "lasso", "elastic_net", "huber", "logistic_regression", "linear_svm", "linear_svr", "svm"}
+
+
 def few_tasks(df: DataFrame, rows: int) -> DataFrame:
     """Iterative solvers run a job per step, so a small set is read by few
     tasks; above TASK_ROWS per core nothing changes."""
@@ -126,11 +130,10 @@ class NeighborModel:
         kept = [q(c) for c in df.columns if c not in ("prediction", "probability")]
         out = df.select(*kept).join(found.withColumnRenamed("query_id", self.key), self.key, "left")
         if self.task == "classification":
-            one = F.transform(
-                F.sequence(F.lit(0), F.lit(self.classes - 1)),
-                lambda i: F.when(F.col("prediction") == i, 1.0).otherwise(0.0),
+            share = F.transform(
+                F.sequence(F.lit(0), F.lit(self.classes - 1)), lambda i: F.coalesce(F.element_at("shares", i), F.lit(0.0))
             )
-            out = out.withColumn("probability", one)
+            out = out.withColumn("probability", share)
         return out.select(*kept, "prediction", *(["probability"] if self.task == "classification" else []))
 
     def importance(self):
@@ -178,9 +181,55 @@ class BoostedTrees:
 IO = {"featuresCol": "_features", "predictionCol": "prediction"}
 
 
+_TREE = {"max_depth", "min_samples_leaf", "max_bins", "min_impurity_decrease", "criterion"}
+_FOREST = _TREE | {"n_estimators", "max_features", "bootstrap", "max_samples"}
+_BOOST = (_TREE - {"criterion"}) | {"n_estimators", "learning_rate", "subsample", "max_features"}
+#: parameters that change the estimator of each model; any other name is an error
+PARAMS = {
+    "random_forest": _FOREST,
+    "gradient_boosting": _BOOST,
+    "decision_tree": _TREE,
+    "logistic_regression": {"max_iter", "C", "tol", "penalty", "l1_ratio"},
+    "naive_bayes": set(),
+    "linear_svm": {"max_iter", "C", "tol"},
+    "linear_svr": {"max_iter", "C", "tol", "epsilon"},
+    "svm": {"max_iter", "C", "tol", "components", "gamma", "epsilon"},
+    "linear_regression": set(),
+    "ridge": {"alpha"},
+    "lasso": {"alpha", "max_iter"},
+    "elastic_net": {"alpha", "l1_ratio", "max_iter"},
+    "huber": {"alpha", "epsilon", "max_iter"},
+    "knn": {"n_neighbors", "weights", "p"},
+    "adaboost": {"n_estimators", "learning_rate", "max_depth"},
+}
+
+
+def check_params(name: str, params: dict) -> None:
+    unknown = sorted(set(params) - PARAMS.get(name, set(params)))
+    if unknown:
+        raise ValueError(f"{name} has no parameters {unknown}; known are {sorted(PARAMS[name])}")
+
+
 def _tree_args(p: dict) -> dict:
     names = {"max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "max_bins": "maxBins"}
-    return {names[k]: int(v) for k, v in p.items() if k in names and v is not None}
+    out: dict = {names[k]: int(v) for k, v in p.items() if k in names and v is not None}
+    if p.get("min_impurity_decrease") is not None:
+        out["minInfoGain"] = float(p["min_impurity_decrease"])
+    if p.get("criterion") is not None:
+        out["impurity"] = {"squared_error": "variance"}.get(p["criterion"], p["criterion"])
+    if "max_features" in p:
+        given = {None: "all", "log2": "log2", "sqrt": "sqrt"}
+        out["featureSubsetStrategy"] = given.get(p["max_features"], str(p["max_features"]))
+    return out
+
+
+def _forest_args(p: dict) -> dict:
+    out = _tree_args(p)
+    if p.get("bootstrap") is not None:
+        out["bootstrap"] = bool(p["bootstrap"])
+    if p.get("max_samples") is not None:
+        out["subsamplingRate"] = float(p["max_samples"])
+    return out
 
 
 def classifier(name: str, label: str, n: int, classes: int, p: dict):
@@ -188,7 +237,7 @@ def classifier(name: str, label: str, n: int, classes: int, p: dict):
     that are defined on sums."""
     io = {**IO, "labelCol": label}
     if name == "random_forest":
-        return C.RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), seed=SEED, **_tree_args(p), **io)
+        return C.RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), seed=SEED, **_forest_args(p), **io)
     if name == "gradient_boosting":
         args = {"maxIter": int(p.get("n_estimators", 100)), "stepSize": float(p.get("learning_rate", 0.1))}
         args["subsamplingRate"] = float(p.get("subsample", 1.0))
@@ -197,8 +246,9 @@ def classifier(name: str, label: str, n: int, classes: int, p: dict):
         base = C.GBTClassifier(seed=SEED, **args, **io)
         return base if classes <= 2 else C.OneVsRest(classifier=base, parallelism=2, **io)
     if name == "logistic_regression":
+        ratio = {"l1": 1.0, "elasticnet": float(p.get("l1_ratio", 0.5))}.get(p.get("penalty"), 0.0)
         return C.LogisticRegression(
-            maxIter=int(p.get("max_iter", 1000)), regParam=1.0 / (float(p.get("C", 1.0)) * max(n, 1)), standardization=False, tol=float(p.get("tol", 1e-6)), **io
+            elasticNetParam=ratio, maxIter=int(p.get("max_iter", 1000)), regParam=1.0 / (float(p.get("C", 1.0)) * max(n, 1)), standardization=False, tol=float(p.get("tol", 1e-6)), **io
         )
     if name == "decision_tree":
         return C.DecisionTreeClassifier(seed=SEED, **_tree_args(p), **io)
@@ -231,7 +281,7 @@ def regressor(name: str, label: str, n: int, spread: float, p: dict):
             loss="huber", epsilon=float(p.get("epsilon", 1.35)), maxIter=int(p.get("max_iter", 1000)), regParam=float(p.get("alpha", 0.0001)) / max(n, 1), standardization=False, **io
         )
     if name == "random_forest":
-        return R.RandomForestRegressor(numTrees=int(p.get("n_estimators", 100)), seed=SEED, **_tree_args(p), **io)
+        return R.RandomForestRegressor(numTrees=int(p.get("n_estimators", 100)), seed=SEED, **_forest_args(p), **io)
     if name == "gradient_boosting":
         args = {"maxIter": int(p.get("n_estimators", 100)), "stepSize": float(p.get("learning_rate", 0.1))}
         args["subsamplingRate"] = float(p.get("subsample", 1.0))
@@ -240,8 +290,6 @@ def regressor(name: str, label: str, n: int, spread: float, p: dict):
         return R.GBTRegressor(seed=SEED, **args, **io)
     if name == "decision_tree":
         return R.DecisionTreeRegressor(seed=SEED, **_tree_args(p), **io)
-    if name in ("linear_svr", "svm"):
-        return R.LinearRegression(loss="huber", maxIter=int(p.get("max_iter", 100)), regParam=1.0 / (float(p.get("C", 1.0)) * max(n, 1)), **io)
     raise ValueError(f"unknown regressor {name}")
 
 
@@ -280,6 +328,87 @@ def fourier_features(df: DataFrame, features: Sequence[str], size: int, gamma: f
     return lift
 
 
+@dataclass
+class LinearTubes:
+    """Support vector regression: a line on (lifted) features."""
+
+    name: str
+    task: str
+    features: list[str]
+    weights: np.ndarray
+    intercept: float
+    lift: Callable[[DataFrame], DataFrame]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        kept = [q(c) for c in df.columns if c != "prediction"]
+        w = F.array(*[F.lit(float(v)) for v in self.weights])
+        dot = F.aggregate(F.zip_with(vector_to_array("_features"), w, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+        return self.lift(df).select(*kept, (dot + F.lit(self.intercept)).alias("prediction"))
+
+    def importance(self):
+        return list(zip(self.features, [float(v) for v in self.weights])) if len(self.weights) == len(self.features) else []
+
+
+def fit_svr(df: DataFrame, features: Sequence[str], label: str, params: dict, name: str, spread: float) -> LinearTubes:
+    """Epsilon-insensitive regression by iteratively reweighted least squares.
+
+    Minimises |w|^2 / 2 + C sum max(0, |y - wx - b| - epsilon).  Residuals
+    outside the tube get weight C / (distance to the tube) and the tube's edge
+    as target, those inside none; one aggregation of a (size + 1)^2 matrix a
+    step, halved steps while the loss grows.
+    """
+    if name == "svm":
+        lift = fourier_features(df, features, int(params.get("components", 100)), params.get("gamma"))
+    else:
+        def lift(table):
+            return assemble(table, features)
+    c, tube = float(params.get("C", 1.0)), float(params.get("epsilon", 0.1))
+    rows = lift(df).select(vector_to_array("_features").alias("x"), q(label).cast("double").alias("y"))
+    floor = 1e-3 * spread
+
+    def step(at: np.ndarray | None):
+        def run(frames):
+            for pdf in frames:
+                if not len(pdf):
+                    continue
+                x = np.hstack([np.vstack(pdf["x"].to_numpy()), np.ones((len(pdf), 1))])
+                y = pdf["y"].to_numpy()
+                if at is None:
+                    weight, target, loss = np.full(len(y), c / spread), y, 0.0
+                else:
+                    r = y - x @ at
+                    over = np.abs(r) - tube
+                    weight = np.where(over > 0, c / np.maximum(over, floor), 0.0)
+                    target, loss = y - np.sign(r) * tube, c * np.maximum(over, 0).sum()
+                left, right = (x * weight[:, None]).T @ x, (x * weight[:, None]).T @ target
+                yield pd.DataFrame({"m": [np.append(left.ravel(), [*right, loss]).tolist()]})
+
+        parts = ready.mapInPandas(run, "m array<double>").select(F.posexplode("m").alias("i", "v"))
+        sums = parts.groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # (size + 1)^2 numbers
+        flat = np.array([r["v"] for r in sums])
+        k = int(round((-1 + math.sqrt(1 + 4 * (len(flat) - 1))) / 2))
+        return flat[: k * k].reshape(k, k), flat[k * k : -1], flat[-1]
+
+    with cached(rows) as ready:
+        left, right, _ = step(None)
+        k = len(right)
+        ridge = np.eye(k)
+        ridge[-1, -1] = 1e-9
+        now = np.linalg.solve(left + ridge, right)
+        best, lowest = now, math.inf
+        for _ in range(int(params.get("max_iter", 100))):
+            left, right, loss = step(now)
+            loss += now[:-1] @ now[:-1] / 2
+            if loss < lowest * (1 - float(params.get("tol", 1e-4))):
+                best, lowest = now, loss
+                now = np.linalg.solve(left + ridge, right)
+            elif np.abs(now - best).max() > 1e-6 * max(1.0, np.abs(best).max()):
+                now = (now + best) / 2
+            else:
+                break
+    return LinearTubes(name, "regression", list(features), best[:-1], float(best[-1]), lift)
+
+
 def fit_adaboost(df: DataFrame, features: Sequence[str], label: str, params: dict) -> BoostedTrees:
     """Drucker's AdaBoost.R2 with linear loss and weighted trees.
 
@@ -288,7 +417,7 @@ def fit_adaboost(df: DataFrame, features: Sequence[str], label: str, params: dic
     """
     rounds, rate = int(params.get("n_estimators", 100)), float(params.get("learning_rate", 1.0))
     work = assemble(df, features).select("_features", q(label).cast("double").alias("_y"), F.lit(1.0).alias("_w"))
-    work = cut_lineage(few_tasks(work, df.count()))
+    work = cut_lineage(work)
     trees, weights = [], []
     for i in range(rounds):
         total = work.agg(F.sum("_w")).first()[0]
@@ -336,9 +465,13 @@ def fit_model(
         raise ValueError("no training rows")
     classes = int(facts["top"]) + 1 if task == "classification" else 0
     if name == "knn":
+        check_params(name, params)
         if key is None:
             raise ValueError("knn needs a row key")
         return NeighborModel(name, task, features, train, label, key, classes, params)
+    check_params(name, params)
+    if name in ("svm", "linear_svr") and task == "regression":
+        return fit_svr(train, features, label, params, name, facts["spread"] or 1.0)
     if name == "adaboost" and task == "regression":
         return fit_adaboost(train, features, label, params)
     if task == "classification":
@@ -349,7 +482,9 @@ def fit_model(
     if name == "svm":
         lift = fourier_features(train, features, int(params.get("components", 100)), params.get("gamma"))
     ready = lift(train) if lift else assemble(train, features)
-    ready = few_tasks(ready.select("_features", q(label).cast("double").alias(label)), n)
+    ready = ready.select("_features", q(label).cast("double").alias(label))
+    if name in LINEAR:  # trees draw their bags per partition, so only solvers may be given fewer
+        ready = few_tasks(ready, n)
     model = estimator.fit(ready)
     return FittedModel(name, task, features, model, classes, lift)
 

@@ -268,7 +268,8 @@ def knn_predict(
     weights: str = "uniform",
     p: int = 2,
 ) -> DataFrame:
-    """(query_id, prediction) by vote (ties: smallest class) or average."""
+    """(query_id, prediction) by vote (ties: smallest class) or average; votes
+    also give `shares`, the share of the (weighted) votes of each class voted for."""
     near = nearest_rows(queries, train, features, query_id, train_id, k, payload=label, p=p)
     if weights == "distance":
         # an exact hit outweighs everything else
@@ -285,6 +286,10 @@ def knn_predict(
         mean = F.sum(F.col("w") * F.col("payload")) / F.sum("w")
         return near.groupBy("query_id").agg(mean.alias("prediction"))
     votes = near.groupBy("query_id", "payload").agg(F.sum("w").alias("v"))
-    return votes.groupBy("query_id").agg(
-        F.max_by("payload", F.struct("v", -F.col("payload"))).alias("prediction")
+    total = votes.groupBy("query_id").agg(  # at most k entries
+        F.max_by("payload", F.struct("v", -F.col("payload"))).alias("prediction"),
+        F.sum("v").alias("all"),
+        F.collect_list(F.struct(F.col("payload").cast("int").alias("c"), "v")).alias("votes"),
     )
+    shares = F.map_from_entries(F.transform("votes", lambda x: F.struct(x["c"], x["v"] / F.col("all"))))
+    return total.select("query_id", "prediction", shares.alias("shares"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..dist import q
+from ..dist import q, running_totals
 
 
 def page(df: DataFrame, order: Sequence[Column], skip: int = 0, limit: int = 100) -> DataFrame:
@@ -174,10 +174,22 @@ def session_messages(messages: DataFrame, session_id) -> DataFrame:
     return messages.where(F.col("session_id") == F.lit(session_id)).orderBy("created_at")
 
 
-def number_messages(messages: DataFrame) -> DataFrame:
-    """Place of each message in its session, in time order."""
-    order = Window.partitionBy("session_id").orderBy("created_at")
-    return messages.withColumn("place", F.row_number().over(order))
+def number_messages(messages: DataFrame, tie: str = "id") -> DataFrame:
+    """Place of each message in its session, in time order and then by `tie`.
+
+    Messages before a moment come from prefix sums over ranges of time, so a
+    session with most of all messages is spread over tasks; a window orders
+    only messages of one session and one moment.
+    """
+    counts = messages.groupBy("session_id", "created_at").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_at", F.unix_micros(F.col("created_at").cast("timestamp")))
+    before = running_totals(counts, "_at", {"_before": "_n"}, partition=["session_id"])
+    before = before.select(F.col("session_id").alias("_s"), F.col("created_at").alias("_c"), "_before")
+    same = messages["session_id"].eqNullSafe(F.col("_s")) & messages["created_at"].eqNullSafe(F.col("_c"))
+    order = Window.partitionBy("session_id", "created_at").orderBy(*([q(tie)] if tie in messages.columns else [F.lit(0)]))
+    joined = messages.join(before, same, "left")
+    place = F.coalesce("_before", F.lit(0)) + F.row_number().over(order)
+    return joined.withColumn("place", place).drop("_s", "_c", "_before")
 
 
 def cascade_delete(sessions: DataFrame, children: dict[str, DataFrame], deleted: DataFrame) -> dict[str, DataFrame]:

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dist import q, running_max
+from ..session import cut_lineage
 
-BLOCK_POINTS = 20_000
+BLOCK_POINTS = 4_096
 
 def _complete() -> Column:
     return F.col("state") == "COMPLETE"
@@ -96,7 +97,7 @@ def pareto_front(trials: DataFrame, objectives: dict[str, str]) -> DataFrame:
 
     Two objectives need no pairs at all: in order of the first, a trial stays
     when it beats the running best of the second.  More objectives are reduced
-    in rounds of hash blocks, so only block fronts move on.
+    to the fronts of hash blocks, which are then compared in pairs.
     """
     rows = trials.where(_complete())
     for c in objectives:
@@ -118,26 +119,45 @@ def pareto_front(trials: DataFrame, objectives: dict[str, str]) -> DataFrame:
     return rows.join(front, names, "left_semi").drop(*names)
 
 
-def _block_front(points: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Fronts of hash blocks in parallel, then the front of the survivors."""
+def _beaten(a, b):
+    """Which rows of a some row of b matches in all objectives and beats in one."""
     import numpy as np
+
+    out = np.zeros(len(a), dtype=bool)
+    for i in range(0, len(a), 256):
+        part = a[i : i + 256, None, :]
+        out[i : i + 256] = ((b[None] >= part).all(axis=2) & (b[None] > part).any(axis=2)).any(axis=1)
+    return out
+
+
+def _block_front(points: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Fronts of hash blocks in parallel; what survives is compared block by
+    block.  No task holds more than two blocks, however many points survive."""
     import pandas as pd
 
+    names = list(names)
+    schema = ", ".join(f"{n} double" for n in names)
+
     def front(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf[list(names)].to_numpy(dtype=float)
-        m = m[np.lexsort(tuple(-m[:, j] for j in reversed(range(m.shape[1]))))]
-        kept: list = []
-        for row in m:
-            if not any((k >= row).all() and (k > row).any() for k in kept):
-                kept.append(row)
-        return pd.DataFrame(kept, columns=list(names))
+        m = pdf[names].to_numpy(dtype=float)
+        return pdf.loc[~_beaten(m, m), names]
+
+    def losers(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({n: [] for n in names})
+        return left.loc[_beaten(left[names].to_numpy(dtype=float), right[names].to_numpy(dtype=float)), names]
+
+    def block(n: int):
+        return F.pmod(F.xxhash64(*names), F.lit(n)).cast("int")
 
-    schema = ", ".join(f"{n} double" for n in names)
     typed = points.select(*[F.col(n).cast("double").alias(n) for n in names])
-    blocks = max(1, math.ceil(points.count() / BLOCK_POINTS))
-    while True:
-        block = F.pmod(F.xxhash64(*names), F.lit(blocks)).alias("_block")
-        typed = typed.groupBy(block).applyInPandas(front, schema)
-        if blocks == 1:
-            return typed
-        blocks = max(1, blocks // 8)
+    first = max(1, math.ceil(points.count() / BLOCK_POINTS))
+    left = cut_lineage(typed.groupBy(block(first)).applyInPandas(front, schema))
+    blocks = max(1, math.ceil(left.count() / BLOCK_POINTS))
+    if first == 1:
+        return left
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    here = left.select(*names, block(blocks).alias("i"), every.alias("j")).groupBy("i", "j")
+    there = left.select(*names, every.alias("i"), block(blocks).alias("j")).groupBy("i", "j")
+    gone = here.cogroup(there).applyInPandas(losers, schema).distinct()
+    return left.join(gone, names, "left_anti")

@@ -58,19 +58,19 @@ def register(key, name, label, task, params=None):
     return run
 
 
-register("m1_random_forest_classifier", "random_forest", "size3", "classification", {"n_estimators": 20})
-register("m1_random_forest_regressor", "random_forest", "charge", "regression", {"n_estimators": 20})
-register("m2_gradient_boosting_classifier", "gradient_boosting", "big", "classification", {"n_estimators": 10})
-register("m2_gradient_boosting_multiclass", "gradient_boosting", "size3", "classification", {"n_estimators": 3})
-register("m2_gradient_boosting_regressor", "gradient_boosting", "charge", "regression", {"n_estimators": 10})
+register("m1_random_forest_classifier", "random_forest", "size3", "classification")
+register("m1_random_forest_regressor", "random_forest", "charge", "regression")
+register("m2_gradient_boosting_classifier", "gradient_boosting", "big", "classification")
+register("m2_gradient_boosting_multiclass", "gradient_boosting", "size3", "classification")
+register("m2_gradient_boosting_regressor", "gradient_boosting", "charge", "regression")
 register("m3_logistic_regression", "logistic_regression", "size3", "classification")
 register("m4_decision_tree_classifier", "decision_tree", "size3", "classification")
 register("m4_decision_tree_regressor", "decision_tree", "charge", "regression")
 register("m7_linear_svm", "linear_svm", "big", "classification")
-register("m7_kernel_svm", "svm", "big", "classification", {"components": 50})
-register("m7_kernel_svr", "svm", "charge", "regression", {"components": 50})
+register("m7_kernel_svm", "svm", "big", "classification")
+register("m7_kernel_svr", "svm", "charge", "regression")
 register("m12_huber", "huber", "charge", "regression")
-register("m13_adaboost", "adaboost", "charge", "regression", {"n_estimators": 5})
+register("m13_adaboost", "adaboost", "charge", "regression")
 
 DIST = " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in FEATURES)
 NEAR = f"WITH {ORDER_SQL}{SPLIT_SQL}, near AS (SELECT a.o_orderkey, b.size3 AS y, b.charge, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY {DIST}, b.o_orderkey) AS r FROM parts a JOIN parts b ON a.is_test AND NOT b.is_test)\n"
@@ -79,17 +79,26 @@ NEAR = f"WITH {ORDER_SQL}{SPLIT_SQL}, near AS (SELECT a.o_orderkey, b.size3 AS y
 def near_query(spark, d, label, task):
     train, test = train_test_split(orders_data(spark, d), KEY)
     model = models.fit_model(train, "knn", FEATURES, label, task, key=KEY)
-    return model.transform(test).select(KEY, "prediction")
+    return model.transform(test)
+
+
+SHARES = ", ".join(f"count(*) FILTER (WHERE y = {k}) / 5 AS p{k}" for k in range(3))
+
+
+@query("m5_knn_probability", NEAR + f"SELECT o_orderkey, {SHARES} FROM near WHERE r <= 5 GROUP BY 1")
+def m5p(spark, d):
+    out = near_query(spark, d, "size3", "classification")
+    return out.select(KEY, *[F.col("probability")[k].alias(f"p{k}") for k in range(3)])
 
 
 @query("m5_knn_classifier", NEAR + "SELECT o_orderkey, CAST(y AS DOUBLE) AS prediction FROM (SELECT o_orderkey, y, row_number() OVER (PARTITION BY o_orderkey ORDER BY count(*) DESC, y) AS v FROM near WHERE r <= 5 GROUP BY o_orderkey, y) WHERE v = 1")
 def m5(spark, d):
-    return near_query(spark, d, "size3", "classification")
+    return near_query(spark, d, "size3", "classification").select(KEY, "prediction")
 
 
 @query("m5_knn_regressor", NEAR + "SELECT o_orderkey, round(avg(charge), 6) AS prediction FROM near WHERE r <= 5 GROUP BY 1")
 def m5b(spark, d):
-    return rounded(near_query(spark, d, "charge", "regression"))
+    return rounded(near_query(spark, d, "charge", "regression").select(KEY, "prediction"))
 
 
 NB = f"WITH {ORDER_SQL}, s AS (SELECT size3, count(*) AS n, " + ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in FEATURES) + """ FROM data GROUP BY 1),
@@ -143,7 +152,7 @@ def m14(spark, d):
 @query("m15_train_many")
 def m15(spark, d):
     train, test = train_test_split(orders_data(spark, d), KEY)
-    names = ["linear_regression", "ridge", "decision_tree", "no_such_model"]
+    names = [*models.DEFAULT_REGRESSORS, "no_such_model"]
     _, board = models.train_many(train, test, FEATURES, "charge", "regression", names)
     return board.select("model", F.round(F.col("metrics")["r2"], 4).alias("r2"), "error")
 
@@ -216,7 +225,7 @@ def n1c(spark, d):
     return rounded(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", vote.alias("prediction")))
 
 
-BASES = [("tree", "decision_tree", {}), ("line", "logistic_regression", {"max_iter": 50})]
+BASES = [("tree", "decision_tree", {}), ("line", "logistic_regression", {})]
 REG_BASES = [("tree", "decision_tree", {}), ("line", "ridge", {})]
 
 
@@ -235,7 +244,7 @@ def n2(spark, d):
 
 @query("n2_stacking_classifier")
 def n2b(spark, d):
-    return ensemble_query(spark, d, lambda a: ensemble.fit_stacking(a, BASES, FEATURES, "big", "classification", KEY, folds=3), "big", "classification")
+    return ensemble_query(spark, d, lambda a: ensemble.fit_stacking(a, BASES, FEATURES, "big", "classification", KEY), "big", "classification")
 
 
 @query("n3_blending")
@@ -245,7 +254,7 @@ def n3(spark, d):
 
 @query("n4_multi_level")
 def n4(spark, d):
-    return ensemble_query(spark, d, lambda a: ensemble.fit_multi_level(a, [REG_BASES, [("line", "ridge", {})]], FEATURES, "charge", "regression", KEY, folds=3), "charge", "regression")
+    return ensemble_query(spark, d, lambda a: ensemble.fit_multi_level(a, [REG_BASES, [("line", "ridge", {})]], FEATURES, "charge", "regression", KEY), "charge", "regression")
 
 
 @query("n5_compare_all", "SELECT 'Base_' || model AS model, round(value, 6) AS value FROM (SELECT o_orderpriority AS model, avg(o_totalprice) / 500000 AS value FROM orders GROUP BY 1) UNION ALL SELECT 'Ensemble_' || model, round(value, 6) FROM (SELECT o_orderstatus AS model, avg(o_totalprice) / 400000 AS value FROM orders GROUP BY 1)")
@@ -261,7 +270,7 @@ def n5(spark, d):
 @query("n6_auto_ensemble")
 def n6(spark, d):
     train, test = train_test_split(orders_data(spark, d), KEY)
-    _, board = ensemble.auto_ensemble(train, test, REG_BASES, FEATURES, "charge", "regression", KEY, folds=3)
+    _, board = ensemble.auto_ensemble(train, test, REG_BASES, FEATURES, "charge", "regression", KEY)
     return rounded(board, 4)
 
 
