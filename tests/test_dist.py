@@ -97,3 +97,10 @@ def test_hash_cuts_with_a_hot_key(spark):
     cut = dist.hash_cuts(df, "k", 42, [(1, 2)])[None][0]
     n = df.where(dist.hash_key("k", 42) <= cut).count()
     assert n >= 45 and cut
+
+
+def test_quantiles_leave_out_nan_at_any_size(spark):
+    rows = [(float("nan") if i % 10 == 0 else float("inf") if i % 10 == 1 else float(i % 7),) for i in range(1000)]
+    df = spark.createDataFrame([*rows, (None,)], "x double")
+    small, large = (dist.exact_quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.95], small_rows=n)["x"] for n in (10, 10**6))
+    assert small == large == [0.0, 1.0, 3.0, float("inf")]

@@ -67,11 +67,49 @@ def test_logistic_regression_penalty(data):
     assert np.allclose([m.intercept, *m.coefficients.toArray()], w, atol=5e-3)
 
 
+def known(name, params):
+    """Only parameters of the model: others are errors (see below)."""
+    return {k: v for k, v in params.items() if k in models.PARAMS[name]}
+
+
+def test_unknown_parameters_are_errors(data):
+    with pytest.raises(ValueError, match="max_dept"):
+        models.fit_model(data[0], "decision_tree", X, "c", "classification", {"max_dept": 3})
+
+
+@pytest.mark.parametrize(
+    "name, params, set_",
+    [
+        ("random_forest", {"max_features": "log2"}, "featureSubsetStrategy"),
+        ("random_forest", {"criterion": "entropy"}, "impurity"),
+        ("random_forest", {"bootstrap": False}, "bootstrap"),
+        ("random_forest", {"max_samples": 0.5}, "subsamplingRate"),
+        ("decision_tree", {"min_impurity_decrease": 0.1}, "minInfoGain"),
+        ("decision_tree", {"max_bins": 8}, "maxBins"),
+        ("gradient_boosting", {"subsample": 0.5}, "subsamplingRate"),
+        ("gradient_boosting", {"learning_rate": 0.3}, "stepSize"),
+        ("logistic_regression", {"penalty": "l1"}, "elasticNetParam"),
+        ("logistic_regression", {"C": 5.0}, "regParam"),
+        ("linear_svm", {"tol": 0.1}, "tol"),
+    ],
+)
+def test_parameters_reach_the_estimator(data, name, params, set_):
+    plain, given = (models.classifier(name, "c", 100, 2, p) for p in ({}, params))
+    assert plain.getOrDefault(set_) != given.getOrDefault(set_)
+
+
+def test_support_vectors_ignore_what_is_inside_the_tube(spark):
+    rows = [(float(i), 2.0 * i + 1 + (0.4 if i % 2 else -0.4)) for i in range(60)] + [(30.0, 500.0)]
+    df = spark.createDataFrame(rows, "a double, y double")
+    model = models.fit_model(df, "linear_svr", ["a"], "y", "regression", {"epsilon": 0.5, "C": 10.0})
+    assert abs(model.weights[0] - 2.0) < 0.05 and abs(model.intercept - 1.0) < 1.0
+
+
 @pytest.mark.parametrize("name", models.CLASSIFIERS)
 def test_classifiers_learn(data, name):
     df = data[0]
     small = {"n_estimators": 5, "components": 30, "max_iter": 30}
-    model = models.fit_model(df, name, X, "c", "classification", small, key="id")
+    model = models.fit_model(df, name, X, "c", "classification", known(name, small), key="id")
     out = model.transform(df)
     assert models.score(out, "c", "accuracy") > 0.7
     assert out.where(F.abs(F.aggregate("probability", F.lit(0.0), lambda s, v: s + v) - 1) > 1e-6).isEmpty()
@@ -80,7 +118,7 @@ def test_classifiers_learn(data, name):
 @pytest.mark.parametrize("name", ["random_forest", "gradient_boosting", "svm", "decision_tree", "knn", "adaboost"])
 def test_regressors_learn(data, name):
     df = data[0]
-    model = models.fit_model(df, name, X, "y", "regression", {"n_estimators": 6, "components": 60, "max_iter": 50, "learning_rate": 0.5}, key="id")
+    model = models.fit_model(df, name, X, "y", "regression", known(name, {"n_estimators": 6, "components": 60, "max_iter": 50, "learning_rate": 0.5}), key="id")
     assert models.score(model.transform(df), "y", "r2") > 0.6
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import eventlog
+from millrace.session import scratch_path
 from millrace.streaming import events as streaming
 
 SCHEMA = (
@@ -54,13 +55,22 @@ def test_search_on_a_stream(spark, log):
 
 
 def test_subscribers_do_not_disturb_each_other(spark, log):
-    seen = []
+    """A failed batch is raised after all were called, and handed out again by the next run."""
+    seen, failures = {}, []
 
     def bad(df, batch):
-        raise RuntimeError("broken")
+        if batch == 1 and not failures:
+            failures.append(batch)
+            raise RuntimeError("broken")
 
-    streaming.push_to(stream(spark, log), [bad, lambda df, batch: seen.append(df.count())])
-    assert sum(seen) == 240 and len(seen) == 4
+    def good(df, batch):
+        seen[batch] = seen.get(batch, []) + [df.count()]
+
+    checkpoint = scratch_path(spark, "pushed")
+    with pytest.raises(Exception, match="broken"):
+        streaming.push_to(stream(spark, log), [bad, good], checkpoint)
+    streaming.push_to(stream(spark, log), [bad, good], checkpoint)
+    assert {b: n[-1] for b, n in seen.items()} == {0: 60, 1: 60, 2: 60, 3: 60} and len(seen[1]) == 2
 
 
 def test_repeats_are_dropped(spark, log):
@@ -69,6 +79,20 @@ def test_repeats_are_dropped(spark, log):
     assert same(got, log[0].select("event_id"))
 
 
+def test_a_replay_loses_nothing_whatever_the_order_of_files(spark, log, tmp_path):
+    path = str(tmp_path / "late")
+    for part in (3, 0, 2, 1):  # the newest hour comes first
+        log[0].where(f"event_id div 60 = {part}").coalesce(1).write.mode("append").parquet(path)
+    late = streaming.read_stream(spark, path, log[0].schema, max_files=1)
+    delay = streaming.replay_delay(log[0])
+    got = streaming.run_to_table(streaming.drop_repeats(late, delay).select("event_id"), "append")
+    assert same(got, log[0].select("event_id"))
+    wide = streaming.newest_candidates(late, keep=7, salts=3, delay=delay)
+    kept = eventlog.newest_per_session(streaming.run_to_table(wide, "append"), 7)
+    want = eventlog.newest_per_session(log[0], 7)
+    assert same(kept.select("session_id", "event_id"), want.select("session_id", "event_id"))
+
+
 def test_closed_windows_are_final(spark, log):
     got = streaming.run_to_table(streaming.windowed_counts(stream(spark, log), "30 minutes", "3 hours"), "append")
     want = {tuple(r) for r in eventlog.hourly_counts(log[0], "30 minutes").collect()}
