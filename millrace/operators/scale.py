@@ -530,19 +530,19 @@ def recommend_scaling(df: DataFrame, family: str | None = None, columns: Sequenc
     """(scope, method, reason): one `global` row and one row per column."""
     facts = analyze_columns(df, columns)
     if family == "tree":
-        overall = F.lit("none"), F.lit("Tree-based models are scale-invariant")
+        overall = F.lit("none"), F.lit("trees do not depend on scale")
     elif family == "neural":
-        overall = F.lit("minmax"), F.lit("Neural networks often perform better with [0,1] range")
+        overall = F.lit("minmax"), F.lit("inputs between 0 and 1 suit networks")
     elif family == "linear":
         some = F.bool_or("has_outliers")
         overall = (
             F.when(some, "robust").otherwise("standard"),
-            F.when(some, "Linear model with outliers present").otherwise(
-                "Linear model without significant outliers"
+            F.when(some, "outliers would dominate a linear fit").otherwise(
+                "no outliers to guard against"
             ),
         )
     else:
-        overall = F.lit("auto"), F.lit("Feature-specific scaling based on distribution")
+        overall = F.lit("auto"), F.lit("each column by its own distribution")
     first = facts.agg(F.lit("global").alias("scope"), overall[0].alias("method"), overall[1].alias("reason"))
     each = facts.select(
         F.col("column_name").alias("scope"), choice().alias("method"), F.lit("column distribution").alias("reason")

@@ -113,36 +113,36 @@ def validate_target(df: DataFrame, target: str, problem_type: str) -> DataFrame:
     spark = df.sparkSession
     if target not in df.columns:
         return spark.createDataFrame(
-            [(False, f"Target column '{target}' not found in dataset")], "ok boolean, message string"
+            [(False, f"no column {target}")], "ok boolean, message string"
         )
     n = F.col("n_unique")
     message = F.when(
         F.col("missing") > 0,
-        F.concat(F.lit("Target variable has "), F.col("missing").cast("string"), F.lit(" missing values")),
+        F.concat(F.col("missing").cast("string"), F.lit(" rows lack the target")),
     )
     if problem_type == "classification":
         message = (
-            message.when(n < 2, "Classification target must have at least 2 unique values")
+            message.when(n < 2, "a single class")
             .when(
                 n > 100,
                 F.concat(
-                    F.lit("Target has "), n.cast("string"), F.lit(" unique values. Consider regression instead.")
+                    n.cast("string"), F.lit(" classes are too many; treat the target as a number")
                 ),
             )
             .when(
                 F.col("smallest") < 5,
                 F.concat(
-                    F.lit("Smallest class has only "),
+                    F.lit("a class of "),
                     F.col("smallest").cast("string"),
-                    F.lit(" samples. Need at least 5."),
+                    F.lit(" rows; 5 are needed"),
                 ),
             )
         )
     elif target not in numeric_columns(df):
-        message = message.otherwise(F.lit("Regression target must be numeric"))
+        message = message.otherwise(F.lit("target is no number"))
     else:
         # one distinct value over at least two rows is a zero deviation
-        message = message.when((n == 1) & (F.col("rows") > 1), "Target variable has zero variance")
+        message = message.when((n == 1) & (F.col("rows") > 1), "target never varies")
     return _class_facts(df, target).select(message.isNull().alias("ok"), message.alias("message"))
 
 
@@ -167,30 +167,30 @@ def recommend_cleaning(df: DataFrame, target: str | None = None) -> DataFrame:
     parts = [
         advice(
             missing.where(pct > 50), 1, "high", "drop_column", name, none,
-            F.format_string("High missing percentage (%.1f%%)", pct),
+            F.format_string("%.1f%% of the cells are missing, too many to fill", pct),
         ),
         advice(
             missing.where(pct <= 50), 2, "medium", "impute", name,
             F.when(name.isin(*[c for c in numeric if c != target]), "mean").otherwise("mode"),
-            F.format_string("Missing values (%.1f%%)", pct),
+            F.format_string("%.1f%% of the cells are missing", pct),
         ),
         advice(
             outlier_report(df, numeric).where(F.col("outlier_pct") > 5), 3, "medium",
             "handle_outliers", name, F.lit("clip"),
-            F.format_string("High outlier percentage (%.1f%%)", F.col("outlier_pct")),
+            F.format_string("%.1f%% of the values are outliers", F.col("outlier_pct")),
         ),
         advice(
             roles.where("high_cardinality"), 4, "high", "encode_categorical", name,
-            F.lit("target_encoding"), F.lit("High cardinality categorical feature"),
+            F.lit("target_encoding"), F.lit("many distinct texts"),
         ),
         advice(
             varying_scales(df, [c for c in numeric if c != target]).where("varying"), 5, "high",
             "scale_features", F.lit(None).cast("string"), F.lit("standard"),
-            F.lit("Features have varying scales"),
+            F.lit("ranges differ a thousandfold"),
         ),
         advice(
             roles.where("constant"), 6, "high", "drop_column", name, none,
-            F.lit("Constant feature (no variation)"),
+            F.lit("a single value"),
         ),
     ]
     out = parts[0]

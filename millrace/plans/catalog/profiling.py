@@ -273,12 +273,12 @@ def p22(spark, d):
 @query("p23_recommend_cleaning", WITH + """, m AS (SELECT * FROM (""" + each(DIRTY_COLUMNS, "100.0 * (count(*) - count({c})) / count(*) AS pct", "dirty") + """)),
 o AS (""" + outlier_sql(DIRTY_NUM, "dirty") + """), u AS (""" + each(DIRTY_COLUMNS, "count(DISTINCT {c}) AS n", "dirty") + """),
 sp AS (""" + union_sql([f"SELECT max({c}) - min({c}) AS r FROM dirty" for c in DIRTY_NUM]) + """)
-SELECT 'high' AS priority, 1 AS rule, 'drop_column' AS action, column_name, CAST(NULL AS VARCHAR) AS strategy, format('High missing percentage ({:.1f}%)', pct) AS reason FROM m WHERE pct > 50
-UNION ALL SELECT 'medium', 2, 'impute', column_name, CASE WHEN column_name IN ('o_orderkey','o_custkey','o_totalprice','mostly_null','const') THEN 'mean' ELSE 'mode' END, format('Missing values ({:.1f}%)', pct) FROM m WHERE pct > 0 AND pct <= 50
-UNION ALL SELECT 'medium', 3, 'handle_outliers', column_name, 'clip', format('High outlier percentage ({:.1f}%)', outlier_pct) FROM o WHERE outlier_pct > 5
-UNION ALL SELECT 'high', 4, 'encode_categorical', column_name, 'target_encoding', 'High cardinality categorical feature' FROM u WHERE column_name IN ('o_orderstatus', 'o_orderpriority') AND n > 50
-UNION ALL SELECT 'high', 5, 'scale_features', NULL, 'standard', 'Features have varying scales' FROM sp HAVING max(r) / (min(r) + 1e-10) > 1000
-UNION ALL SELECT 'high', 6, 'drop_column', column_name, NULL, 'Constant feature (no variation)' FROM u WHERE n <= 1""")
+SELECT 'high' AS priority, 1 AS rule, 'drop_column' AS action, column_name, CAST(NULL AS VARCHAR) AS strategy, format('{:.1f}% of the cells are missing, too many to fill', pct) AS reason FROM m WHERE pct > 50
+UNION ALL SELECT 'medium', 2, 'impute', column_name, CASE WHEN column_name IN ('o_orderkey','o_custkey','o_totalprice','mostly_null','const') THEN 'mean' ELSE 'mode' END, format('{:.1f}% of the cells are missing', pct) FROM m WHERE pct > 0 AND pct <= 50
+UNION ALL SELECT 'medium', 3, 'handle_outliers', column_name, 'clip', format('{:.1f}% of the values are outliers', outlier_pct) FROM o WHERE outlier_pct > 5
+UNION ALL SELECT 'high', 4, 'encode_categorical', column_name, 'target_encoding', 'many distinct texts' FROM u WHERE column_name IN ('o_orderstatus', 'o_orderpriority') AND n > 50
+UNION ALL SELECT 'high', 5, 'scale_features', NULL, 'standard', 'ranges differ a thousandfold' FROM sp HAVING max(r) / (min(r) + 1e-10) > 1000
+UNION ALL SELECT 'high', 6, 'drop_column', column_name, NULL, 'a single value' FROM u WHERE n <= 1""")
 def p23(spark, d):
     return target.recommend_cleaning(dirty_orders(spark, d))
 
@@ -298,10 +298,10 @@ def p24(spark, d):
 
 @query("p25_validate_target", WITH + union_sql([
     "SELECT 'o_orderstatus' AS target, true AS ok, CAST(NULL AS VARCHAR) AS message FROM orders HAVING count(DISTINCT o_orderstatus) BETWEEN 2 AND 100",
-    "SELECT 'o_orderpriority', false, 'Target variable has ' || (count(*) - count(o_orderpriority)) || ' missing values' FROM dirty",
-    "SELECT 'o_custkey', false, 'Target has ' || count(DISTINCT o_custkey) || ' unique values. Consider regression instead.' FROM dirty",
-    "SELECT 'const', false, 'Target variable has zero variance' FROM dirty HAVING stddev_samp(const) = 0",
-    "SELECT 'o_orderstatus:regression', false, 'Regression target must be numeric'"]))
+    "SELECT 'o_orderpriority', false, (count(*) - count(o_orderpriority)) || ' rows lack the target' FROM dirty",
+    "SELECT 'o_custkey', false, count(DISTINCT o_custkey) || ' classes are too many; treat the target as a number' FROM dirty",
+    "SELECT 'const', false, 'target never varies' FROM dirty HAVING stddev_samp(const) = 0",
+    "SELECT 'o_orderstatus:regression', false, 'target is no number'"]))
 def p25(spark, d):
     df = dirty_orders(spark, d)
     asks = [("o_orderstatus", "classification", "o_orderstatus"), ("o_orderpriority", "classification", "o_orderpriority"),

@@ -198,7 +198,7 @@ def z17(spark, d):
     return rounded(scale.fit_winsor_scaler(df, ["value"]).transform(df))
 
 
-@query("z18_recommend", f"""SELECT 'global' AS scope, CASE WHEN v OR u THEN 'robust' ELSE 'standard' END AS method, CASE WHEN v OR u THEN 'Linear model with outliers present' ELSE 'Linear model without significant outliers' END AS reason
+@query("z18_recommend", f"""SELECT 'global' AS scope, CASE WHEN v OR u THEN 'robust' ELSE 'standard' END AS method, CASE WHEN v OR u THEN 'outliers would dominate a linear fit' ELSE 'no outliers to guard against' END AS reason
 FROM (SELECT {outside('value', 'events')} AS v, {outside('user_id', 'events')} AS u FROM events)
 UNION ALL SELECT column_name, CASE WHEN has_outliers THEN 'robust' WHEN unique_ratio < 0.05 THEN 'minmax' ELSE 'standard' END, 'column distribution' FROM (""" + union_sql([shape_sql(*s) for s in SHAPES]) + ")")
 def z18(spark, d):

@@ -95,9 +95,9 @@ def s8(spark, d):
 
 
 @query("s9_validate_format", f"""WITH {DIRTY_SQL} SELECT 'dirty' AS name, true AS ok, CAST(NULL AS VARCHAR) AS message FROM dirty HAVING count(*) >= 10 AND count(mostly_null) > 0
-UNION ALL SELECT 'hollow', false, 'Columns with all null values: hollow' FROM orders HAVING count(*) >= 10
-UNION ALL SELECT 'region', false, 'Dataset must have at least 10 rows' FROM region HAVING count(*) < 10
-UNION ALL SELECT 'narrow', false, 'Dataset must have at least 2 columns' FROM orders HAVING count(*) > 0""")
+UNION ALL SELECT 'hollow', false, 'only missing values in: hollow' FROM orders HAVING count(*) >= 10
+UNION ALL SELECT 'region', false, 'fewer than 10 rows' FROM region HAVING count(*) < 10
+UNION ALL SELECT 'narrow', false, 'fewer than 2 columns' FROM orders HAVING count(*) > 0""")
 def s9(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey")
     frames = {

@@ -156,13 +156,13 @@ def validate_format(df: DataFrame, min_rows: int = 10, first_rows: int | None =
         df = df.limit(first_rows)
     facts = missing_counts(df) if df.columns else None
     if facts is None:
-        return df.sparkSession.createDataFrame([(False, "Dataset is empty")], "ok boolean, message string")
+        return df.sparkSession.createDataFrame([(False, "no rows")], "ok boolean, message string")
     empty = F.array_sort(F.collect_list(F.when(F.col("missing") == F.col("rows"), F.col("column_name"))))
     one = facts.agg(F.max("rows").alias("rows"), empty.alias("empty"))  # one row per column goes in
     message = (
-        F.when(F.col("rows") == 0, "Dataset is empty")
-        .when(F.lit(len(df.columns) < 2), "Dataset must have at least 2 columns")
-        .when(F.col("rows") < min_rows, f"Dataset must have at least {min_rows} rows")
-        .when(F.size("empty") > 0, F.concat(F.lit("Columns with all null values: "), F.array_join("empty", ", ")))
+        F.when(F.col("rows") == 0, "no rows")
+        .when(F.lit(len(df.columns) < 2), "fewer than 2 columns")
+        .when(F.col("rows") < min_rows, f"fewer than {min_rows} rows")
+        .when(F.size("empty") > 0, F.concat(F.lit("only missing values in: "), F.array_join("empty", ", ")))
     )
     return one.select(message.isNull().alias("ok"), message.alias("message"))

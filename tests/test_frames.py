@@ -156,9 +156,9 @@ def test_preprocessor_reuses_fitted_statistics(spark):
 def test_validate_format(spark):
     good = spark.createDataFrame([(i, "a") for i in range(12)], "a int, b string")
     assert io.validate_format(good).first()["ok"]
-    assert io.validate_format(good.limit(3)).first()["message"] == "Dataset must have at least 10 rows"
-    assert io.validate_format(good.limit(0)).first()["message"] == "Dataset is empty"
-    assert io.validate_format(good.select("a")).first()["message"] == "Dataset must have at least 2 columns"
+    assert io.validate_format(good.limit(3)).first()["message"] == "fewer than 10 rows"
+    assert io.validate_format(good.limit(0)).first()["message"] == "no rows"
+    assert io.validate_format(good.select("a")).first()["message"] == "fewer than 2 columns"
     assert "c" in io.validate_format(good.withColumn("c", F.lit(None).cast("int")), first_rows=10).first()["message"]
 
 
