@@ -301,6 +301,31 @@ REGRESSORS = (
 DEFAULT_REGRESSORS = ("linear_regression", "ridge", "random_forest", "gradient_boosting")
 
 
+@dataclass
+class FourierLift:
+    """Random Fourier features of standardised columns, as column `_features`."""
+
+    features: list[str]
+    mean: np.ndarray
+    std: np.ndarray
+    w: np.ndarray
+    b: np.ndarray
+
+    def __call__(self, table: DataFrame) -> DataFrame:
+        mean, std, w, b = self.mean, self.std, self.w, self.b
+        scale = math.sqrt(2.0 / len(b))
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def project(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype=object)
+            z = (np.vstack(x.to_numpy()) - mean) / std
+            return pd.Series(list(scale * np.cos(z @ w + b)))
+
+        raw = F.array(*[F.coalesce(q(c).cast("double"), F.lit(float(m))) for c, m in zip(self.features, mean)])
+        return table.withColumn("_features", array_to_vector(project(raw)))
+
+
 def fourier_features(df: DataFrame, features: Sequence[str], size: int, gamma: float | None, seed: int = SEED):
     """Fit random Fourier features of an RBF kernel (Rahimi and Recht 2007) on
     standardised columns.  Returns the lift used for training and prediction."""
@@ -314,18 +339,7 @@ def fourier_features(df: DataFrame, features: Sequence[str], size: int, gamma: f
     w = rng.normal(scale=math.sqrt(2.0 * gamma), size=(len(features), size))
     b = rng.uniform(0.0, 2.0 * math.pi, size=size)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def project(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        z = (np.vstack(x.to_numpy()) - mean) / std
-        return pd.Series(list(math.sqrt(2.0 / size) * np.cos(z @ w + b)))
-
-    def lift(table: DataFrame) -> DataFrame:
-        raw = F.array(*[F.coalesce(q(c).cast("double"), F.lit(float(m))) for c, m in zip(features, mean)])
-        return table.withColumn("_features", array_to_vector(project(raw)))
-
-    return lift
+    return FourierLift(list(features), mean, std, w, b)
 
 
 @dataclass

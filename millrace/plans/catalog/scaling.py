@@ -213,11 +213,16 @@ def z19(spark, d):
     return rounded(rounded(scale.scaling_report(df, fitted), 4, ["mean"]), 6, ["std"])
 
 
-@query("z20_preprocess", f"""WITH {DIRTY_SQL}, u AS (SELECT DISTINCT * FROM dirty),
+Z20_SQL = (
+    f"""WITH {DIRTY_SQL}, u AS (SELECT DISTINCT * FROM dirty),
 k AS (SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice, coalesce(o_orderpriority, {MODE.format(t='u')}) AS o_orderpriority FROM u)
 SELECT o_orderkey, o_totalprice, round((o_custkey - m) / s, 6) AS o_custkey,
 """ + ", ".join(f"CASE WHEN o_orderstatus = '{v}' THEN 1 ELSE 0 END AS \"o_orderstatus_{v}\"" for v in "OP") + ", "
     + ", ".join(f"CASE WHEN o_orderpriority = '{v}' THEN 1 ELSE 0 END AS \"o_orderpriority_{v}\"" for v in ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
-    + " FROM k, (SELECT avg(o_custkey) AS m, stddev_pop(o_custkey) AS s FROM k)")
+    + " FROM k, (SELECT avg(o_custkey) AS m, stddev_pop(o_custkey) AS s FROM k)"
+)
+
+
+@query("z20_preprocess", Z20_SQL)
 def z20(spark, d):
     return rounded(preprocess(dirty_orders(spark, d), target="o_totalprice", preset="standard", keep=["o_orderkey"]))

@@ -7,9 +7,14 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ...dist import nan_to_null
+from ...operators import tune
+from ...operators.clean import drop_duplicates
 from ...session import scratch_path
 from ...sources import io, store
+from ..preprocess import fit_preprocessor
 from .base import DIRTY_SQL, dirty_orders, query, rounded, table
+from .scaling import Z20_SQL
 
 CUSTOMER = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 NAME = "element_at(split(path, '/'), -1)"
@@ -137,6 +142,33 @@ def s11(spark, d):
     return rounded(out.select("o_orderkey", v[0].alias("code"), v[1].alias("price")))
 
 
+@query("s11_reload_preprocessor", Z20_SQL)
+def s11b(spark, d):
+    df = dirty_orders(spark, d)
+    fitted = fit_preprocessor(df, target="o_totalprice", preset="standard", keep=["o_orderkey"])
+    path = scratch_path(spark, "preprocessor")
+    store.save_fitted(spark, fitted, path)
+    return rounded(store.load_fitted(spark, path).transform(drop_duplicates(nan_to_null(df))))
+
+
+@query("s12_continue_study", "SELECT * FROM (VALUES (0, 'COMPLETE'), (1, 'COMPLETE'), (2, 'COMPLETE'), (3, 'COMPLETE')) AS t(trial, state) WHERE (SELECT count(*) FROM orders) > 0")
+def s12b(spark, d):
+    """Two trials, saved and loaded, and two more: the same points as four at once."""
+    orders = table(spark, d, "orders")
+    space = {"share": tune.Param("float", 0.1, 0.9)}
+
+    def objective(params):
+        return orders.agg(F.percentile_approx("o_totalprice", params["share"])).first()[0]
+
+    path = scratch_path(spark, "study")
+    store.save_fitted(spark, tune.Study(space).run(objective, 2), path)
+    study = store.load_fitted(spark, path).run(objective, 2)
+    whole = tune.Study(space).run(objective, 4)
+    if study.points != whole.points:
+        raise AssertionError("a continued study must draw the points of an unbroken one")
+    return study.frame(spark).select("trial", "state")
+
+
 @query("s12_reload_study", "SELECT p_partkey AS trial, p_retailprice AS value FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 1")
 def s12(spark, d):
     from ...operators.trials import best_trial

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+import base64
+import importlib
+import io
+import pickle
+import sys
+
+from pyspark import cloudpickle
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.util import MLReadable, MLWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +79,65 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+# ---- fitted objects ------------------------------------------------------------------
+
+
+class _Writer(cloudpickle.CloudPickler):
+    """Pickles an object; its tables and MLlib models are written beside it and named in their place."""
+
+    def __init__(self, out, path: str):
+        super().__init__(out)
+        self.path, self.parts = path, {}
+
+    def persistent_id(self, part):
+        if isinstance(part, DataFrame):
+            kind, write = "table", lambda at: part.write.mode("overwrite").parquet(at)
+        elif isinstance(part, Transformer) and isinstance(part, MLWritable):
+            kind, write = "model", lambda at: part.write().overwrite().save(at)
+        else:
+            return None
+        if id(part) not in self.parts:
+            name = f"{kind}-{len(self.parts)}"
+            write(f"{self.path}/{name}")
+            self.parts[id(part)] = (kind, name, type(part).__module__, type(part).__qualname__, part)
+        return self.parts[id(part)][:4]
+
+
+class _Reader(pickle.Unpickler):
+    def __init__(self, raw, spark: SparkSession, path: str):
+        super().__init__(raw)
+        self.spark, self.path, self.parts = spark, path, {}
+
+    def persistent_load(self, pid):
+        kind, name, module, cls = pid
+        if name not in self.parts:
+            at = f"{self.path}/{name}"
+            if kind == "table":
+                self.parts[name] = self.spark.read.parquet(at)
+            else:
+                found: type[MLReadable] = getattr(importlib.import_module(module), cls)
+                self.parts[name] = found.load(at)
+        return self.parts[name]
+
+
+def save_fitted(spark: SparkSession, fitted, path: str) -> None:
+    """Any fitted object of the library (preprocessor, scaler, encoder, model,
+    ensemble, study): tables as parquet, MLlib models in their own format, the
+    rest as one small pickled row.  Load only what you trust, as with any pickle."""
+    package = sys.modules[__name__.split(".")[0]]
+    raw = io.BytesIO()
+    # classes of the library are named, not copied, so that newer code can read older files
+    cloudpickle.unregister_pickle_by_value(package)
+    try:
+        _Writer(raw, path).dump(fitted)
+    finally:
+        cloudpickle.register_pickle_by_value(package)
+    state = base64.b64encode(raw.getvalue()).decode()
+    spark.createDataFrame([(state,)], "state string").write.mode("overwrite").parquet(f"{path}/state")
+
+
+def load_fitted(spark: SparkSession, path: str):
+    state = spark.read.parquet(f"{path}/state").first()["state"]  # one row
+    return _Reader(io.BytesIO(base64.b64decode(state)), spark, path).load()

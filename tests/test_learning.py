@@ -222,3 +222,16 @@ def test_successive_halving_keeps_the_better_half(data):
     trials, scores = tune.successive_halving(data[0], "decision_tree", X, "y", "regression", "id", space, n_trials=4, shares=(0.5, 1.0))
     states = [r["state"] for r in trials.collect()]
     assert states.count("COMPLETE") >= 2 and scores.where("round = 1").count() == states.count("COMPLETE")
+
+
+@pytest.mark.parametrize("name, task", [("decision_tree", "classification"), ("svm", "regression"), ("knn", "classification"), ("ridge", "regression")])
+def test_saved_models_predict_the_same(spark, data, tmp_path, name, task):
+    from millrace.sources import store
+
+    df, label = data[0], "c" if task == "classification" else "y"
+    model = models.fit_model(df, name, X, label, task, known(name, {"components": 20, "max_iter": 5}), key="id")
+    store.save_fitted(spark, model, str(tmp_path / "m"))
+    again = store.load_fitted(spark, str(tmp_path / "m"))
+    assert type(again) is type(model)
+    want, got = (sorted(map(tuple, m.transform(df).select("id", "prediction").collect())) for m in (model, again))
+    assert got == want
