@@ -105,15 +105,41 @@ def cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def _keys(rows: DataFrame, bits: int, tables: int, near: bool) -> DataFrame:
-    """rows (id, dim, code, ...) -> one row with `key` for each table (near: and each flipped bit)."""
+    """rows (id, dim, code, ...) -> one row with `key` (of table t and substring
+    value) for each table (near: and each flipped bit)."""
     size = bits // tables
     flips = [0] + ([1 << i for i in range(size)] if near else [])
 
     def key(t: int, flip: int):
         part = F.shiftrightunsigned("code", t * size).bitwiseAND(F.lit((1 << size) - 1))
-        return F.xxhash64(F.lit(t), "dim", part.bitwiseXOR(F.lit(flip).cast("long")))
+        value = part.bitwiseXOR(F.lit(flip).cast("long"))
+        return F.struct(F.xxhash64(F.lit(t), "dim", value).alias("key"), F.lit(t).alias("t"), value.alias("value"))
 
-    return rows.withColumn("key", F.explode(F.array(*[key(t, f) for t in range(tables) for f in flips])))
+    entries = F.array(*[key(t, f) for t in range(tables) for f in flips])
+    return rows.select("*", F.inline(entries))
+
+
+def _first_meeting(x, y, table, value, bits: int, tables: int):
+    """True at one of the keys where two codes meet: in the first table whose
+    substrings differ in at most two bits, at the smallest value between them."""
+    size = bits // tables
+
+    def part(c, t):
+        return F.shiftrightunsigned(c, t * size).bitwiseAND(F.lit((1 << size) - 1))
+
+    found, earlier = F.lit(False), F.lit(False)
+    for t in range(tables):
+        a, b = part(x, t), part(y, t)
+        differ = a.bitwiseXOR(b)
+        low = differ.bitwiseAND(-differ)  # the lowest bit in which they differ
+        meets = F.bit_count(differ) <= 2
+        # equal: that value; one bit apart: the smaller; two bits: the smaller of the two in between
+        least = F.when(F.bit_count(differ) <= 1, F.least(a, b)).otherwise(
+            F.least(a.bitwiseXOR(low), b.bitwiseXOR(low))
+        )
+        found = found | ((table == t) & ~earlier & meets & (value == least))
+        earlier = earlier | meets
+    return found
 
 
 def near_duplicates(
@@ -174,10 +200,11 @@ def near_duplicates(
         )
         major = scratch.write(major.where("lo <> hi").select("key", "major"), "major")
         minor = scratch.write(entries.join(major, "key").where("ball <> major").drop("major"), "minor")
-        left = minor.select("key", F.col("id").alias("x"), F.col("ball").alias("p"), F.col("code").alias("c"))
+        left = minor.select("key", "t", "value", F.col("id").alias("x"), F.col("ball").alias("p"), F.col("code").alias("c"))
         right = entries.select(F.col("key").alias("k"), F.col("id").alias("y"), F.col("ball").alias("q"), F.col("code").alias("d"))
         apart = F.bit_count(F.col("c").bitwiseXOR(F.col("d")))
-        meet = left.join(right, (F.col("key") == F.col("k")) & (F.col("p") != F.col("q")) & (apart <= most_bits))
+        once = _first_meeting(F.col("c"), F.col("d"), F.col("t"), F.col("value"), bits, tables)
+        meet = left.join(right, (F.col("key") == F.col("k")) & (F.col("p") != F.col("q")) & (apart <= most_bits) & once)
         pairs = meet.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
         # a leader that is itself in another ball
         owner = balls.select(F.col("id").alias("ball"), F.col("ball").alias("above"))
