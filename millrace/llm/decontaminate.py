@@ -78,7 +78,7 @@ def leaks(
 
         sizes = shared.groupBy("id").agg(F.floor(F.log2(F.count("*"))).cast("int").alias("class"))
         classed = scratch.write(shared.join(sizes, "id"), "classed")
-        classes = F.broadcast(classed.select("class").distinct())  # at most 63 rows
+        classes = [r[0] for r in classed.select("class").distinct().collect()]  # at most 63 numbers
         q = parts.groupBy("id").agg(F.count("*").alias("n_item"))
         needed = F.ceil(F.col("n_item") * percent / 100)
         items_sized = scratch.write(
@@ -86,7 +86,8 @@ def leaks(
         )
         most = items_sized.agg(F.max("perms")).first()[0] or 1
         sketch = _sketch(classed, F.lit(most))
-        probes = _sketch(parts.join(items_sized, "id").join(classes), F.col("perms"))
+        every = F.explode(F.array(*[F.lit(c) for c in sorted(classes)]).cast("array<int>"))
+        probes = _sketch(parts.join(items_sized, "id").withColumn("class", every), F.col("perms"))
         probes = probes.select(F.col("id").alias("item"), "class", "perm", "low")
         pairs = sketch.join(probes, ["class", "perm", "low"]).select("id", "item").distinct()
 
