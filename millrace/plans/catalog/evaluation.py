@@ -280,11 +280,11 @@ def m16(spark, d):
     return rounded(best.unionByName(reports.rank_models(r, "f1", minimize=True).select(F.lit("min").alias("direction"), "*")))
 
 
-@query("k27_evaluate_regression", REG + ", small AS (SELECT label / 1000 AS label, prediction / 1000 AS prediction FROM preds), w AS (SELECT " + REG_COLS.replace(", 2) AS mse", ", 6) AS mse") + " FROM small) SELECT metric, format('{:.4f}', value) AS text FROM (UNPIVOT w ON mse, rmse, mae, r2, explained_variance, max_error, mape, mean_residual, std_residual INTO NAME metric VALUE value)")
+@query("k27_evaluate_regression", REG + ", small AS (SELECT label / 1000 AS label, prediction / 1000 AS prediction FROM preds), w AS (SELECT " + REG_COLS.replace(", 2) AS mse", ", 6) AS mse").replace(", 6)", ", 10)") + " FROM small) SELECT metric, format('{:.4f}', value) AS text FROM (UNPIVOT w ON mse, rmse, mae, r2, explained_variance, max_error, mape, mean_residual, std_residual INTO NAME metric VALUE value)")
 def k27(spark, d):
     small = [(F.col(c) / 1000).alias(c) for c in ("label", "prediction")]
     rows = metrics.evaluate_regression(regression_predictions(spark, d).select(*small))
-    return metrics.format_metrics(rows.withColumn("value", F.round("value", 6)))
+    return metrics.format_metrics(rows.withColumn("value", F.round("value", 10)))
 
 
 @query("k27_evaluate_classification", PER_CLASS + union_sql([
