@@ -205,8 +205,8 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
 COSINE_SQL = """WITH RECURSIVE v AS (
   SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-some AS (SELECT * FROM v WHERE list_dot_product(e, e) > 0),
-links AS (SELECT x.id AS a, y.id AS b FROM some x JOIN some y ON x.id <> y.id AND len(x.e) = len(y.e)
+live AS (SELECT * FROM v WHERE list_dot_product(e, e) > 0),
+links AS (SELECT x.id AS a, y.id AS b FROM live x JOIN live y ON x.id <> y.id AND len(x.e) = len(y.e)
           WHERE list_cosine_similarity(x.e, y.e) >= 0.9),
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
