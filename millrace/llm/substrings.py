@@ -21,7 +21,8 @@ and no text meets more than the shards of its own anchors: work is linear.
 An anchor with more than `hot` distinct segments (a phrase in very many
 contexts) would make one index too large.  The windows of such segments are
 counted the plain exact way, by a 128-bit hash of all their words with map-side
-combining; the same answer at any size.
+combining; the same answer at any size.  As equal segments are one row there,
+each carries the largest id of its holders besides the smallest.
 
 Defined results: a null or empty text has no words; a null id is smaller than
 none and larger than all, so its words go if the window is anywhere else and
@@ -105,7 +106,7 @@ def _segment_rows(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _segment_words(picked: DataFrame) -> DataFrame:
-    """picked (text, parts array<struct<anchor, content, owner, begin, size>>) -> one row of word hashes a part."""
+    """picked (text, parts array<struct<anchor, content, owner, top, begin, size>>) -> one row of word hashes a part."""
 
     def run(batches):
         for batch in sliced(batches, "text", 1 << 19):
@@ -118,11 +119,11 @@ def _segment_words(picked: DataFrame) -> DataFrame:
             inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             values = w.hash[np.repeat(begin, size) + inside]
             yield pa.RecordBatch.from_arrays(
-                [flat.field(k) for k in (*KEY, "owner")] + [list_column(as_long(values), size)],
-                names=[*KEY, "owner", "words"],
+                [flat.field(k) for k in (*KEY, "owner", "top")] + [list_column(as_long(values), size)],
+                names=[*KEY, "owner", "top", "words"],
             )
 
-    return picked.mapInArrow(run, "anchor long, content long, owner long, words array<long>")
+    return picked.mapInArrow(run, "anchor long, content long, owner long, top long, words array<long>")
 
 
 def _shard_matches(width: int):
@@ -178,12 +179,12 @@ def _windows(parts: DataFrame, width: int) -> DataFrame:
                 ok = np.flatnonzero(offset + width <= lengths[row])
                 h1, h2 = ngrams(words, width, 2)[ok], ngrams(words, width, 3)[ok]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(k).take(pa.array(row[ok])) for k in (*KEY, "owner")]
+                    [part.column(k).take(pa.array(row[ok])) for k in (*KEY, "owner", "top")]
                     + [pa.array(offset[ok].astype(np.int32)), pa.array(as_long(h1)), pa.array(as_long(h2))],
-                    names=[*KEY, "owner", "lo", "h1", "h2"],
+                    names=[*KEY, "owner", "top", "lo", "h1", "h2"],
                 )
 
-    return parts.mapInArrow(run, "anchor long, content long, owner long, lo int, h1 long, h2 long")
+    return parts.mapInArrow(run, "anchor long, content long, owner long, top long, lo int, h1 long, h2 long")
 
 
 def _place(df: DataFrame, id_col: str, text_col: str) -> list:
@@ -202,21 +203,22 @@ def repeated_intervals(
     anchors = rows.groupBy("anchor").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y")
     shared = scratch.write(rows.join(scratch.write(anchors.select("anchor"), "anchors"), "anchor"), "shared")
     scratch.drop("segments", "anchors")
-    distinct = shared.groupBy(*KEY).agg(F.min(F.struct(F.col("id").alias("owner"), "tag", "begin", "size")).alias("at"))
-    distinct = scratch.write(distinct.select(*KEY, "at.*"), "distinct")
+    least = F.min(F.struct(F.col("id").alias("owner"), "tag", "begin", "size")).alias("at")
+    distinct = shared.groupBy(*KEY).agg(least, F.max("id").alias("top"))
+    distinct = scratch.write(distinct.select(*KEY, "at.*", "top"), "distinct")
     crowd = distinct.groupBy("anchor").count().where(F.col("count") > hot).select("anchor")
     crowd = scratch.write(crowd, "crowd")
-    part = F.struct(*KEY, "owner", "begin", "size")
+    part = F.struct(*KEY, "owner", "top", "begin", "size")
     wanted = distinct.groupBy(F.col("owner").alias("id"), "tag").agg(F.collect_list(part).alias("parts"))
     wanted = scratch.write(wanted, "wanted")
     words = scratch.write(_segment_words(docs.join(wanted, ["id", "tag"]).select("text", "parts")), "words")
 
     shards = max(1, -(-distinct.count() // shard_segments))
-    calm = words.join(crowd, "anchor", "left_anti").withColumn("shard", F.pmod("anchor", F.lit(shards)))
+    calm = words.drop("top").join(crowd, "anchor", "left_anti").withColumn("shard", F.pmod("anchor", F.lit(shards)))
     kind = "anchor long, content long, lo int, hi int, least long"
     indexed = calm.groupBy("shard").applyInArrow(_shard_matches(width), kind)
     windows = scratch.write(_windows(words.join(crowd, "anchor"), width), "windows")
-    first = windows.groupBy("h1", "h2").agg(F.min("owner").alias("least"), F.max("owner").alias("y"))
+    first = windows.groupBy("h1", "h2").agg(F.min("owner").alias("least"), F.max("top").alias("y"))
     first = scratch.write(first.where("least < y").drop("y"), "first")
     counted = windows.join(first, ["h1", "h2"]).select(*KEY, "lo", (F.col("lo") + width).alias("hi"), "least")
     found = scratch.write(indexed.unionByName(counted), "found")

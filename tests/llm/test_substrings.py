@@ -90,6 +90,20 @@ def test_anchors_in_many_contexts_take_the_other_exact_way(spark):
     assert cut(spark, rows, width=12, hot=1) == brute(rows, 12)
 
 
+def test_copies_of_whole_documents_are_cut_the_other_exact_way(spark):
+    rng = random.Random(4)
+    rows = documents(4, 12)
+    for i, n in enumerate((2, 3, 5)):  # copies that no other document has a word of
+        text = " ".join(f"c{i}.{rng.randrange(40)}" for _ in range(90))
+        rows += [(200 + 10 * i + k, text, "", "", "") for k in range(n)]
+    rows += [(300 + r[0], r[1], "", "", "") for r in rows[:8]]
+    want = brute(rows, 12)
+    assert sum(n for *_, n in want) > 600
+    assert cut(spark, rows, width=12) == want
+    assert cut(spark, rows, width=12, hot=1) == want
+    assert cut(spark, rows, width=12, hot=0) == want
+
+
 def test_defined_results(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [
