@@ -8,6 +8,8 @@ schema fingerprint.  A table of declarative mappings, one row of expressions
 for each fingerprint, turns records into `turns array<struct<role, text>>`.
 Records of a fingerprint that no mapping knows keep null turns and their
 fingerprint, so that they can be counted and a mapping can be added.
+Texts are emptied before the fields are looked at, and equal neighbours in a
+list become one, so that a long text or many turns meet no limit of the parser.
 
 `format_turns` writes the turns in one text (each turn between a start and an
 end marker, control strings inside texts broken by a backslash, backslashes
@@ -31,12 +33,35 @@ CONTROL = ["<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 #: an occurrence of a control string: its first character, and what must follow
 _FIRST = r"(<(?=\||/s>|s>|<SYS>>|</SYS>>)|\[(?=INST\]|/INST\]))"
 
+#: inside of a JSON string; possessive, so that Java's matcher needs no stack
+_INSIDE = r'[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+'
+#: a name with its colon, or the quotes of a text
+_NAME_OR_TEXT = rf'("{_INSIDE}"\s*+:)|("){_INSIDE}(")'
+#: a string, or an object without nested ones and its equal neighbours
+_EQUAL = rf'("{_INSIDE}")|(\{{(?:[^{{}}\[\]"]|"{_INSIDE}")*+\}})(?:\s*+,\s*+\2)++'
+#: characters without texts from which neighbours are looked at; what is shorter fits a variant (128 MiB)
+_MANY = 1 << 24
+#: the reader's own limit is 20,000,000 characters
+_WHOLE = {"maxStringLen": str((1 << 31) - 1)}
+
 TURNS = "array<struct<role:string,text:string>>"
 
 
+def _bare(record: Column) -> Column:
+    """A JSON text with empty texts; what is no JSON text stays none."""
+    bare = F.regexp_replace(record, _NAME_OR_TEXT, "$1$2$3")
+    return F.when(F.length(bare) > _MANY, F.regexp_replace(bare, _EQUAL, "$1$2")).otherwise(bare)
+
+
 def field_paths(record: Column) -> Column:
-    """Nested field paths of a JSON text, without values and scalar types; null if it is no object."""
-    kind = F.schema_of_variant(F.try_parse_json(record))
+    """Nested field paths of a JSON text, without values and scalar types; null if it is no object.
+
+    An error if a JSON text is too large for a variant even without its texts."""
+    bare = _bare(record)
+    kind = F.schema_of_variant(F.try_parse_json(bare))
+    broken = F.from_json(bare, "_broken string", {**_WHOLE, "columnNameOfCorruptRecord": "_broken"})["_broken"]
+    lost = kind.isNull() & (F.length(bare) > _MANY) & broken.isNull()
+    kind = F.when(lost, F.raise_error(F.lit("a record is too large for its fields to be read"))).otherwise(kind)
     bare = F.regexp_replace(kind, r": (?!OBJECT<|ARRAY<)[A-Z][A-Z0-9_]*(\([0-9, ]*\))?", "")
     bare = F.regexp_replace(bare, r"ARRAY<(?!OBJECT|ARRAY)[A-Z][A-Z0-9_]*(\([0-9, ]*\))?>", "ARRAY<>")
     return F.when(F.startswith(kind, F.lit("OBJECT")), bare)
@@ -52,11 +77,11 @@ def _turn(role, text) -> Column:
 
 
 def _get(name: str) -> Column:
-    return F.get_json_object("record", f"$.{name}")
+    return F.from_json("record", f"`{name}` string", _WHOLE)[name]
 
 
 def _messages(name: str, role: str, text: str) -> Column:
-    rows = F.from_json(_get(name), f"array<struct<`{role}`:string,`{text}`:string>>")
+    rows = F.from_json("record", f"`{name}` array<struct<`{role}`:string,`{text}`:string>>", _WHOLE)[name]
     return F.transform(rows, lambda m: _turn(m[role], m[text]))
 
 

@@ -110,6 +110,45 @@ def test_round_trip(spark):
         assert not [s for s in chat.CONTROL if s in inside]
 
 
+def test_texts_above_the_parser_limits(spark):
+    long = F.repeat(F.lit('"x\\\n{'), 4_200_000)  # 21 million characters
+    rows = spark.range(6).select(
+        (F.col("id") % 2).alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"),
+        F.when(F.col("id") < 2, long).otherwise(F.lit("b")).alias("text"),
+    )
+    pair = spark.range(2).select(F.lit(7).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), long)
+    out = chat.format_turns(chat.canonical_turns(chat.as_records(rows.unionByName(pair.toDF(*rows.columns)))))
+    f = F.col("formatted")
+    turns = F.transform(chat.read_turns(f), lambda t: F.struct(t["role"], F.length(t["text"]), F.sha2(t["text"], 256)))
+    got = {r[0]: [tuple(t) for t in r[1]] for r in out.select("conv_id", turns).collect()}
+    big, small = [(len(t), hashlib.sha256(t.encode()).hexdigest()) for t in ('"x\\\n{' * 4_200_000, "b")]
+    assert got == {
+        0: [("user", *big), ("assistant", *small), ("assistant", *small)],
+        1: [("assistant", *big), ("user", *small), ("assistant", *small)],
+        7: [("user", *big), ("assistant", *big)],
+    }
+
+
+def test_field_paths_do_not_depend_on_texts(spark, monkeypatch):
+    cases = {
+        '{"a" : "x\\"y: \\u00e9, {", "b{": [ "1", "]" , 2], "c": {"d\\"": ":"}}': "",
+        '{"m": [{"r": "1", "c": "2"}, {"r": "3","c": "4"}, {"c": null}], "n": "}"}': "OBJECT<m: ARRAY<OBJECT<c, r>>, n>",
+        '{"a": "\\x"}': None, '{"a": "line\nbreak"}': None, '{"a": "open': None, '{"a" "b"}': None, '"a"': None,
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "record string")
+    plain = [r[0] for r in df.select(F.schema_of_variant(F.try_parse_json("record"))).collect()]
+    first = [r[0] for r in df.select(chat.field_paths(F.col("record"))).collect()]
+    assert [p is not None for p in first] == [(p or "").startswith("OBJECT") for p in plain]
+    assert first[1:] == list(cases.values())[1:]
+    monkeypatch.setattr(chat, "_MANY", 3)
+    assert [r[0] for r in df.select(chat.field_paths(F.col("record"))).collect()] == first
+    many = json.dumps({"messages": [{"role": str(i), "content": "x"} for i in range(5000)]})
+    short = spark.createDataFrame([(many,)], "record string").select(chat._bare(F.col("record"))).first()[0]
+    assert short == '{"messages": [{"role": "", "content": ""}]}'
+
+
 def test_no_conversations(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_turns(chat.canonical_turns(chat.as_records(df))).count() == 0
