@@ -3,7 +3,8 @@
 1. Urls are cut into host and path; equal ones are judged once.
 2. Digits inside segments become `{n}`, long hexadecimal ones `{hex}`; what is
    left is grouped, so a host's pages are a few typed paths.
-3. The tree is grown one level at a time for all hosts together.  Below each
+3. The tree is grown for all hosts together, from each node down to the first
+   segment at which its paths part, as deep as they part.  Below each such
    node a child is generalised to `*` if the node has more than `branches`
    children and the child less than `least_share` of its pages (a variable
    segment), or if its share of bad labels does not differ from that of all its
@@ -15,7 +16,8 @@
 5. Of the rules that fit (host or parent domain, and start of the path) the
    longest decides; only urls without one are left to the templates.
 
-Levels below `depth` are one segment `**`, which is part of what a template is.
+Where all pages of a node have one and the same rest of the path, what of it
+lies below `depth` is written `**`; that names a template but joins no two.
 
 Defined results: a null url, or one without `://`, has empty host and path and
 is judged like any other; labels that are null are not counted; a rule with an
@@ -25,6 +27,8 @@ string decides, of equal rules `block`.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +43,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
-def typed_segments(path: Column, depth: int) -> Column:
+def typed_segments(path: Column) -> Column:
     """Segments of a path with digits and hexadecimal strings generalised."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
 
@@ -47,8 +51,7 @@ def typed_segments(path: Column, depth: int) -> Column:
         bare = F.regexp_replace(s, "[0-9]+", "{n}")
         return F.when(F.rlike(s, F.lit("^(?=.*[0-9])[0-9a-fA-F-]{16,}$")), F.lit("{hex}")).otherwise(bare)
 
-    kept = F.transform(F.slice(parts, 1, depth), typed)
-    return F.when(F.size(parts) > depth, F.concat(kept, F.array(F.lit("**")))).otherwise(kept)
+    return F.transform(parts, typed)
 
 
 def longest_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -72,30 +75,55 @@ def templates(
     paths: DataFrame, scratch: Scratch, depth: int, branches: int, least_share: float, z: float
 ) -> DataFrame:
     """paths (host, segments, n, labelled, bad) -> host, segments, template and the counts."""
-    now = paths.withColumn("template", F.lit(""))
-    levels = paths.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(levels):
-        now = now.withColumn("child", F.get("segments", F.lit(level)))
-        deeper = now.where("child is not null")
-        sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-        children = scratch.write(deeper.groupBy("host", "template", "child").agg(*sums), "children")
-        nodes = children.groupBy("host", "template").agg(
-            *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")], F.count("*").alias("width")
+    node, counts = ["host", "template"], ["n", "labelled", "bad"]
+    now = paths.withColumn("template", F.lit("")).withColumn("at", F.lit(0))
+    size = F.size("segments") - F.col("at")
+    rest = F.slice("segments", F.col("at") + 1, F.greatest(size, F.lit(0)))
+    done = []
+    while not now.isEmpty():
+        # paths part at the first segment in which one differs from the longest
+        longest = scratch.write(now.groupBy(*node).agg(F.max_by(rest, size).alias("longest")), "longest")
+        same = F.zip_with(rest, "longest", lambda x, y: x == y)
+        marked = now.join(longest, node).withColumn("differs", F.array_position(same, False).cast("int"))
+        marked = scratch.write(marked.drop("longest"), "marked")
+        ends = marked.groupBy(*node).agg(
+            F.min(F.when(F.col("differs") > 0, F.col("differs"))).alias("split"), (F.min(size) == F.max(size)).alias("equal")
         )
-        nodes = scratch.write(nodes.where("width > 1"), "nodes")
+        placed = scratch.write(marked.drop("differs").join(scratch.write(ends, "ends"), node), "placed")
+
+        on = F.col("split").isNotNull() & (size >= F.col("split"))
+        single = F.col("split").isNull() & F.col("equal") & (F.size("segments") > depth)
+        shown = F.when(single, F.concat(F.slice(rest, 1, F.greatest(depth - F.col("at"), F.lit(0))), F.array(F.lit("**"))))
+        ended = placed.where(~on).withColumn("template", _below(F.coalesce(shown, rest)))
+        done.append(scratch.write(ended.select(*node, "segments", *counts), "done"))
+
+        now = placed.where(on).withColumn("child", F.get(rest, F.col("split") - 1))
+        now = now.withColumn("template", _below(F.slice(rest, 1, F.col("split") - 1)))
+        now = scratch.write(now.withColumn("at", F.col("at") + F.col("split")).drop("split", "equal"), "going")
+        sums = [F.sum(c).alias(c) for c in counts]
+        children = scratch.write(now.groupBy(*node, "child").agg(*sums), "children")
+        nodes = children.groupBy(*node).agg(*[F.sum(c).alias(f"all_{c}") for c in counts], F.count("*").alias("width"))
+        nodes = scratch.write(nodes, "nodes")
         share = F.col("all_bad") / F.greatest("all_labelled", F.lit(1))
         error = F.sqrt(share * (1 - share) / F.greatest("labelled", F.lit(1)))
         apart = F.abs(F.col("bad") / F.greatest("labelled", F.lit(1)) - share) > z * error
         rare = (F.col("width") > branches) & (F.col("n") < least_share * F.col("all_n"))
-        same = (F.col("labelled") == 0) | ~apart
-        merged = children.join(nodes, ["host", "template"]).where(rare | same)
-        merged = scratch.write(merged.select("host", "template", "child", F.lit("*").alias("wild")), "merged")
-        now = now.join(merged, ["host", "template", "child"], "left")
+        alike = (F.col("labelled") == 0) | ~apart
+        merged = children.join(nodes, node).where(rare | alike)
+        merged = scratch.write(merged.select(*node, "child", F.lit("*").alias("wild")), "merged")
+        now = now.join(merged, [*node, "child"], "left")
         name = F.concat("template", F.lit("/"), F.coalesce("wild", "child"))
-        now = scratch.write(
-            now.withColumn("template", F.coalesce(name, F.col("template"))).drop("child", "wild"), "level"
-        )
-    return now
+        now = scratch.write(now.withColumn("template", name).drop("child", "wild"), "level")
+        done.append(now.where(size == 0).select(*node, "segments", *counts))
+        now = now.where(size > 0)
+        scratch.drop("longest", "marked", "ends", "placed", "going", "children", "nodes", "merged")
+    return reduce(DataFrame.unionByName, done, paths.withColumn("template", F.lit("")).where("false"))
+
+
+def _below(segments: Column) -> Column:
+    """The template with more segments."""
+    more = F.concat(F.lit("/"), F.array_join(segments, "/"))
+    return F.concat("template", F.when(F.size(segments) > 0, more).otherwise(F.lit("")))
 
 
 def judge(
@@ -120,7 +148,7 @@ def judge(
     with Scratch(spark) as scratch:
         counts = [F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")]
         urls = scratch.write(rows.groupBy("host", "path").agg(*counts), "urls")
-        typed = urls.withColumn("segments", typed_segments(F.col("path"), depth))
+        typed = urls.withColumn("segments", typed_segments(F.col("path")))
         sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
         paths = scratch.write(typed.groupBy("host", "segments").agg(*sums), "paths")
         tree = templates(paths, scratch, depth, branches, least_share, z)

@@ -246,6 +246,64 @@ def test_bad_branch_is_rejected_and_variable_segments_are_merged(spark):
     assert got[1000]["template"] == "/a/{n}" and got[1000]["verdict"] == "allow"
 
 
+def test_branches_that_part_deep_are_judged_apart(spark):
+    rng = random.Random(5)
+    rows, deep = [], "/".join("abcdefghi")
+    for i in range(600):
+        spam = i % 3 == 0
+        rows.append((i, f"http://one.com/{deep}/{'spam' if spam else 'good'}/{i}/x/y/z", int(spam), "x"))
+        tail = "/".join(rng.choice("pq") for _ in range(9))
+        rows.append((1000 + i, f"http://two.com/{'s' if spam else 'g'}/{tail}/{'bad' if spam else 'ok'}", int(spam), "x"))
+    rows += [(2000 + i, "http://trap.com" + "/a" * (1 + i), None, "x") for i in range(300)]
+    rows += [(3000 + i, f"http://three.com/{deep}" + "/j" * (i % 2), i % 2, "x") for i in range(60)]
+    got = judge(spark, rows, [])
+    for i, _, bad, _ in rows:
+        if bad is not None:
+            assert got[i]["verdict"] == ("block" if bad else "allow")
+    assert got[0]["template"] == f"/{deep}/spam/**" and got[1]["template"] == f"/{deep}/good/**"
+    assert got[2299]["template"] == "/a" * 300 and got[2000]["template"] == "/a"
+    assert got[3000]["template"] == f"/{deep}" and got[3001]["template"] == f"/{deep}/j"
+
+
+def level_by_level(rows, branches, least_share, z):
+    """Template of each (host, segments) of rows (host, segments, n, labelled, bad), whole paths, one level at a time."""
+    name = {(h, s): "" for h, s, *_ in rows}
+    for level in range(max(len(s) for _, s, *_ in rows)):
+        sums = {}
+        for h, s, *c in rows:
+            if len(s) > level:
+                kids = sums.setdefault((h, name[h, s]), {})
+                kids[s[level]] = [a + b for a, b in zip(kids.get(s[level], [0, 0, 0]), c)]
+        for (h, s), at in list(name.items()):
+            if len(s) > level:
+                kids = sums[h, at]
+                n, labelled, bad = kids[s[level]]
+                all_n, all_labelled, all_bad = map(sum, zip(*kids.values()))
+                share = all_bad / max(1, all_labelled)
+                error = (share * (1 - share) / max(1, labelled)) ** 0.5
+                same = labelled == 0 or not abs(bad / max(1, labelled) - share) > z * error
+                rare = len(kids) > branches and n < least_share * all_n
+                name[h, s] = at + "/" + ("*" if len(kids) > 1 and (rare or same) else s[level])
+    return name
+
+
+def test_templates_are_those_of_one_level_at_a_time(spark):
+    rng = random.Random(6)
+    rows = {}
+    for _ in range(500):
+        s = tuple(rng.choice(["a", "b", "b", "c", "*", ""]) for _ in range(rng.choice([1, 2, 4, 8, 11])))
+        labelled = rng.randrange(9)
+        bad = labelled if s[-1] == "a" or s[0] == "c" else rng.randrange(labelled + 1) // 3
+        rows[rng.choice("xy"), s] = (labelled + rng.randrange(3), labelled, bad)
+    rows = [(h, s, *c) for (h, s), c in rows.items()]
+    df = spark.createDataFrame(rows, "host string, segments array<string>, n long, labelled long, bad long")
+    for branches, z in ((30, 1.0), (2, 0.3)):
+        with Scratch(spark) as scratch:
+            tree = urls.templates(df, scratch, 99, branches, 0.2, z).collect()
+        assert {(r["host"], tuple(r["segments"])): r["template"] for r in tree} == level_by_level(rows, branches, 0.2, z)
+        assert len(tree) == len(rows)
+
+
 def test_urls_defined_results(spark):
     deep = "http://deep.com/" + "/".join("abcdefghij") + "/" + "x" * 50_000
     got = judge(spark, [(1, deep, 1, "x"), (1, deep, 1, "x"), (None, "http://a.com/0123456789abcdef01/", 0, "x")], [])
