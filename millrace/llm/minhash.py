@@ -187,8 +187,9 @@ def near_duplicates(
             "copies",
         )
         same = named.select("id", "fp1", "fp2").join(copies, ["fp1", "fp2"]).where("id <> rep")
-        same = scratch.write(same.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "same")
-        distinct = named.join(same.select(F.col("a").alias("id")), "id", "left_anti")
+        same = scratch.write(same.select(F.col("id").alias("a"), F.col("rep").alias("b"), "fp1", "fp2").distinct(), "same")
+        copied = same.select(F.col("a").alias("id"), "fp1", "fp2")
+        distinct = named.join(copied, ["id", "fp1", "fp2"], "left_anti")
         keys = scratch.write(distinct.select("id", F.explode("bands").alias("key")), "keys")
         buckets = scratch.write(
             keys.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n"),
@@ -235,7 +236,7 @@ def near_duplicates(
         across = _across(open_texts, open_ids, close, percent, width, scratch)
         across = scratch.write(across.join(tried, ["a", "b"], "left_anti"), "across")
         more = scratch.write(confirm(across), "found")
-        edges = same.unionByName(found).unionByName(more)
+        edges = same.select("a", "b").unionByName(found).unionByName(more)
         groups = connected_components(edges, scratch)
         out = sketch.select("id", "n_shingles").join(groups.withColumnRenamed("node", "id"), "id", "left")
         return scratch.result(

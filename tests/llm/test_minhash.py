@@ -73,6 +73,16 @@ def test_defined_results(spark):
     ], key=str)
 
 
+def test_an_id_with_a_copied_and_a_near_copied_text_has_the_links_of_both(spark):
+    first, second = (" ".join(f"{c}{i}" for i in range(80)) for c in "uv")
+    rows = [
+        (3, first, "", ""), (5, first, "", ""), (5, second, "", ""), (9, second + " end", "", ""),
+        (12, first + " end", "", ""), (7, "some other text of few words", "", ""),
+    ]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(3, 3), (5, 3), (9, 3), (12, 3), (7, 7)}
+
+
 def test_empty_table_and_dropping(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert minhash.near_duplicates(none).count() == 0
