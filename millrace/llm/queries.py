@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import scratch_path
 
-from . import chat, decontaminate, itq, language, minhash, mixing, substrings, toxicity, urls, warc
+from . import chat, decontaminate, itq, language, lines, minhash, mixing, substrings, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -241,3 +241,21 @@ def filtered(spark: SparkSession, folder: str) -> DataFrame:
     pages = pages.withColumn("doc_id", F.when(number != "", number).cast("long")).join(labels, "doc_id", "left")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return urls.judge(pages, rules)
+
+
+LINES_SQL = """WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+spread AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM cut),
+keyed AS (SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM spread),
+often AS (SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT doc_id, i, line, last IS NOT NULL AND last <> doc_id AS gone FROM keyed LEFT JOIN often USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+
+@query("op12_line_bitmaps", LINES_SQL)
+def repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
+    marked = lines.mark_lines(table(spark, folder, "documents"))
+    left = lines.kept_text(F.col("text"), F.col("keep"))
+    return marked.select("doc_id", "n_lines", "n_dropped", F.sha2(left, 256).alias("kept_sha256"))
