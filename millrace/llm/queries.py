@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import scratch_path
 
-from . import chat, decontaminate, itq, language, lines, minhash, mixing, substrings, toxicity, urls, warc
+from . import chat, decontaminate, itq, language, lines, manifest, minhash, mixing, substrings, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -259,3 +259,52 @@ def repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
     marked = lines.mark_lines(table(spark, folder, "documents"))
     left = lines.kept_text(F.col("text"), F.col("keep"))
     return marked.select("doc_id", "n_lines", "n_dropped", F.sha2(left, 256).alias("kept_sha256"))
+
+
+def _leaf_sql(text: str) -> str:
+    parts = ["doc_id", "source", "lang", "n_chars", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in parts) + ")"
+
+
+MANIFEST_SQL = f"""WITH RECURSIVE told AS (
+  SELECT *, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+    lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT))), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+    lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc FROM documents),
+rows AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+    CASE WHEN crc & 1 = 1 THEN {_leaf_sql("replace(text, chr(10), '')")} END AS claim FROM told),
+nodes AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+  row_number() OVER () AS g FROM rows),
+lower(source, level, l) AS (
+  SELECT source, 0, list(leaf ORDER BY idx) FROM nodes GROUP BY source UNION ALL
+  SELECT source, level + 1, list_transform(range(0, len(l), 3), lambda i: sha256(array_to_string(l[i + 1:i + 3], '')))
+  FROM lower WHERE len(l) > 1),
+subroots AS (SELECT source, level AS height, l[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place
+  FROM lower WHERE len(l) = 1),
+higher(level, l) AS (
+  SELECT 0, list(subroot ORDER BY place) FROM subroots UNION ALL
+  SELECT level + 1, list_transform(range(0, len(l), 3), lambda i: sha256(array_to_string(l[i + 1:i + 3], '')))
+  FROM higher WHERE len(l) > 1),
+top AS (SELECT l[1] AS root FROM higher WHERE len(l) = 1),
+steps AS (
+  SELECT g, level AS step, CAST(idx // CAST(pow(3, level) AS BIGINT) AS BIGINT) AS i, l
+  FROM nodes JOIN lower ON nodes.source IS NOT DISTINCT FROM lower.source AND len(l) > 1 UNION ALL
+  SELECT g, height + level, CAST(place // CAST(pow(3, level) AS BIGINT) AS BIGINT), l
+  FROM nodes JOIN subroots ON nodes.source IS NOT DISTINCT FROM subroots.source JOIN higher ON len(l) > 1),
+path AS (SELECT g, step, array_to_string(l[i - i % 3 + 1:i], '') AS a, array_to_string(l[i + 2:i - i % 3 + 3], '') AS b FROM steps),
+fold(g, step, digest) AS (
+  SELECT g, CAST(0 AS BIGINT), coalesce(claim, leaf) FROM nodes UNION ALL
+  SELECT f.g, f.step + 1, sha256(a || digest || b) FROM fold f JOIN path p ON p.g = f.g AND p.step = f.step),
+folded AS (SELECT g, arg_max(digest, step) AS folded_root FROM fold GROUP BY g),
+proofs AS (SELECT g, string_agg(a || b, '' ORDER BY step) AS p FROM path GROUP BY g)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(p, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM nodes JOIN subroots ON nodes.source IS NOT DISTINCT FROM subroots.source JOIN folded USING (g)
+LEFT JOIN proofs USING (g), top"""
+
+
+@query("op13_merkle_manifest", MANIFEST_SQL)
+def proven(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    altered = {"text": F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    return manifest.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "source", altered)
