@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import scratch_path
 
-from . import chat, decontaminate, itq, language, lines, manifest, minhash, mixing, substrings, toxicity, urls, warc
+from . import chat, decontaminate, itq, language, lines, manifest, minhash, mixing, negatives, substrings, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -243,6 +243,31 @@ def filtered(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(pages, rules)
 
 
+NEGATIVES_SQL = """WITH live AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.id AS anchor, b.id, a.label = b.label AS alike, CAST(coalesce(list_dot_product(a.v, b.v), 0) AS BIGINT) AS s
+  FROM live a JOIN live b ON a.id % 50 = 0 AND a.id <> b.id AND len(a.v) = len(b.v)),
+positives AS (SELECT anchor, id AS positive_id, s AS p FROM scores WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY s DESC, id) <= 5)
+SELECT anchor AS anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor, positive_id ORDER BY s DESC, id) AS INTEGER) AS rank,
+  id AS negative_id, p AS positive_score, s AS negative_score
+FROM scores JOIN positives USING (anchor) WHERE NOT alike AND 50 * p <= 100 * s AND 100 * s <= 95 * p
+QUALIFY row_number() OVER (PARTITION BY anchor, positive_id ORDER BY s DESC, id) <= 3"""
+
+
+@query("op11_l2ap_negatives", NEGATIVES_SQL)
+def mined(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.whole_vectors(rows.withColumn("label", moved))
+    return negatives.hard_negatives(rows, F.col("id") % 50 == 0)
+
+
 LINES_SQL = """WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 spread AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM cut),
 keyed AS (SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
