@@ -307,6 +307,7 @@ def manifest(
         subroots = lower.tops.select(
             F.lit(0).cast("long").alias("tree"), F.lit(many).cast("long").alias("n"), F.col("tree").alias("idx"), "digest"
         )
+        subroots = scratch.write(subroots, "subroots")
         upper = build(subroots, scratch, "upper", levels)
         top = upper.tops.select("digest").first()
         root = top["digest"] if top else None

@@ -128,7 +128,8 @@ def _pivots(rows: DataFrame, pivots: int, sample_rows: int) -> dict[int, np.ndar
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").collect()
     out = {}
     for dim in {len(r["v"]) for r in sample}:
-        x = np.array([r["v"] for r in sample if len(r["v"]) == dim], float).reshape(-1, dim)
+        mine = [r["v"] for r in sample if len(r["v"]) == dim]
+        x = np.array(mine, float).reshape(len(mine), dim)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
         chosen, far = [0], 1 - x @ x[0]
         while len(chosen) < min(pivots, len(x)) and far.max(initial=0) > 1e-3:
