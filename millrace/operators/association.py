@@ -6,11 +6,13 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dist import BUCKET_ROWS, numeric_columns, q, running_totals
-from ..session import cached
+from ..session import cut_lineage
 
 PAIRS_PER_PASS = 400
 
@@ -47,76 +49,148 @@ def correlated_pairs(df: DataFrame, columns: Sequence[str] | None = None, thresh
     return pearson_pairs(df, columns).where(F.abs("r") > threshold)
 
 
-def _pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
-    x, y = q(a).cast("double"), q(b).cast("double")
-    return (
-        df.where(q(a).isNotNull() & q(b).isNotNull())
-        .groupBy(x.alias("x"), y.alias("y"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+PAIRS = "left_column string, right_column string, r double"
 
 
-def _ranked(pairs: DataFrame, column: str, bucket_rows: int) -> DataFrame:
-    """Average rank and dense index of each distinct value of one side."""
-    values = pairs.groupBy(column).agg(F.sum("n").alias("n")).withColumn("one", F.lit(1).cast("long"))
-    return running_totals(values, column, {"before": "n", "dense": "one"}, bucket_rows=bucket_rows).select(
-        column,
-        (F.col("before") + (F.col("n") + 1) / 2).alias(f"rank_{column}"),
-        F.col("dense").alias(f"dense_{column}"),
-        F.col("n").alias(f"ties_{column}"),
+def _by_name(df: DataFrame, pairs: list[tuple[str, str]], r: DataFrame) -> DataFrame:
+    """r (pair, r) with the names of each pair; a pair without rows has a null r."""
+    names = df.sparkSession.createDataFrame(
+        [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, left_column string, right_column string"
     )
+    return names.join(r, "pair", "left").select("left_column", "right_column", "r")
 
 
-def spearman(df: DataFrame, a: str, b: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row (left_column, right_column, r): Pearson on average ranks.
+def _rank_sets(wide: DataFrame, width: int) -> tuple[list[tuple[int, int]], dict[tuple[int, int], int]]:
+    """Ranks that the pairs of columns c0, c1, ... need: (column, other), and the set of each (column, other).
 
-    Ranks come from distinct values, so ties never travel; the two joins back
-    are plain equi-joins on (x, y) counts that AQE splits when skewed.
+    A column is ranked among the rows where another one is present too, so one
+    ranking serves all others whose missing rows are the same.  Patterns are
+    told apart by a hash of the row numbers they hold, in one pass.
+    """
+    marks = []
+    for i in range(width):
+        lost = F.col(f"c{i}").isNull()
+        marks += [F.count(F.when(lost, 1)), F.bit_xor(F.when(lost, F.xxhash64("row"))), F.sum(F.when(lost, F.hash("row").cast("long")))]
+    row = wide.agg(*[m.alias(f"m{i}") for i, m in enumerate(marks)]).first()
+    pattern = [tuple(row[3 * i : 3 * i + 3]) for i in range(width)]
+    sets: list[tuple[int, int]] = []
+    known: dict[tuple, int] = {}
+    place = {}
+    for a in range(width):
+        for b in range(width):
+            if a != b:
+                # another column without missing rows, or with the same ones, changes nothing
+                alone = not pattern[b][0] or pattern[b] == pattern[a]
+                key = (a, None if alone else pattern[b])
+                if key not in known:
+                    known[key] = len(sets)
+                    sets.append((a, a if alone else b))
+                place[a, b] = known[key]
+    return sets, place
+
+
+def spearman_matrix(df: DataFrame, columns: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(left_column, right_column, r) for i < j, pairwise complete: Pearson on average ranks.
+
+    All columns are ranked together, as rows (set, value), in one pass of
+    prefix sums; ranks return to their rows by one join, and one Gram matrix of
+    the rank vectors has all pairs.  The number of jobs does not depend on the
+    number of columns; more sets than columns are ranked only where patterns of
+    missing values differ.
     """
-    with cached(_pair_counts(df, a, b)) as pairs:
-        rx, ry = _ranked(pairs, "x", bucket_rows), _ranked(pairs, "y", bucket_rows)
-        rows = pairs.join(rx, "x").join(ry, "y")
-        total = pairs.agg(F.sum("n").alias("n")).first()["n"] or 0
-        mid = (total + 1) / 2  # the mean rank on both sides
-        dx, dy, n = F.col("rank_x") - mid, F.col("rank_y") - mid, F.col("n")
-        r = F.try_divide(F.sum(n * dx * dy), F.sqrt(F.sum(n * dx * dx) * F.sum(n * dy * dy)))
-        return _one_pair(df, a, b, rows.agg(r.alias("r")).first()["r"])
+    columns = list(columns)
+    pairs = list(combinations(columns, 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], PAIRS)
+    values = [q(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]
+    wide = cut_lineage(df.select(F.monotonically_increasing_id().alias("row"), *values))
+    sets, place = _rank_sets(wide, len(columns))
+    cells = [
+        F.when(F.col(f"c{a}").isNotNull() & F.col(f"c{b}").isNotNull(), F.struct(F.lit(s).alias("set"), F.col(f"c{a}").alias("value")))
+        for s, (a, b) in enumerate(sets)
+    ]
+    long = wide.select("row", F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
+    counts = long.groupBy("set", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranks = running_totals(counts, "value", {"before": "n"}, ["set"], bucket_rows)
+    # ranks are counted from the middle of each set
+    sizes = counts.groupBy("set").agg(((F.sum("n") + 1) / 2).alias("mid"))
+    ranks = ranks.join(F.broadcast(sizes), "set")  # one row for each set
+    ranks = ranks.select("set", "value", (F.col("before") + (F.col("n") + 1) / 2 - F.col("mid")).alias("rank"))
+    vectors = long.join(ranks, ["set", "value"]).groupBy("row").agg(F.collect_list(F.struct("set", "rank")).alias("v"))
+    left = [place[columns.index(a), columns.index(b)] for a, b in pairs]
+    right = [place[columns.index(b), columns.index(a)] for a, b in pairs]
+
+    def gram(batches):
+        total = np.zeros((len(sets), len(sets)))
+        for batch in batches:
+            v = batch.column("v")
+            offsets, flat = v.offsets.to_numpy(), v.flatten()
+            x = np.zeros((len(v), len(sets)))
+            rows = np.repeat(np.arange(len(v)), np.diff(offsets))
+            x[rows, flat.field("set").to_numpy()] = flat.field("rank").to_numpy()
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(pairs), dtype=np.int32)), *(pa.array(total[i, j]) for i, j in ((left, right), (left, left), (right, right)))],
+            names=["pair", "xy", "xx", "yy"],
+        )
 
+    sums = vectors.select("v").mapInArrow(gram, "pair int, xy double, xx double, yy double")
+    r = F.try_divide(F.sum("xy"), F.sqrt(F.sum("xx") * F.sum("yy")))
+    return _by_name(df, pairs, sums.groupBy("pair").agg(r.alias("r")))
 
-def kendall(df: DataFrame, a: str, b: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row (left_column, right_column, r): Kendall's tau-b in O(n log n).
 
-    Discordant pairs are inversions.  Two x-positions first differ at exactly
-    one bit of their dense index, so every pair is counted once if, for each
-    bit, rows are grouped by the higher bits and the 0-side rows with a larger
-    y are summed for each 1-side row.  That sum is a prefix sum over y, spread
-    over range buckets; no pair of rows is ever formed.
-    """
-    with cached(_pair_counts(df, a, b)) as pairs:
-        return _one_pair(df, a, b, _tau_b(pairs, bucket_rows))
+def spearman(df: DataFrame, a: str, b: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row (left_column, right_column, r)."""
+    return spearman_matrix(df, [a, b], bucket_rows)
 
 
-def _one_pair(df: DataFrame, a: str, b: str, r: float | None) -> DataFrame:
-    return df.sparkSession.createDataFrame([(a, b, r)], "left_column string, right_column string, r double")
+def _ranked(pairs: DataFrame, column: str, bucket_rows: int) -> DataFrame:
+    """Dense index and number of rows of each distinct value of one side of each pair."""
+    values = pairs.groupBy("pair", column).agg(F.sum("n").alias("n")).withColumn("one", F.lit(1).cast("long"))
+    return running_totals(values, column, {"dense": "one"}, ["pair"], bucket_rows).select(
+        "pair", column, F.col("dense").alias(f"dense_{column}"), F.col("n").alias(f"ties_{column}")
+    )
+
 
+def kendall_matrix(df: DataFrame, columns: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(left_column, right_column, r) for i < j, pairwise complete: Kendall's tau-b in O(n log n).
 
-def _tau_b(pairs: DataFrame, bucket_rows: int) -> float | None:
+    Discordant pairs of rows are inversions.  Two x-positions first differ at exactly
+    one bit of their dense index, so every pair is counted once if, for each
+    bit, rows are grouped by the higher bits and the 0-side rows with a larger
+    y are summed for each 1-side row.  That sum is a prefix sum over y, spread
+    over range buckets; no pair of rows is ever formed.  All pairs of columns
+    go through the same jobs.
+    """
+    columns = list(columns)
+    names = list(combinations(columns, 2))
+    if not names:
+        return df.sparkSession.createDataFrame([], PAIRS)
+    cells = [
+        F.when(
+            q(a).isNotNull() & q(b).isNotNull(),
+            F.struct(F.lit(i).alias("pair"), q(a).cast("double").alias("x"), q(b).cast("double").alias("y")),
+        )
+        for i, (a, b) in enumerate(names)
+    ]
+    long = df.select(F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
+    pairs = cut_lineage(long.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n")))
     rx, ry = _ranked(pairs, "x", bucket_rows), _ranked(pairs, "y", bucket_rows)
-    rows = pairs.join(rx.select("x", "dense_x"), "x").join(ry.select("y", "dense_y"), "y")
+    rows = pairs.join(rx.select("pair", "x", "dense_x"), ["pair", "x"]).join(ry.select("pair", "y", "dense_y"), ["pair", "y"])
 
-    def tied(counts):
+    def tied(table, counts, name):
         n = F.col(counts).cast("decimal(38,0)")
-        return F.coalesce(F.sum(n * (n - 1)), F.lit(0)).cast("double") / 2
+        return table.groupBy("pair").agg((F.coalesce(F.sum(n * (n - 1)), F.lit(0)).cast("double") / 2).alias(name))
 
-    n0, n3 = pairs.agg((F.sum("n").cast("double") * (F.sum("n").cast("double") - 1) / 2), tied("n")).first()
-    n1 = rx.agg(tied("ties_x")).first()[0]
-    n2 = ry.agg(tied("ties_y")).first()[0]
+    size = F.sum("n").cast("double")
+    n0 = pairs.groupBy("pair").agg((size * (size - 1) / 2).alias("n0"))
     top = rx.agg(F.max("dense_x")).first()[0] or 0
     bits = max(int(top).bit_length(), 1)
     level = F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))
-    sided = rows.select("dense_x", "dense_y", "n", level.alias("level"))
+    sided = rows.select("pair", "dense_x", "dense_y", "n", level.alias("level"))
     bit = F.expr("shiftright(dense_x, level) & 1")
     sums = sided.groupBy(
+        "pair",
         "level",
         F.expr("shiftright(dense_x, level + 1)").alias("high"),
         # y in descending order: larger values come first
@@ -125,21 +199,22 @@ def _tau_b(pairs: DataFrame, bucket_rows: int) -> float | None:
         F.sum(F.when(bit == 0, F.col("n")).otherwise(0)).alias("zeros"),
         F.sum(F.when(bit == 1, F.col("n")).otherwise(0)).alias("ones"),
     )
-    run = running_totals(sums, "y", {"larger": "zeros"}, ["level", "high"], bucket_rows)
-    discordant = run.agg(
-        F.coalesce(F.sum(F.col("ones").cast("double") * F.col("larger")), F.lit(0.0)).alias("d")
-    )
-    n0 = n0 or 0.0
-    scale = ((n0 - n1) * (n0 - n2)) ** 0.5
-    if not scale:
-        return None
-    return (n0 - n1 - n2 + n3 - 2.0 * discordant.first()["d"]) / scale
+    run = running_totals(sums, "y", {"larger": "zeros"}, ["pair", "level", "high"], bucket_rows)
+    discordant = run.groupBy("pair").agg(F.sum(F.col("ones").cast("double") * F.col("larger")).alias("d"))
+    counted = n0
+    for table, counts, name in ((rx, "ties_x", "n1"), (ry, "ties_y", "n2"), (pairs, "n", "n3")):
+        counted = counted.join(tied(table, counts, name), "pair")
+    scale = F.sqrt((F.col("n0") - F.col("n1")) * (F.col("n0") - F.col("n2")))
+    tau = F.col("n0") - F.col("n1") - F.col("n2") + F.col("n3") - 2.0 * F.col("d")
+    return _by_name(df, names, counted.join(discordant, "pair").select("pair", F.try_divide(tau, scale).alias("r")))
+
+
+def kendall(df: DataFrame, a: str, b: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row (left_column, right_column, r)."""
+    return kendall_matrix(df, [a, b], bucket_rows)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:
     """Upper triangle as rows (left_column, right_column, r)."""
-    if method == "pearson":
-        return pearson_pairs(df, columns)
-    one = {"spearman": spearman, "kendall": kendall}[method]
     columns = list(columns if columns is not None else numeric_columns(df))
-    return reduce(DataFrame.unionByName, [one(df, a, b) for a, b in combinations(columns, 2)])
+    return {"pearson": pearson_pairs, "spearman": spearman_matrix, "kendall": kendall_matrix}[method](df, columns)

@@ -5,6 +5,7 @@ from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +224,36 @@ def test_event_search_is_case_insensitive(spark):
                                "event_id long, message string, source string, event_type string, level string")
     assert {r[0] for r in eventlog.search(df, text="Full").select("event_id").collect()} == {1, 2}
     assert eventlog.search(df, levels=["error"], text="full").count() == 1
+
+
+def test_rank_correlations_of_many_columns(spark):
+    """40 columns, some with missing values of equal and of different patterns; the number of jobs does not grow with them."""
+    rng = np.random.default_rng(11)
+    data = pd.DataFrame({f"c{i}": rng.integers(0, 12, 90) + 0.5 * i for i in range(40)})
+    data["c0"] = 1.0  # no variance
+    hidden, other = rng.random(90) < 0.3, rng.random(90) < 0.2
+    data.loc[hidden, ["c1", "c2"]] = None
+    data.loc[other, "c3"] = None
+    df = spark.createDataFrame(data).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in data])
+    jobs, sc = {}, spark.sparkContext
+    for method, ours in (("spearman", association.spearman_matrix), ("kendall", association.kendall_matrix)):
+        for width in (5, 40):
+            sc.setJobGroup(f"{method}{width}", "")
+            got = ours(df, list(data)[:width], bucket_rows=500).collect()
+            jobs[width] = len(sc.statusTracker().getJobIdsForGroup(f"{method}{width}"))
+            assert len(got) == width * (width - 1) // 2
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert jobs[40] <= jobs[5] + 6
+        for r in got:
+            both = data[[r["left_column"], r["right_column"]]].dropna().to_numpy().T
+            # average ranks, and signs of all pairs of rows, correlate as rho and tau-b
+            x, y = (ranks(v) - (len(v) + 1) / 2 if method == "spearman" else np.sign(v[:, None] - v[None, :]) for v in both)
+            scale = math.sqrt((x * x).sum() * (y * y).sum())
+            assert (r["r"] is None and not scale) or r["r"] == pytest.approx((x * y).sum() / scale, abs=1e-9), r
+
+
+def test_rank_correlations_without_rows(spark):
+    df = spark.createDataFrame([], "a double, b double")
+    for ours in (association.spearman_matrix, association.kendall_matrix):
+        assert [tuple(r) for r in ours(df, ["a", "b"]).collect()] == [("a", "b", None)]
+        assert ours(df, ["a"]).collect() == []
