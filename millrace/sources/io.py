@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from ..dist import hash_key, nan_to_null, q
 from ..operators.profile import missing_counts
+from ..session import cut_lineage
+from . import ranges
 
 FORMATS = ("csv", "json", "parquet")
 MAX_BYTES = 500 * 1024 * 1024
@@ -32,18 +34,34 @@ def read_csv(
     that Spark takes from the first files, and types come from those rows alone.
 
     Quotes inside a field are doubled and fields may hold line breaks, as most
-    tools write them.  Such a file is read by one task; `line_breaks=False`
-    promises that no field holds one and splits large files.  An empty field is
-    NULL and a quoted empty one the empty string.
+    tools write them.  Files are split all the same: a scan of the quotes tells
+    where records begin in each range.  `line_breaks=False` promises that no
+    field holds one and saves that scan.  Records end with a line feed, with or
+    without a carriage return before it.  An empty field is NULL and a quoted
+    empty one the empty string.
     """
-    options = CSV_OPTIONS | {"multiLine": line_breaks}
-    reader = spark.read.options(**options)
-    if schema is None and max_rows is None:
-        return reader.option("inferSchema", True).csv(path)
+    reader = spark.read.options(**CSV_OPTIONS, multiLine=line_breaks)
+    if max_rows is not None:
+        schema = schema or infer_types(reader.csv(path).limit(max_rows))
+        return reader.schema(schema).csv(path).limit(max_rows)
+    if not line_breaks:
+        return reader.schema(schema or infer_types(reader.csv(path))).csv(path)
+    text = T.StructType([T.StructField(c, T.StringType()) for c in reader.csv(path).columns])
+    rows = ranges.lines(spark, path)
+    records = ranges.records(rows, cut_lineage(ranges.quote_states(rows)))
+
+    def parsed(kind: T.StructType) -> DataFrame:
+        ddl = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in kind)
+        options = {k: str(v) for k, v in CSV_OPTIONS.items() if v is not None and k != "header"}
+        return records.select(F.from_csv("record", ddl, options).alias("r")).select("r.*")
+
     if schema is None:
-        schema = infer_types(reader.csv(path).limit(max_rows))
-    df = reader.schema(schema).csv(path)
-    return df if max_rows is None else df.limit(max_rows)
+        schema = infer_types(parsed(text))
+    return parsed(spark.createDataFrame([], schema).schema)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def infer_types(head: DataFrame) -> T.StructType:
@@ -141,10 +159,10 @@ def admit_files(files: DataFrame, allowed: Sequence[str] = ALLOWED, max_bytes: i
     return files.withColumn("reason", reason)
 
 
-def new_files(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
-    """(path, hash) of files whose content hash is not in `known`; of equal
-    files below the path one is kept."""
-    hashed = list_files(spark, path, content=True).select("path", F.md5("content").alias("hash"))
+def new_files(spark: SparkSession, path: str, known: DataFrame, block_bytes: int = 1 << 22) -> DataFrame:
+    """(path, hash) of files whose content hash (`ranges.file_digests`) is not in
+    `known`; of equal files below the path one is kept."""
+    hashed = ranges.file_digests(spark, path, block_bytes).select("path", "hash")
     once = hashed.groupBy("hash").agg(F.min("path").alias("path"))
     return once.join(known.select("hash"), "hash", "left_anti")
 
