@@ -5,6 +5,7 @@ import json
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import chat, decontaminate, itq, urls, warc
@@ -360,3 +361,63 @@ def test_vectors_defined_results(spark):
     want = {r for r in brute(rows) if r[0] is not None} | {(None, 0, None, True)}
     assert {tuple(r) for r in got} == want and len(got) == len(rows)
     assert itq.near_duplicates(df.limit(0)).count() == 0
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("n", [400, 5000])
+@pytest.mark.parametrize("kind", ["everywhere", "common", "clusters", "few dimensions"])
+def test_vectors_of_any_shape(spark, kind, n):
+    """At least 0.9 of all links, and none too many, whatever direction the vectors share."""
+    rng = np.random.default_rng(n)
+    noise = unit(rng.normal(size=(n, 64)))
+    if kind == "everywhere":
+        noise[n // 2 :] = unit(noise[: n - n // 2] + rng.uniform(0.05, 0.5, (n - n // 2, 1)) * noise[n // 2 :])
+        x = noise
+    elif kind == "common":
+        x = unit(unit(rng.normal(size=(1, 64))) + 0.33 * noise)
+    elif kind == "clusters":
+        x = unit(unit(rng.normal(size=(40, 64)))[rng.integers(40, size=n)] + 0.34 * noise)
+    else:
+        x = unit(rng.normal(size=(n, 4)) @ rng.normal(size=(4, 64)))
+    rows = [(f"v{i}", v.tolist()) for i, v in enumerate(x)]
+    got = itq.near_duplicates(spark.createDataFrame(rows, "vec_id string, embedding array<double>"))
+    found = {r["vec_id"]: r["n_links"] for r in got.collect()}
+    found = np.array([found[i] for i, _ in rows])
+    links = ((x @ x.T) >= 0.9).sum(axis=1) - 1
+    assert (found <= links).all() and found.sum() >= 0.9 * links.sum()
+
+
+@pytest.mark.parametrize("n", [50_000, 10_000_000])
+def test_plans_for_more_vectors(n):
+    """Longer substrings for more vectors, and few meetings of vectors that point everywhere."""
+    x = unit(np.random.default_rng(2).normal(size=(3000, 64)))
+    made = itq.plan(x, n, 0.9)
+    a, b = itq._pairs_for(x[:1000], 0.9, 0.975, seed=9)[-1]
+    assert (made.codes(a) == made.codes(b)).any(axis=1).mean() >= 0.93
+    met = np.mean([(made.codes(x[:1000]) == made.codes(x[k : k + 1])).any(axis=1).mean() for k in range(1000, 1100)])
+    assert made.size >= (7 if n < 10**6 else 12) and met < (0.12 if n < 10**6 else 0.01)
+
+
+def test_one_long_vector_costs_little(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(50)] + [(60, rng.normal(size=50_000).tolist())]
+    rows += [(61, [2 * v for v in rows[-1][1]]), (62, [1e300] * 3), (63, [1e-300] * 3)]
+    got = {tuple(r) for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {(60, 1, 60, True), (61, 1, 60, False), (62, 1, 62, True), (63, 1, 62, False)} <= got
+
+
+def test_a_large_group_of_near_copies(spark):
+    """A third of all rows is near one vector; its pairs are counted, and rows near its edge keep their links."""
+    rng = np.random.default_rng(6)
+    centre = unit(rng.normal(size=(1, 16)))
+    near = unit(centre + unit(rng.normal(size=(1200, 16))) * rng.uniform(0, 0.6, (1200, 1)))
+    x = np.concatenate([near, unit(rng.normal(size=(2400, 16)))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    found, links = np.zeros(len(x), int), ((x @ x.T) >= 0.9).sum(axis=1) - 1
+    for r in got:
+        found[r["vec_id"]] = r["n_links"]
+    assert (found <= links).all() and found.sum() >= 0.95 * links.sum()
