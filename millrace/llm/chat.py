@@ -13,8 +13,11 @@ list become one, so that a long text or many turns meet no limit of the parser.
 
 `format_turns` writes the turns in one text (each turn between a start and an
 end marker, control strings inside texts broken by a backslash, backslashes
-doubled) with the code point spans of assistant texts: the loss mask.
-`read_turns` and `masked_text` read both back.
+doubled) with the loss mask: for each turn the code points of the template ahead
+of its text, those of its text, and whether they are in the loss, so that all
+lengths (with one end marker for each turn) add up to the whole text.
+`read_turns` and `masked_text` cut the text once at its markers and read both
+back.  Everything takes time in proportion to the text, however many turns.
 
 Defined results: null text or role is empty; no turns give an empty text; a
 text of any length stays whole; turns of equal number are ordered by role, then
@@ -167,7 +170,7 @@ def _escaped_role(role: Column) -> Column:
 
 
 def format_turns(rows: DataFrame, turns_col: str = "turns") -> DataFrame:
-    """rows with `formatted` and `loss_spans` array<struct<start, length>> in code points."""
+    """rows with `formatted` and `loss_mask` array<struct<ahead, length, loss>>, one for each turn, in code points."""
     pieces = F.transform(
         F.coalesce(F.col(turns_col), F.array().cast(TURNS)),
         lambda t: F.struct(
@@ -178,23 +181,20 @@ def format_turns(rows: DataFrame, turns_col: str = "turns") -> DataFrame:
     )
     rows = rows.withColumn("_pieces", pieces)
     body = F.transform("_pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END)))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    mask = F.transform(
+        "_pieces",
+        lambda p: F.struct(F.length(p["head"]).alias("ahead"), F.length(p["body"]).alias("length"), p["loss"].alias("loss")),
+    )
+    return rows.withColumn("formatted", F.array_join(body, "")).withColumn("loss_mask", mask).drop("_pieces")
 
-    def step(acc, p):
-        begin = acc["at"] + F.length(p["head"])
-        size = F.length(p["body"]).cast("long")
-        span = F.struct(begin.cast("long").alias("start"), size.alias("length"))
-        spans = F.when(p["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((begin + size + len(END)).cast("long").alias("at"), spans.alias("spans"))
 
-    spans = F.aggregate("_pieces", start, step, lambda acc: acc["spans"])
-    return rows.withColumn("formatted", F.array_join(body, "")).withColumn("loss_spans", spans).drop("_pieces")
+def _turn_texts(formatted: Column) -> Column:
+    """Formatted turns without their start markers; no text holds a whole marker."""
+    return F.filter(F.split(formatted, r"<\|im_start\|>"), lambda p, i: i > 0)
 
 
 def read_turns(formatted: Column) -> Column:
     """Turns parsed from a formatted text, unescaped."""
-    parts = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda p, i: i > 0)
     head = r"(?s)^((?:[^\\\n]|\\.)*+)\n"
 
     def turn(p):
@@ -202,15 +202,13 @@ def read_turns(formatted: Column) -> Column:
         text = F.substring(p, F.length(role) + 2, F.length(p) - F.length(role) - 1 - len(END))
         return F.struct(unescaped(role).alias("role"), unescaped(text).alias("text"))
 
-    return F.transform(parts, turn)
+    return F.transform(_turn_texts(formatted), turn)
 
 
-def masked_text(formatted: Column, spans: Column) -> Column:
+def masked_text(formatted: Column, mask: Column) -> Column:
     """All text under the loss mask, unescaped, in order."""
-    return F.array_join(
-        F.transform(
-            spans,
-            lambda s: unescaped(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))),
-        ),
-        "",
-    )
+
+    def text(turn, m):
+        return F.when(m["loss"], unescaped(F.substring(turn, m["ahead"] - F.lit(len(START) - 1), m["length"])))
+
+    return F.array_join(F.zip_with(_turn_texts(formatted), mask, text), "")

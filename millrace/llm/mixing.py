@@ -6,27 +6,33 @@ posterior p_i gets a rate r_i >= 0, the expected number of times that it is
 read, so that the expected tokens of each domain, sum_i r_i n_i p_i, match the
 targets.  The rates minimise
 
-    1/2 sum_d (sum_i r_i n_i p_id - T_d)^2 / N_d,    N_d = sum_i n_i p_id
+    1/2 sum_d (sum_i r_i n_i p_id - T_d)^2 / N_d + e/2 sum_i n_i (r_i - 1)^2,    N_d = sum_i n_i p_id
 
-by projected gradient steps from r = 1 in the metric of the tokens,
+with a vanishing e, which chooses, of all rates that fit, those nearest to 1.
+Gradients are summed before they are projected: with the sum g of k numbers,
 
-    r_i <- max(0, r_i - sum_d p_id (current_d - T_d) / N_d).
+    r_i = max(0, 1 - sum_d p_id g_d),
 
-Posteriors sum to 1, so the step 1 is the inverse of the Lipschitz constant and
-every step lowers the objective.  One step is one aggregation of a few numbers
-over all documents; a rate is replayed from the short list of past residuals,
-so no state is stored and no lineage grows.
+and every step adds the present gradient in the metric of the documents that are
+not at zero, a k x k matrix, with the best of eight step lengths.  Steps end at
+the projected-gradient condition, some ten passes also where domains overlap;
+each pass is one aggregation of a few hundred numbers over all documents, and a
+rate follows from the k numbers alone, so no state is stored.  Targets that no
+rates reach leave a miss, which `Mixture.miss` tells and a warning names.
 
-Training reads at most `max_rows` labelled documents (a documented bound).
+Training reads one text of at most `max_rows` labelled ids (a documented bound),
+as distinct slots with counts.
 
 Defined results: a null or empty text has no tokens and a prior posterior, and
 its rate counts all the same; domains without a target get target 0; targets of
 domains that no label names are left out and the rest is scaled to sum to 1;
-without labels all rates are 1.
+without labels all rates are 1; of an id with several texts the one with the
+least hash trains.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,15 +67,16 @@ class Domains:
         return p / p.sum(axis=1, keepdims=True), tokens
 
 
-def _train(slots: list[np.ndarray], labels: np.ndarray, names: list[str], epochs: int, rate: float) -> Domains:
+def _train(
+    slots: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, names: list[str], epochs: int, rate: float
+) -> Domains:
     k = len(names)
     weights, squares = np.zeros((1 << BITS, k)), np.full((1 << BITS, k), 1e-2)
     share = np.bincount(labels, minlength=k) / max(1, len(labels))
     bias, target = np.log(np.maximum(share, 1e-6)), np.eye(k)
     for _ in range(epochs):
-        for x, y in zip(slots, labels):
-            at, counts = np.unique(x, return_counts=True)
-            value = (counts / np.sqrt(max(1, len(x))))[:, None]
+        for at, count, y in zip(slots, counts, labels):
+            value = (count / np.sqrt(max(1, count.sum())))[:, None]
             logits = (weights[at] * value).sum(axis=0) + bias
             p = np.exp(logits - logits.max())
             g = p / p.sum() - target[y]
@@ -98,53 +105,76 @@ def fit_domains(
     def run(batches):
         for batch in sliced(batches, "text"):
             w = Words(batch.column("text"), SPACE, lower=True)
-            slots = (w.hash >> U64(64 - BITS)).astype(np.int32)
+            hashed = (w.hash >> U64(64 - BITS)).astype(np.int32)
+            found = [np.unique(hashed[a:b], return_counts=True) for a, b in zip(w.ptr[:-1], w.ptr[1:])]
+            sizes = [len(f[0]) for f in found]
+            lists = [list_column(np.concatenate([f[i] for f in found]).astype(np.int32), sizes) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k"), batch.column("domain"), list_column(slots, w.counts())],
-                names=["k", "domain", "slots"],
+                [batch.column("k"), batch.column("domain"), *lists], names=["k", "domain", "slots", "counts"]
             )
 
-    chosen = texts.join(sample, "id").select(F.xxhash64("id", "text").alias("k"), "domain", "text")
-    got = chosen.mapInArrow(run, "k long, domain string, slots array<int>").toArrow().combine_chunks()
+    # one text for each id, so that max_rows bounds what is gathered
+    chosen = texts.join(sample, "id").groupBy("id", "domain").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    chosen = chosen.select(F.xxhash64("id", "text").alias("k"), "domain", "text")
+    got = chosen.mapInArrow(run, "k long, domain string, slots array<int>, counts array<int>").toArrow().combine_chunks()
     if not got.num_rows:
         return Domains(["all"], np.zeros((1 << BITS, 1), np.float32), np.zeros(1))
     order = np.argsort(got.column("k").to_numpy(), kind="stable")
     names, labels = np.unique(np.array(got.column("domain").to_pylist(), dtype=object), return_inverse=True)
-    flat = got.column("slots").combine_chunks()
-    values, offsets = flat.values.to_numpy(), flat.offsets.to_numpy()
-    slots = [values[offsets[i] : offsets[i + 1]] for i in order]
-    return _train(slots, labels[order], names.tolist(), epochs, rate)
+
+    def lists(name: str) -> list[np.ndarray]:
+        flat = got.column(name).combine_chunks()
+        values, offsets = flat.values.to_numpy(), flat.offsets.to_numpy()
+        return [values[offsets[i] : offsets[i + 1]] for i in order]
+
+    return _train(lists("slots"), lists("counts"), labels[order], names.tolist(), epochs, rate)
 
 
-def rates(posteriors: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
-    """Projected gradient steps replayed from the scaled residuals of each."""
-    r = np.ones(len(posteriors))
-    for g in history:
-        r = np.maximum(0.0, r - posteriors @ g)
-    return r
+def rates(posteriors: np.ndarray, slopes: np.ndarray) -> np.ndarray:
+    """Rates for the summed gradients: the start minus them, projected."""
+    return np.maximum(0.0, 1.0 - posteriors @ slopes)
 
 
-def _totals(table: DataFrame, k: int, history: list[np.ndarray]) -> np.ndarray:
-    """Expected tokens of each domain at the present rates."""
+def _passes(table: DataFrame, k: int, tries: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each of the slopes: expected tokens of each domain, the metric (k x k) of documents
+    not at zero, and half the sum of n_i r_i^2; in one aggregation."""
 
     def run(batches):
-        total = np.zeros(k)
+        total = np.zeros((len(tries), k + k * k + 1))
         for batch in batches:
             p = batch.column("p").flatten().to_numpy().reshape(-1, k)
-            total += (rates(p, history) * batch.column("tokens").to_numpy()) @ p
-        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names=[f"t{i}" for i in range(k)])
+            n = batch.column("tokens").to_numpy()
+            for i, slopes in enumerate(tries):
+                r = rates(p, slopes)
+                weighted = p * n[:, None]
+                total[i] += np.concatenate([r @ weighted, (weighted[r > 0].T @ p[r > 0]).ravel(), [(r * r) @ n / 2]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "x"])
 
-    parts = table.mapInArrow(run, ", ".join(f"t{i} double" for i in range(k)))
-    row = parts.agg(*[F.sum(f"t{i}") for i in range(k)]).first()
-    return np.array([v or 0.0 for v in row])
+    rows = table.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    found = np.zeros((len(tries), k + k * k + 1))  # bounded by the tries and domains
+    for r in rows:
+        found.flat[r["i"]] = r["x"]
+    return [(f[:k], f[k:-1].reshape(k, k), f[-1]) for f in found]
 
 
 @dataclass
 class Mixture:
+    """Rates are `rates(posteriors, slopes)`; `miss` is the largest remaining miss in shares of all tokens."""
+
     domains: Domains
-    history: list[np.ndarray]
+    slopes: np.ndarray
     goal: np.ndarray
     reached: np.ndarray
+    passes: int
+
+    @property
+    def miss(self) -> float:
+        return float(np.abs(self.reached - self.goal).max() / max(self.goal.sum(), 1e-300))
+
+
+#: how much the distance of rates from 1 counts, step by step
+CLOSENESS = (1e-2, 1e-4, 1e-6)
+LENGTHS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3, 1e-4)
 
 
 def fit_rates(
@@ -152,10 +182,13 @@ def fit_rates(
     domains: Domains,
     targets: dict[str, float],
     text_col: str = "text",
-    tolerance: float = 1e-5,
-    max_steps: int = 200,
+    tolerance: float = 1e-6,
+    most_passes: int = 200,
 ) -> Mixture:
-    """Steps until the largest miss is below `tolerance` of all tokens (or max_steps)."""
+    """Steps until the projected gradient is below `tolerance` of all tokens.
+
+    A fit that is not there after `most_passes` is an error; targets out of reach are not, but a warning.
+    """
     k = len(domains.names)
     weight = np.array([max(0.0, targets.get(d, 0.0)) for d in domains.names])
 
@@ -169,16 +202,28 @@ def fit_rates(
     with Scratch(docs.sparkSession) as scratch:
         texts = docs.select(F.col(f"`{text_col}`").alias("text"))
         table = scratch.write(texts.mapInArrow(run, "tokens long, p array<double>"), "posteriors")
-        scale = _totals(table, k, [])
-        goal = weight / weight.sum() * scale.sum() if weight.sum() > 0 else scale
-        history, now = [], scale
-        inverse = np.divide(1.0, scale, out=np.zeros(k), where=scale > 0)
-        while len(history) < max_steps and np.abs(now - goal).max() > tolerance * scale.sum():
-            history.append((now - goal) * inverse)
-            before, now = now, _totals(table, k, history)
-            if np.abs(before - now).max() <= 1e-9 * scale.sum():  # the targets are out of reach: the best fit stands
-                break
-        return Mixture(domains, history, goal, now)
+        slopes, passes = np.zeros(k), 1
+        scale, metric, value = _passes(table, k, [slopes])[0]
+        reached, total = scale, max(scale.sum(), 1.0)
+        goal = weight / weight.sum() * total if weight.sum() > 0 and scale.sum() > 0 else scale
+        for close in CLOSENESS:
+            own = close * np.maximum(scale, 1e-9 * total)
+            while np.abs(gradient := goal - reached + own * slopes).max() > tolerance * total:
+                if passes >= most_passes:
+                    raise RuntimeError(f"rates are not there after {passes} passes")
+                step = np.linalg.solve(metric + np.diag(own), gradient)
+                tries = [slopes - length * step for length in LENGTHS]
+                found = _passes(table, k, tries)
+                costs = [f[2] + goal @ t + own @ (t * t) / 2 for f, t in zip(found, tries)]
+                best = int(np.argmin(costs))
+                if costs[best] >= value + goal @ slopes + own @ (slopes * slopes) / 2:
+                    break  # no step lowers the objective any more: rounding
+                slopes, (reached, metric, value), passes = tries[best], found[best], passes + 1
+        fitted = Mixture(domains, slopes, goal, reached, passes)
+        if fitted.miss > 1e-3:
+            shares = ", ".join(f"{d} {x:.3f} of {y:.3f}" for d, x, y in zip(domains.names, reached / total, goal / total))
+            warnings.warn(f"no rates reach the targets: {shares}", stacklevel=2)
+        return fitted
 
 
 def with_rates(docs: DataFrame, mixture: Mixture, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -186,7 +231,7 @@ def with_rates(docs: DataFrame, mixture: Mixture, text_col: str = "text", prefix
     added = [f"{prefix}{c}" for c in ("domain", "n_tokens", "rate")]
     if set(added) & set(docs.columns):
         raise ValueError(f"columns {sorted(set(added) & set(docs.columns))} exist; choose another prefix")
-    domains, history = mixture.domains, mixture.history
+    domains, slopes = mixture.domains, mixture.slopes
 
     def run(batches):
         names = np.array(domains.names, dtype=object)
@@ -194,7 +239,7 @@ def with_rates(docs: DataFrame, mixture: Mixture, text_col: str = "text", prefix
             p, tokens = domains.posteriors(batch.column(text_col))
             columns = [pa.array(names[p.argmax(axis=1)], pa.string()), pa.array(tokens, pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *columns, pa.array(rates(p, history))], names=[*batch.schema.names, *added]
+                [*batch.columns, *columns, pa.array(rates(p, slopes))], names=[*batch.schema.names, *added]
             )
 
     kinds = (T.StringType(), T.LongType(), T.DoubleType())
@@ -209,7 +254,15 @@ def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("doc_id", domain.alias("domain"))
 
 
+def free_prefix(columns: list[str], prefix: str = "") -> str:
+    """The given prefix, or as many times `mix_` as keep the added columns free."""
+    while {f"{prefix}{c}" for c in ("domain", "n_tokens", "rate")} & set(columns):
+        prefix = f"mix_{prefix}"
+    return prefix
+
+
 def mix_by_quality(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """docs (doc_id, text, lang, ...) with domain, n_tokens and rate for domains of `domain_labels`."""
+    """docs (doc_id, text, lang, ...) with domain, n_tokens and rate for domains of `domain_labels`;
+    where docs has a column of such a name, all three follow `free_prefix`."""
     domains = fit_domains(docs, domain_labels(docs, labels))
-    return with_rates(docs, fit_rates(docs, domains, targets))
+    return with_rates(docs, fit_rates(docs, domains, targets), prefix=free_prefix(docs.columns))

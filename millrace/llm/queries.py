@@ -111,7 +111,7 @@ def repeated_words(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_soft_mixing")
 def mixture(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     mixed = mixing.mix_by_quality(docs, table(spark, folder, "labels"))
     return mixed.select("doc_id", "domain", "n_tokens", "rate")
 
@@ -155,7 +155,7 @@ def chats(spark: SparkSession, folder: str) -> DataFrame:
     )
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     formatted = chat.format_turns(chat.canonical_turns(chat.as_records(rows)))
-    turns, loss = chat.read_turns(F.col("formatted")), chat.masked_text(F.col("formatted"), F.col("loss_spans"))
+    turns, loss = chat.read_turns(F.col("formatted")), chat.masked_text(F.col("formatted"), F.col("loss_mask"))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     back = formatted.select("conv_id", "fingerprint", "formatted", turns.alias("turns"), loss.alias("loss"))
     return back.select(

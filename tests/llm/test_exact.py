@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import chat, decontaminate, itq, urls, warc
 from millrace.llm.common import Scratch
+from millrace.session import scratch_path
 from tests.llm.plain import components, shingles
 
 
@@ -98,7 +100,7 @@ def test_round_trip(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
     out = chat.format_turns(chat.canonical_turns(chat.as_records(df)))
     f = F.col("formatted")
-    back = out.select("conv_id", f, chat.read_turns(f).alias("t"), chat.masked_text(f, F.col("loss_spans")).alias("m"))
+    back = out.select("conv_id", f, chat.read_turns(f).alias("t"), chat.masked_text(f, F.col("loss_mask")).alias("m"))
     want = {}
     for c, _, role, text, _ in sorted(rows, key=lambda r: (r[0], r[1], r[2] or "", r[3] or "")):
         want.setdefault(c, []).append((role or "", text or ""))
@@ -421,3 +423,32 @@ def test_a_large_group_of_near_copies(spark):
     for r in got:
         found[r["vec_id"]] = r["n_links"]
     assert (found <= links).all() and found.sum() >= 0.95 * links.sum()
+
+
+def test_chat_time_is_linear_in_turns(spark):
+    """50,000 turns of one conversation in at most some four times the time of 16,000, read back whole."""
+    times = {}
+    for n in (2_000, 16_000, 50_000):  # the first run compiles
+        turns = F.transform(
+            F.sequence(F.lit(0), F.lit(n - 1)),
+            lambda i: F.struct(
+                F.when(i % 2 == 0, "user").otherwise("assistant").alias("role"),
+                F.concat(F.lit("[INST] text of turn "), i.cast("string"), F.lit(" " + "x" * 80)).alias("text"),
+            ),
+        )
+        rows = spark.range(1).select(turns.alias("turns"))
+        path = scratch_path(spark, "turns")
+        rows.write.parquet(path)
+        start = time.time()
+        out = chat.format_turns(spark.read.parquet(path))
+        f = F.col("formatted")
+        told = out.select(
+            chat.masked_text(f, F.col("loss_mask")).alias("loss"),
+            (chat.read_turns(f) == F.col("turns")).alias("same"),
+            F.length(f).alias("n"),
+            F.aggregate("loss_mask", F.lit(0), lambda s, m: s + m["ahead"] + m["length"] + F.lit(len(chat.END))).alias("sum"),
+        ).first()
+        times[n] = time.time() - start
+        want = "".join(f"[INST] text of turn {i} " + "x" * 80 for i in range(1, n, 2))
+        assert told["loss"] == want and told["same"] and told["n"] == told["sum"]
+    assert times[50_000] <= 4.5 * max(times[16_000], 1.0)

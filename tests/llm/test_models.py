@@ -1,10 +1,12 @@
 """Operators 2, 3 and 9: trained models against plain forms and held-out rows."""
 
+import math
 import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import language, mixing, toxicity
 from millrace.llm.text import PUNCTUATION, Words
@@ -133,16 +135,113 @@ def test_rates_reach_the_targets(spark):
     total = (rate * tokens) @ p
     assert rate.min() >= 0 and total[0] / total.sum() == pytest.approx(0.75, abs=1e-3)
     assert [r["n_tokens"] for r in out] == [len(r["text"].split()) for r in out]
-    # projected gradient written out for all documents at once
-    r, n = np.ones(len(out)), p.T @ tokens
-    for _ in mixture.history:
-        r = np.maximum(0, r - p @ (((r * tokens) @ p - mixture.goal) / n))
-    assert np.allclose(r, rate)
+    # the start minus summed gradients, projected: the rates nearest to 1 that fit
+    assert np.allclose(np.maximum(0, 1 - p @ mixture.slopes), rate)
+
+
+def rate_docs(spark, posteriors, tokens):
+    """Documents of n words whose first word alone tells the posterior, and domains that read it so."""
+    rows = [(i, " ".join([f"w{i % len(posteriors)}"] + ["z"] * (n - 1)), "x", "s") for i, n in enumerate(tokens)]
+    names = [f"d{j}" for j in range(len(posteriors[0]))]
+
+    class Known(mixing.Domains):
+        def posteriors(self, texts):
+            words = [t.split() for t in texts.to_pylist()]
+            return np.array([posteriors[int(w[0][1:])] for w in words]), np.array([len(w) for w in words])
+
+    return spark.createDataFrame(rows, SCHEMA), Known(names, np.zeros((1, len(names))), np.zeros(len(names)))
+
+
+def plain_rates(p, n, goal, steps=200_000):
+    """Projected gradient of the whole objective, until nothing moves."""
+    r, scale = np.ones(len(n)), p.T @ n
+    for _ in range(steps):
+        new = np.maximum(0, r - p @ (((r * n) @ p - goal) / scale))
+        if np.abs(new - r).max() < 1e-13:
+            break
+        r = new
+    return r
+
+
+def test_overlapping_domains(spark):
+    """2 % and 98 % of documents with posteriors 0.45 / 0.55: 0.46 / 0.54 is reached in few passes."""
+    posteriors = [[0.55, 0.45] if i == 0 else [0.45, 0.55] for i in range(50)]
+    docs, domains = rate_docs(spark, posteriors, [5 + i % 7 for i in range(2000)])
+    mixture = mixing.fit_rates(docs, domains, {"d0": 0.46, "d1": 0.54})
+    assert mixture.passes < 30 and mixture.miss < 1e-4
+    assert np.abs(mixture.reached / mixture.reached.sum() - [0.46, 0.54]).max() < 1e-4
+
+
+def test_rates_against_plain_steps(spark):
+    rng = np.random.default_rng(3)
+    posteriors = rng.dirichlet([0.4, 0.8, 1.5], 60)
+    tokens = rng.integers(1, 40, 240)
+    docs, domains = rate_docs(spark, posteriors.tolist(), tokens.tolist())
+    p = posteriors[np.arange(240) % 60]
+    for goal in ([0.6, 0.3, 0.1], [0.05, 0.05, 0.9], [1 / 3] * 3):
+        mixture = mixing.fit_rates(docs, domains, dict(zip(domains.names, goal)))
+        best = plain_rates(p, tokens, np.array(goal) * tokens.sum())
+        reached = (best * tokens) @ p
+        assert np.abs(mixture.reached - reached).max() < 1e-4 * tokens.sum()
+        r = mixing.rates(p, mixture.slopes)
+        # both fit; these are the nearest to 1
+        assert tokens @ (r - 1) ** 2 <= tokens @ (best - 1) ** 2 * (1 + 1e-3) + 1e-6
+
+
+def test_unreachable_targets_leave_a_miss(spark):
+    posteriors = [[0.9, 0.1], [0.7, 0.3], [0.8, 0.2]]
+    docs, domains = rate_docs(spark, posteriors, [10] * 30)
+    with pytest.warns(UserWarning, match="no rates reach"):
+        mixture = mixing.fit_rates(docs, domains, {"d0": 0.2, "d1": 0.8})
+    p, n = np.array(posteriors)[np.arange(30) % 3], np.full(30, 10)
+    goal = np.array([0.2, 0.8]) * 300
+    scale = p.T @ n
+
+    def cost(reached):
+        return (((reached - goal) ** 2) / scale).sum()
+
+    assert mixture.miss > 0.2 and mixture.passes < 100
+    assert cost(mixture.reached) <= cost((plain_rates(p, n, goal) * n) @ p) * (1 + 1e-3)
 
 
 def test_rates_stop_at_zero():
     p = np.array([[1.0, 0.0], [0.4, 0.6]])
-    assert mixing.rates(p, [np.array([2.0, 0.0])]).tolist() == [0.0, pytest.approx(0.2)]
+    assert mixing.rates(p, np.array([2.0, 0.0])).tolist() == [0.0, pytest.approx(0.2)]
+
+
+def test_a_label_with_many_rows_trains_once(spark):
+    """The sample is bounded by its ids, whatever rows they have."""
+    rows = [(1, f"text {i}", "aa", "s") for i in range(300)] + [(2, "andere worte", "bb", "s")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    domains = mixing.fit_domains(docs, spark.createDataFrame([(1, "aa"), (2, "bb")], "doc_id long, domain string"))
+    assert domains.names == ["aa", "bb"] and np.allclose(domains.bias, np.log(0.5))
+
+
+def test_classifier_against_plain_steps(spark):
+    """The same stochastic gradient steps written with dictionaries."""
+    rows = [(i, t, d, "s") for i, (t, d) in enumerate([("a b b c", "x"), ("c d", "y"), ("", "x"), ("e e e a", "y"), ("f", "x")] * 3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    domains = mixing.fit_domains(docs, docs.selectExpr("doc_id", "lang as domain"), epochs=2)
+    keys = [r[0] for r in docs.select(F.xxhash64("doc_id", "text")).collect()]
+    weights, squares = {}, {}
+    bias = {d: math.log(sum(r[2] == d for r in rows) / len(rows)) for d in "xy"}
+    for _ in range(2):
+        for _, (_, text, label, *_) in sorted(zip(keys, rows)):
+            count = {w: text.split().count(w) for w in text.split()}
+            value = {w: c / math.sqrt(max(1, sum(count.values()))) for w, c in count.items()}
+            logits = {d: bias[d] + sum(weights.get((w, d), 0.0) * v for w, v in value.items()) for d in "xy"}
+            total = sum(math.exp(z) for z in logits.values())
+            for d in "xy":
+                g = math.exp(logits[d]) / total - (d == label)
+                for w, v in value.items():
+                    squares[w, d] = squares.get((w, d), 1e-2) + (v * g) ** 2
+                    weights[w, d] = weights.get((w, d), 0.0) - 0.1 * v * g / math.sqrt(squares[w, d])
+    for text in ("a b", "c d e f", "", "b b b"):
+        p, tokens = domains.posteriors(pa.array([text]))
+        words = text.split()
+        logits = {d: bias[d] + sum(weights.get((w, d), 0.0) for w in words) / math.sqrt(max(1, len(words))) for d in "xy"}
+        total = sum(math.exp(z) for z in logits.values())
+        assert tokens[0] == len(words) and np.allclose(p[0], [math.exp(logits[d]) / total for d in "xy"], atol=1e-5)
 
 
 def test_mixing_defined_results(spark):
