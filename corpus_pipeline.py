@@ -1,8 +1,10 @@
 """Documents to training mixture in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns documents; all but the last
-return the columns of `documents`, the last adds domain, n_tokens and rate.
-`run` writes each stage's result and reads it again for the next one.
+return the columns of `documents`, the last adds domain, n_tokens and rate (after
+`mix_` where documents have such columns).
+`run` writes each stage's result and reads it again for the next one; these
+tables are deleted when the result stands.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, minhash, mixing, substrings, toxicity
-from millrace.session import scratch_path
+from millrace.llm.common import Scratch
+
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -31,8 +34,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes 50-word windows that a smaller doc_id has; n_chars follows the text."""
-    cut = substrings.remove_repeated(docs, removed_col="_removed")
-    changed = F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    removed = "_removed"
+    while removed in docs.columns:
+        removed += "_"
+    cut = substrings.remove_repeated(docs, removed_col=removed)
+    changed = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
@@ -44,7 +50,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds each document's rate, the expected number of times it is read; rate 0 goes."""
-    return mixing.mix_by_quality(docs, _labels(spark, sf_dir)).where("rate > 0")
+    mixed = mixing.mix_by_quality(docs, _labels(spark, sf_dir))
+    return mixed.where(F.col(mixed.columns[-1]) > 0)
 
 
 STAGES = [
@@ -61,8 +68,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark) as scratch:
+        for name, stage in STAGES[:-1]:
+            docs = scratch.write(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        return scratch.result(STAGES[-1][1](spark, docs, sf_dir))
