@@ -51,3 +51,13 @@ def test_stages_keep_the_columns(spark, folder):
         out = stage(spark, docs, folder)
         assert out.columns == docs.columns
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_columns_with_names_of_its_own(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 40 or doc_id >= 1400")
+    docs = docs.withColumns({c: F.lit(7) for c in ("_removed", "domain", "n_tokens", "rate", "n_removed")})
+    out = corpus_pipeline.cut_repeats(spark, docs, folder)
+    assert out.columns == docs.columns and out.where("_removed = 7").count() == docs.count()
+    mixed = corpus_pipeline.mix(spark, docs, folder)
+    assert mixed.columns == [*docs.columns, "mix_domain", "mix_n_tokens", "mix_rate"]
+    assert mixed.where("rate = 7 and mix_rate > 0").count() == mixed.count() > 0
