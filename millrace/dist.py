@@ -344,82 +344,96 @@ def many_quantiles(df: DataFrame, column: str, levels: int) -> list[float]:
 # --------------------------------------------------------------------------
 
 
+#: digits of a hash, and how many of them a pass of `hash_cut_table` looks at
+HASH_DIGITS, DIGITS = 32, 3
+
+
 def hash_key(key: str | Column, seed: int) -> Column:
     """Position of a row in the seeded shuffle: md5 of 'seed:key'."""
     c = q(key) if isinstance(key, str) else key
     return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
 
 
-def hash_cuts(
+def hash_cut_table(
     df: DataFrame,
     key: str,
     seed: int,
     shares: Sequence[tuple[int, int]],
     by: str | None = None,
     rounding: str = "floor",
-    digits: int | None = None,
-) -> dict:
-    """md5 values that cut the hash order at exact ranks.
+    small: int = BUCKET_ROWS,
+) -> DataFrame:
+    """(_class, _cuts array<string>): md5 values that cut the hash order of each class at exact ranks.
 
     `shares` holds fractions (a, b); the cut for a/b of n rows is the md5 of
     the row at 1-based rank floor or ceil(n*a/b), so `hash <= cut` keeps
-    exactly that many rows when keys are unique.  Returns {group: [cut …]}
-    with group None when `by` is not given; a cut at rank 0 is ''.
-
-    Pass 1 counts rows per (group, hash prefix); pass 2 ranks only the rows
-    whose prefix holds a wanted rank, which is about 1/16**digits of them.
-    `digits` follows the number of rows, so that pass 2 ranks some thousand
-    rows for each cut at any size.
+    exactly that many rows when keys are unique.  A cut at rank 0 is ''.  The
+    class is NULL for rows without one and where `by` is not given.
+
+    Wanted ranks are a table of (class, hash prefix), which narrows by three
+    hex digits at a time until a prefix holds at most `small` rows: a pass counts
+    the rows below each open prefix, at most 4,096 counts for one, and the
+    table stays a table however many classes there are.  Then only the rows
+    below the last prefixes are ranked.
     """
-    if digits is None:
-        digits = max(4, math.ceil(math.log(max(df.count(), 1) / BUCKET_ROWS + 1, 16)))
-    h = hash_key(key, seed)
-    group = [q(by).alias("_g")] if by else [F.lit(None).cast("string").alias("_g")]
-    base = df.select(*group, h.alias("_h")).withColumn("_p", F.substring("_h", 1, digits))
-    prefix = base.groupBy("_g", "_p").agg(F.count(F.lit(1)).alias("n"))
-    up_to = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("_g")
-    places = (
-        prefix.withColumn("before", F.coalesce(F.sum("n").over(up_to), F.lit(0)))
-        .withColumn("size", F.sum("n").over(whole))
-        .withColumn(
-            "share",
-            F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(shares)])),
-        )
-        .withColumn("exact", F.col("size") * F.col("share.a") / F.col("share.b"))
-        .withColumn(
-            "rank",
-            (F.ceil("exact") if rounding == "ceil" else F.floor("exact")).cast("long"),
-        )
-        .where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("n")))
-        .select(
-            F.col("_g").alias("_group"),
-            F.col("_p").alias("_prefix"),
-            F.col("share.i").alias("i"),
-            (F.col("rank") - F.col("before")).alias("local"),
+    from .session import cut_lineage
+
+    name = F.coalesce(F.concat(F.lit("="), q(by).cast("string")), F.lit("")) if by else F.lit("")
+    base = df.select(name.alias("_g"), hash_key(key, seed).alias("_h"))
+    cuts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(shares)])
+    exact = F.col("n") * F.col("s.a") / F.col("s.b")
+    sizes = base.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).select("_g", "n", F.explode(cuts).alias("s"))
+    rank = (F.ceil(exact) if rounding == "ceil" else F.floor(exact)).cast("long").alias("rank")
+    places = cut_lineage(sizes.select("_g", F.col("s.i").alias("i"), F.lit("").alias("prefix"), rank, "n"))
+    found = [places.where("rank < 1").select("_g", "i", F.lit("").alias("_h"))]
+    open_, length = places.where("rank > 0"), 0
+    while True:
+        last = length + DIGITS > HASH_DIGITS
+        ready = open_ if last else open_.where(F.col("n") <= small)
+        found.append(_cuts_below(base, ready, length))
+        open_ = open_.where(F.lit(False)) if last else open_.where(F.col("n") > small)
+        if open_.isEmpty():
+            break
+        heads = _sized(open_.select("_g", "prefix").distinct())
+        rows = base.withColumn("prefix", F.substring("_h", 1, length)).join(heads, ["_g", "prefix"])
+        counts = rows.groupBy("_g", "prefix", F.substring("_h", 1, length + DIGITS).alias("next")).agg(F.count(F.lit(1)).alias("m"))
+        before = Window.partitionBy("_g", "prefix").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0)))
+        inside = (F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("m"))
+        narrowed = counts.join(_sized(open_), ["_g", "prefix"]).where(inside)
+        open_ = cut_lineage(
+            narrowed.select("_g", "i", F.col("next").alias("prefix"), (F.col("rank") - F.col("before")).alias("rank"), F.col("m").alias("n"))
         )
-    )
-    # groups x shares rows: classes are few (checked by the callers' contract)
-    same = [F.col("_p") == F.col("_prefix"), F.col("_g").eqNullSafe(F.col("_group"))]
-    ranked = base.join(F.broadcast(places), same).select("_g", "i", "local", "_h")
-    # Equal keys share a hash, so copies are counted before the window.
-    upto_here = (
-        Window.partitionBy("_g", "i").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    rows = (
-        ranked.groupBy("_g", "i", "local", "_h")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("cum", F.sum("n").over(upto_here))
-        .where(F.col("cum") >= F.col("local"))
-        .groupBy("_g", "i")
-        .agg(F.min("_h").alias("_h"))
-        .collect()
-    )
-    groups = [r["_g"] for r in prefix.select("_g").distinct().collect()] if by else [None]
-    cuts = {g: [""] * len(shares) for g in groups}
-    for r in rows:
-        cuts[r["_g"]][r["i"]] = r["_h"]
-    return cuts
+        length += DIGITS
+    cut = found[0]
+    for f in found[1:]:
+        cut = cut.unionByName(f)
+    table = cut.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("i", "_h"))).alias("_c"))
+    label = F.when(F.col("_g") != "", F.substring("_g", 2, 1 << 30))
+    return cut_lineage(table.select(label.alias("_class"), F.transform("_c", lambda c: c["_h"]).alias("_cuts")))
+
+
+def _sized(table: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """Broadcast if it has at most `most` rows."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def _cuts_below(base: DataFrame, places: DataFrame, length: int) -> DataFrame:
+    """(_g, i, _h): the hash at each rank below a prefix."""
+    rows = base.withColumn("prefix", F.substring("_h", 1, length)).join(_sized(places), ["_g", "prefix"])
+    # equal keys share a hash, so copies are counted before the window
+    counts = rows.groupBy("_g", "i", "rank", "_h").agg(F.count(F.lit(1)).alias("m"))
+    so_far = Window.partitionBy("_g", "i").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
+    reached = counts.withColumn("cum", F.sum("m").over(so_far)).where(F.col("cum") >= F.col("rank"))
+    return reached.groupBy("_g", "i").agg(F.min("_h").alias("_h"))
+
+
+def hash_cuts(
+    df: DataFrame, key: str, seed: int, shares: Sequence[tuple[int, int]], rounding: str = "floor", small: int = BUCKET_ROWS
+) -> dict[None, list[str]]:
+    """The cuts of the whole table (`hash_cut_table`) under None, one for each share; an empty table has cuts of ''."""
+    row = hash_cut_table(df, key, seed, shares, None, rounding, small).first()
+    return {None: list(row["_cuts"]) if row else [""] * len(shares)}
 
 
 # --------------------------------------------------------------------------

@@ -116,18 +116,15 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], bucket_rows: int = BU
     sizes = counts.groupBy("set").agg(((F.sum("n") + 1) / 2).alias("mid"))
     ranks = ranks.join(F.broadcast(sizes), "set")  # one row for each set
     ranks = ranks.select("set", "value", (F.col("before") + (F.col("n") + 1) / 2 - F.col("mid")).alias("rank"))
-    vectors = long.join(ranks, ["set", "value"]).groupBy("row").agg(F.collect_list(F.struct("set", "rank")).alias("v"))
+    cell = [F.coalesce(F.max(F.when(F.col("set") == i, F.col("rank"))), F.lit(0.0)) for i in range(len(sets))]
+    vectors = long.join(ranks, ["set", "value"]).groupBy("row").agg(F.array(*cell).alias("v"))
     left = [place[columns.index(a), columns.index(b)] for a, b in pairs]
     right = [place[columns.index(b), columns.index(a)] for a, b in pairs]
 
     def gram(batches):
         total = np.zeros((len(sets), len(sets)))
         for batch in batches:
-            v = batch.column("v")
-            offsets, flat = v.offsets.to_numpy(), v.flatten()
-            x = np.zeros((len(v), len(sets)))
-            rows = np.repeat(np.arange(len(v)), np.diff(offsets))
-            x[rows, flat.field("set").to_numpy()] = flat.field("rank").to_numpy()
+            x = batch.column("v").flatten().to_numpy().reshape(-1, len(sets))
             total += x.T @ x
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(pairs), dtype=np.int32)), *(pa.array(total[i, j]) for i, j in ((left, right), (left, left), (right, right)))],

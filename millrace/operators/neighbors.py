@@ -1,9 +1,13 @@
 """Exact k nearest neighbours as a pruned block join.
 
-Train rows are put into cells around a bounded set of pivots, and each cell is
-described by its bounding box.  A query visits only the cells whose box can
-hold one of its k nearest rows, which the boxes and their row counts prove
-before any distance is computed.  Cells and their visitors are cut into chunks
+Train rows are put into Voronoi cells around a bounded set of pivots.  A cell is
+described by its bounding box, the interval of its rows' distances to the pivot
+and the k-th smallest of them.  A query visits only the cells that can hold one
+of its k nearest rows: the triangle inequality on the intervals, the planes
+halfway between pivots, and the boxes bound its distance to a cell from below,
+and k rows lie within its distance to a pivot plus the k-th of that cell.
+Where coordinates are missing the distance is no metric, and boxes alone decide.
+Both inputs, with their cells and visits, are written once.  Cells and their visitors are cut into chunks
 of bounded size, so a hot cell becomes many tasks; each task computes one
 (visitors x rows) distance block with numpy and returns k rows per visitor.
 The result is exact: no candidate is dropped that a bound does not exclude.
@@ -22,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..dist import q
-from ..session import kernel_tasks
+from ..session import cut_lineage, kernel_tasks
 
 CELL_ROWS = 2048
 MAX_CELLS = 1024
@@ -102,23 +106,63 @@ def _box_bounds(x: np.ndarray, cells: dict, p: int):
     return low, up
 
 
+def _metric_bounds(x: np.ndarray, cells: dict, p: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows without missing coordinates: a lower bound of the distance to each cell, and a
+    distance within which there are surely k rows."""
+    d = block_distances(x, cells["pivot"], p)
+    low = np.maximum(d - cells["far"][None, :], cells["near"][None, :] - d)
+    if p == 2:
+        # rows of a cell are not nearer to the query's pivot than to their own
+        own = np.argmin(d, axis=1)
+        apart = cells["apart"][own]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (d * d - np.take_along_axis(d, own[:, None], 1) ** 2) / (2 * apart)
+        low = np.maximum(low, np.where(apart > 0, plane, 0.0))
+    reach = np.sort(d + cells["kth"][None, :], axis=1)[:, 0]
+    order = np.argsort(d + cells["far"][None, :], axis=1, kind="stable")
+    enough = np.cumsum(cells["n"][order], axis=1) >= k
+    whole = np.take_along_axis(d + cells["far"][None, :], order, 1)
+    several = np.where(enough.any(axis=1), whole[np.arange(len(x)), np.argmax(enough, axis=1)], np.inf)
+    return np.maximum(low, 0.0), np.minimum(reach, several)
+
+
+def _visited(x: np.ndarray, cells: dict, p: int, k: int) -> np.ndarray:
+    """Which cells (columns) each query (row) has to visit."""
+    low, up = _box_bounds(x, cells, p)
+    order = np.argsort(up, axis=1, kind="stable")
+    reach = np.cumsum(cells["n"][order], axis=1) >= k
+    enough = np.argmax(reach, axis=1)
+    limit = np.where(reach.any(axis=1), np.take_along_axis(up, order, 1)[np.arange(len(x)), enough], np.inf)
+    keep = low <= (limit * (1 + 1e-9))[:, None]
+    whole = ~np.isnan(x).any(axis=1)
+    if "far" in cells and whole.any():
+        near, within = _metric_bounds(x[whole], cells, p, k)
+        scale = 1e-9 * (1 + np.abs(x[whole]).sum(axis=1) + np.abs(cells["pivot"]).sum(axis=1).max())
+        keep[whole] &= near <= (within * (1 + 1e-9) + scale)[:, None]
+    return keep
+
+
 def _prune(base, ask, dims: int, n_train: int, k: int, p: int, cell_rows: int):
-    """Train rows with their cell, queries exploded to the cells they must
-    visit, and the number of train rows per cell."""
+    """Train rows with their cell, queries with the cells they must visit
+    (both written once), and the number of train rows per cell."""
     # Pivots: a bounded pick in hash order; it shapes cells, not results.
     n_pivots = max(1, min(MAX_CELLS, math.ceil(n_train / cell_rows)))
     picked = base.orderBy(F.xxhash64("neighbor_id"), "neighbor_id").select("x").limit(n_pivots).collect()
-    pivots = np.nan_to_num(np.array([r["x"] for r in picked], dtype=float))
+    pivots = np.unique(np.nan_to_num(np.array([r["x"] for r in picked], dtype=float)), axis=0)
     shared_pivots = base.sparkSession.sparkContext.broadcast(pivots)
 
-    @F.pandas_udf(T.IntegerType())
-    def cell_of(x: pd.Series) -> pd.Series:
+    @F.pandas_udf("cell int, away double")
+    def cell_of(x: pd.Series) -> pd.DataFrame:
         if not len(x):
-            return pd.Series([], dtype="int32")
-        d = block_distances(_matrix(x), shared_pivots.value, 2)
-        return pd.Series(np.argmin(np.nan_to_num(d, nan=np.inf), axis=1).astype("int32"))
+            return pd.DataFrame({"cell": pd.Series([], dtype="int32"), "away": pd.Series([], dtype="float64")})
+        m = _matrix(x)
+        d = np.nan_to_num(block_distances(m, shared_pivots.value, 2), nan=np.inf)
+        cell = np.argmin(d, axis=1)
+        # one row and its pivot at a time
+        away = d[np.arange(len(m)), cell] if p == 2 else np.abs(m - shared_pivots.value[cell]).sum(axis=1)
+        return pd.DataFrame({"cell": cell.astype("int32"), "away": away})
 
-    placed = base.withColumn("cell", cell_of("x"))
+    placed = cut_lineage(base.withColumn("at", cell_of("x")).select(*base.columns, "at.cell", "at.away"))
     clean_x = [F.when(~F.isnan(F.col("x")[j]), F.col("x")[j]) for j in range(dims)]
     boxes = (
         placed.groupBy("cell")
@@ -127,9 +171,14 @@ def _prune(base, ask, dims: int, n_train: int, k: int, p: int, cell_rows: int):
             F.array(*[F.min(c) for c in clean_x]).alias("lo"),
             F.array(*[F.max(c) for c in clean_x]).alias("hi"),
             F.array(*[F.count(c) for c in clean_x]).alias("present"),
+            F.min("away").alias("near"),
+            F.max("away").alias("far"),
         )
         .collect()  # at most MAX_CELLS rows
     )
+    nearest = Window.partitionBy("cell").orderBy("away")
+    kth = placed.select("cell", "away").withColumn("r", F.row_number().over(nearest)).where(F.col("r") == k)
+    kth = {r["cell"]: r["away"] for r in kth.collect()}  # at most one row for each cell
     size = np.array([b["n"] for b in boxes])
     present = np.array([b["present"] for b in boxes])
     cells = {
@@ -141,6 +190,11 @@ def _prune(base, ask, dims: int, n_train: int, k: int, p: int, cell_rows: int):
         # only rows that surely share a coordinate count towards k
         "n": size,
     }
+    if cells["always"].all():
+        cells["pivot"] = pivots[cells["id"]]
+        cells["apart"] = block_distances(cells["pivot"], cells["pivot"], p)
+        cells["near"], cells["far"] = (np.array([b[c] for b in boxes], dtype=float) for c in ("near", "far"))
+        cells["kth"] = np.array([kth.get(b["cell"], np.inf) for b in boxes])
     cells["lo"] = np.nan_to_num(cells["lo"], nan=0.0)
     cells["hi"] = np.nan_to_num(cells["hi"], nan=0.0)
     shared_cells = base.sparkSession.sparkContext.broadcast(cells)
@@ -149,19 +203,38 @@ def _prune(base, ask, dims: int, n_train: int, k: int, p: int, cell_rows: int):
     def visits_of(x: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=object)
-        c = shared_cells.value
-        low, up = _box_bounds(_matrix(x), c, p)
-        order = np.argsort(up, axis=1, kind="stable")
-        reach = np.cumsum(c["n"][order], axis=1) >= k
-        enough = np.argmax(reach, axis=1)
-        limit = np.where(
-            reach.any(axis=1), np.take_along_axis(up, order, 1)[np.arange(len(x)), enough], np.inf
-        )
-        keep = low <= (limit * (1 + 1e-9))[:, None]
+        c, m = shared_cells.value, _matrix(x)
+        keep = np.concatenate([_visited(m[i : i + 1024], c, p, k) for i in range(0, len(m), 1024)])
         return pd.Series([c["id"][row].astype("int32") for row in keep])
 
-    visiting = ask.withColumn("cell", F.explode(visits_of("x")))
-    return placed, visiting, {int(b["cell"]): b["n"] for b in boxes}
+    visiting = cut_lineage(ask.withColumn("cells", visits_of("x")))
+    visiting = visiting.select("query_id", "x", F.explode("cells").alias("cell"))
+    return placed.drop("away"), visiting, {int(b["cell"]): b["n"] for b in boxes}
+
+
+def _nearest_in_block(a: np.ndarray, b: np.ndarray, k: int, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, distance) of the k nearest rows of b for each row of a, ties by column.
+
+    Without missing coordinates a matrix product finds the candidates, whose
+    distances are then computed as everywhere else.
+    """
+    if p != 2 or a.shape[1] < 8 or len(b) <= k or np.isnan(a).any() or np.isnan(b).any():
+        d = block_distances(a, b, p)
+        at, best = smallest(d, k)
+        return at, best, d[at, best]
+    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    rough = aa[:, None] + bb[None, :] - 2 * (a @ b.T)
+    edge = np.partition(rough, k - 1, axis=1)[:, k - 1]
+    at, best = np.nonzero(rough <= (edge + 1e-9 * (aa + bb.max() + 1))[:, None])
+    total = np.zeros(len(at))
+    for j in range(a.shape[1]):
+        diff = a[at, j] - b[best, j]
+        total += diff * diff
+    d = np.sqrt(total)
+    order = np.lexsort((best, d, at))
+    at, best, d = at[order], best[order], d[order]
+    keep = np.arange(len(at)) - np.searchsorted(at, at, side="left") < k
+    return at[keep], best[keep], d[keep]
 
 
 def nearest_rows(
@@ -175,16 +248,21 @@ def nearest_rows(
     p: int = 2,
     cell_rows: int = CELL_ROWS,
     chunk_rows: int = CHUNK_ROWS,
+    report: dict | None = None,
 ) -> DataFrame:
     """(query_id, neighbor_id, distance, payload, rank): the k nearest train
-    rows of every query, ties by the smaller id; ids are long, payload double."""
+    rows of every query, ties by the smaller id; ids keep their type, payload is double.
+    `report` gets the number of cells and the share of them that a query visits."""
     spark = queries.sparkSession
     load = F.lit(None).cast("double") if payload is None else q(payload).cast("double")
     base = train.select(
-        q(train_id).cast("long").alias("neighbor_id"), feature_array(features).alias("x"), load.alias("payload")
+        q(train_id).alias("neighbor_id"), feature_array(features).alias("x"), load.alias("payload")
     )
-    ask = queries.select(q(query_id).cast("long").alias("query_id"), feature_array(features).alias("x"))
-    empty = "query_id long, neighbor_id long, distance double, payload double, rank int"
+    ask = queries.select(q(query_id).alias("query_id"), feature_array(features).alias("x"))
+    base, ask = cut_lineage(base), cut_lineage(ask)
+    kinds = {c: d.schema[c].dataType.simpleString() for d, c in ((ask, "query_id"), (base, "neighbor_id"))}
+    pair = f"query_id {kinds['query_id']}, neighbor_id {kinds['neighbor_id']}, distance double, payload double"
+    empty = f"{pair}, rank int"
     n_train = base.count()
     if n_train == 0:
         return spark.createDataFrame([], empty)
@@ -197,6 +275,9 @@ def nearest_rows(
         placed, visiting, sizes = _prune(base, ask, len(features), n_train, k, p, cell_rows)
         visits = visiting.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
         traffic = {r["cell"]: r["n"] for r in visits.collect()}
+    if report is not None:
+        report["cells"] = len(sizes)
+        report["visited"] = sum(traffic.values()) / max(1, ask.count() * len(sizes))
     plan_rows = [
         (c, math.ceil(n / chunk_rows), math.ceil(traffic[c] / VISITS_PER_CHUNK))
         for c, n in sizes.items()
@@ -230,14 +311,13 @@ def nearest_rows(
         a_all, q_all = _matrix(ask_rows["x"]), ask_rows["query_id"].to_numpy()
         step = max(1, BLOCK_CELLS // len(b))
         for i in range(0, len(a_all), step):
-            d = block_distances(a_all[i : i + step], b, p)
-            at, best = smallest(d, k)  # rows of b are in id order
+            at, best, d = _nearest_in_block(a_all[i : i + step], b, k, p)  # rows of b are in id order
             out.append(
                 pd.DataFrame(
                     {
                         "query_id": q_all[i : i + step][at],
                         "neighbor_id": ids[best],
-                        "distance": d[at, best],
+                        "distance": d,
                         "payload": load_[best],
                     }
                 )
@@ -250,7 +330,7 @@ def nearest_rows(
         visitors.repartition(tasks, *keys)
         .groupBy(*keys)
         .cogroup(rows.repartition(tasks, *keys).groupBy(*keys))
-        .applyInPandas(block, "query_id long, neighbor_id long, distance double, payload double")
+        .applyInPandas(block, pair)
     )
     best = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..dist import hash_cuts, hash_key, q
+from ..dist import hash_cut_table, hash_cuts, hash_key, q
 
 FOLD = "fold"
 BROADCAST_CLASSES = 100_000
@@ -24,9 +24,8 @@ def _share(x: float) -> tuple[int, int]:
 def _with_class_cuts(df: DataFrame, key: str, seed: int, shares: list, label: str) -> DataFrame:
     """Add `_cuts`, the hash cuts of the row's class, from a table of one row per class."""
     typed = df.withColumn("_label", q(label).cast("string"))
-    cuts = hash_cuts(typed, key, seed, shares, by="_label", rounding="ceil")
-    table = df.sparkSession.createDataFrame(list(cuts.items()), "_class string, _cuts array<string>")
-    table = F.broadcast(table) if len(cuts) <= BROADCAST_CLASSES else table
+    table = hash_cut_table(typed, key, seed, shares, by="_label", rounding="ceil")
+    table = F.broadcast(table) if table.count() <= BROADCAST_CLASSES else table
     same = F.col("_label").eqNullSafe(F.col("_class"))
     return typed.join(table, same, "left").drop("_label", "_class")
 

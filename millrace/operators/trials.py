@@ -16,6 +16,9 @@ from ..dist import q, running_max
 from ..session import cut_lineage
 
 BLOCK_POINTS = 4_096
+#: cells of the grid; their pairs are one table
+MOST_CELLS = 1_000
+
 
 def _complete() -> Column:
     return F.col("state") == "COMPLETE"
@@ -96,8 +99,8 @@ def pareto_front(trials: DataFrame, objectives: dict[str, str]) -> DataFrame:
     """Trials that no other trial matches in all objectives and beats in one.
 
     Two objectives need no pairs at all: in order of the first, a trial stays
-    when it beats the running best of the second.  More objectives are reduced
-    to the fronts of hash blocks, which are then compared in pairs.
+    when it beats the running best of the second.  With more objectives, points
+    are put into the cells of a grid (`_grid_front`).
     """
     rows = trials.where(_complete())
     for c in objectives:
@@ -115,7 +118,7 @@ def pareto_front(trials: DataFrame, objectives: dict[str, str]) -> DataFrame:
         ahead = running_max(steps, "_down", b, "_seen")
         front = ahead.where(F.col("_seen").isNull() | (F.col(b) > F.col("_seen"))).select(a, b)
     else:
-        front = _block_front(points, names)
+        front = _grid_front(points, names)
     return rows.join(front, names, "left_semi").drop(*names)
 
 
@@ -130,34 +133,89 @@ def _beaten(a, b):
     return out
 
 
-def _block_front(points: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Fronts of hash blocks in parallel; what survives is compared block by
-    block.  No task holds more than two blocks, however many points survive."""
+def _cells(points: DataFrame, names: Sequence[str], slices: int) -> DataFrame:
+    """points with `cell`, the number of the grid cell: quantiles of each objective are its slices."""
+    shares = [i / slices for i in range(1, slices)]
+    cuts = points.agg(*[F.percentile_approx(n, shares, 10_000).alias(n) for n in names]).first()
+    cell = F.lit(0)
+    for n in names:
+        place = F.lit(0)
+        for c in sorted(set(cuts[n] or [])):
+            place = place + F.when(F.col(n) >= c, 1).otherwise(0)
+        cell = cell * slices + place
+    return points.withColumn("cell", cell.cast("int"))
+
+
+def _grid_front(
+    points: DataFrame, names: Sequence[str], block_points: int | None = None, report: dict | None = None
+) -> DataFrame:
+    """The front of distinct points, larger being better, by a grid of at most MOST_CELLS cells.
+
+    A cell that another cell with points beats in every slice is dropped as a
+    whole.  Fronts of the other cells, in blocks of bounded size, are compared
+    only with cells that are at least as good in every slice: a point is copied
+    once for each block of those, whatever the number of points elsewhere.
+    `report` gets the rows that survive their blocks and the copies made of them.
+    """
+    import numpy as np
     import pandas as pd
 
-    names = list(names)
-    schema = ", ".join(f"{n} double" for n in names)
+    names, block_points = list(names), block_points or BLOCK_POINTS
+    schema = ", ".join(f"{n} double" for n in names) + ", cell int, part int"
+    slices = max(2, int(MOST_CELLS ** (1 / len(names)) + 1e-9))
+    placed = cut_lineage(_cells(points.select(*[F.col(n).cast("double").alias(n) for n in names]), names, slices))
+
+    def sizes(table: DataFrame) -> dict[int, int]:
+        return {r["cell"]: r["n"] for r in table.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row per cell
+
+    def parted(table: DataFrame, counts: dict[int, int]) -> DataFrame:
+        parts = [(c, math.ceil(n / block_points)) for c, n in counts.items()]
+        parts = table.sparkSession.createDataFrame(parts or [(-1, 1)], "cell int, parts int")
+        rows = table.join(F.broadcast(parts), "cell")  # a row per cell
+        return rows.withColumn("part", F.pmod(F.xxhash64(*names), "parts").cast("int")).drop("parts")
+
+    full = sizes(placed)
+    cells = np.array(sorted(full), dtype=np.int64)
+    at = np.stack([cells // slices ** (len(names) - 1 - j) % slices for j in range(len(names))], axis=1)
+    # the dominance bitmap of cells: beaten in every slice, or perhaps beaten
+    above, beaten = np.ones((len(cells), len(cells)), bool), np.ones((len(cells), len(cells)), bool)
+    for j in range(len(names)):
+        above &= at[None, :, j] >= at[:, None, j]
+        beaten &= at[None, :, j] > at[:, None, j]
+    left = {int(c): full[int(c)] for c in cells[~beaten.any(axis=1)]}
 
     def front(pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf[names].to_numpy(dtype=float)
-        return pdf.loc[~_beaten(m, m), names]
-
-    def losers(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
+        return pdf.loc[~_beaten(m, m), [*names, "cell", "part"]]
+
+    fronts = cut_lineage(parted(placed, left).groupBy("cell", "part").applyInPandas(front, schema)).drop("part")
+    kept = sizes(fronts)
+    blocks = {c: math.ceil(n / block_points) for c, n in kept.items()}
+    pairs = [
+        (int(b), int(a), blocks[int(b)], blocks[int(a)])
+        for b, better in zip(cells, above)
+        if int(b) in blocks
+        for a in cells[better]
+        if int(a) in blocks and (a != b or blocks[int(a)] > 1)
+    ]
+    if report is not None:
+        report["survivors"], report["copies"] = sum(kept.values()), sum(kept[b] * n for b, _, _, n in pairs)
+    rows = parted(fronts, kept)
+    if not pairs:
+        return rows.select(*names)
+    table = F.broadcast(points.sparkSession.createDataFrame(pairs, "worse int, better int, worse_parts int, better_parts int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    keys = ["worse", "worse_part", "better", "better_part"]
+    here = rows.withColumnsRenamed({"cell": "worse", "part": "worse_part"}).join(table, "worse")
+    here = here.withColumnRenamed("better_parts", "parts").withColumn("better_part", every).select(*keys, *names)
+    there = rows.withColumnsRenamed({"cell": "better", "part": "better_part"}).join(table, "better")
+    there = there.withColumnRenamed("worse_parts", "parts").withColumn("worse_part", every).select(*keys, *names)
+
+    def losers(worse: pd.DataFrame, better: pd.DataFrame) -> pd.DataFrame:
+        if not len(worse) or not len(better):
             return pd.DataFrame({n: [] for n in names})
-        return left.loc[_beaten(left[names].to_numpy(dtype=float), right[names].to_numpy(dtype=float)), names]
-
-    def block(n: int):
-        return F.pmod(F.xxhash64(*names), F.lit(n)).cast("int")
-
-    typed = points.select(*[F.col(n).cast("double").alias(n) for n in names])
-    first = max(1, math.ceil(points.count() / BLOCK_POINTS))
-    left = cut_lineage(typed.groupBy(block(first)).applyInPandas(front, schema))
-    blocks = max(1, math.ceil(left.count() / BLOCK_POINTS))
-    if first == 1:
-        return left
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    here = left.select(*names, block(blocks).alias("i"), every.alias("j")).groupBy("i", "j")
-    there = left.select(*names, every.alias("i"), block(blocks).alias("j")).groupBy("i", "j")
-    gone = here.cogroup(there).applyInPandas(losers, schema).distinct()
-    return left.join(gone, names, "left_anti")
+        return worse.loc[_beaten(worse[names].to_numpy(dtype=float), better[names].to_numpy(dtype=float)), names]
+
+    found = here.groupBy(*keys).cogroup(there.groupBy(*keys))
+    gone = found.applyInPandas(losers, ", ".join(f"{n} double" for n in names)).distinct()
+    return rows.select(*names).join(gone, names, "left_anti")

@@ -50,8 +50,8 @@ def r1(spark, d):
 
 @query("r1_newest_per_session_stream", newest_sql(1000))
 def r1b(spark, d):
-    delay = streaming.replay_delay(log(spark, d))
-    kept = streaming.run_to_table(streaming.newest_candidates(log_stream(spark, d), delay=delay), "append")
+    stream, delay = streaming.ordered_replay(log(spark, d))
+    kept = streaming.run_to_table(streaming.newest_candidates(stream, delay=delay), "append")
     return eventlog.newest_per_session(kept).select("event_id", "session_id", "event_type")
 
 
@@ -146,6 +146,7 @@ def r13(spark, d):
 
 @query("r13_distinct_events_stream", "SELECT event_id, event_type FROM events")
 def r13b(spark, d):
-    twice = log_stream(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    once = streaming.drop_repeats(twice, streaming.replay_delay(log(spark, d)))
+    stream, delay = streaming.ordered_replay(log(spark, d))
+    twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    once = streaming.drop_repeats(twice, delay)
     return streaming.run_to_table(once.select("event_id", "event_type"), "append")

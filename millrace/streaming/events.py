@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -29,10 +30,12 @@ def run_available(
     each_batch: Callable[[DataFrame, int], None],
     checkpoint: str | None = None,
     timeout: int | None = None,
+    progress: list[dict] | None = None,
 ) -> int:
     """Process everything present, batch by batch, and stop; no time limit
     unless one is given.  Returns how many rows came too late for a watermark
-    (as far back as Spark keeps progress) and warns if there were any."""
+    (as far back as Spark keeps progress) and warns if there were any.
+    `progress` gets batch, rows read, rows held in state and late rows of each batch."""
     checkpoint = checkpoint or scratch_path(stream.sparkSession, "stream")
     query = (
         stream.writeStream.outputMode(mode)
@@ -47,6 +50,11 @@ def run_available(
         elif not query.awaitTermination(timeout):
             raise TimeoutError(f"stream did not finish in {timeout} s")
         late = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+        if progress is not None:
+            for p in query.recentProgress:
+                held = sum(s["numRowsTotal"] for s in p["stateOperators"])
+                dropped = sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"])
+                progress.append({"batch": p["batchId"], "rows": p["numInputRows"], "state_rows": held, "late": dropped})
         if late:
             warnings.warn(f"{late} rows came later than the watermark and were dropped", stacklevel=2)
         return late
@@ -54,7 +62,7 @@ def run_available(
         query.stop()
 
 
-def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str, progress: list[dict] | None = None) -> DataFrame:
     """Run to the end and read the result back.
 
     Append output collects in one folder.  Complete output is one folder per
@@ -70,7 +78,7 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
         last.append(batch)
 
-    run_available(stream, mode, write)
+    run_available(stream, mode, write, progress=progress)
     last = sorted(set(last))
     if not last:
         return spark.createDataFrame([], schema)
@@ -87,6 +95,32 @@ def replay_delay(events: DataFrame, time: str = "ts") -> str:
     return f"{int((last - first).total_seconds()) + 1 if first is not None else 1} seconds"
 
 
+def ordered_replay(events: DataFrame, time: str = "ts", slices: int = 20, files: int = 4) -> tuple[DataFrame, str]:
+    """(stream, delay): a bounded table as a stream in the order of time, and the
+    watermark delay with which it loses nothing.
+
+    The table is cut at quantiles of the time into slices that are written one
+    after the other; a file source hands files out by age, so a batch of
+    `files` files is about a slice and no row is later than the widest slice.
+    State that is kept for the delay holds some slices of the table, where
+    a replay in any order needs a delay as long as the table (`replay_delay`).
+    Rows without a time come with the first slice.
+    """
+    spark, micros = events.sparkSession, F.unix_micros(time)
+    path = scratch_path(spark, "replay")
+    shares = [i / slices for i in range(1, slices)]
+    first, last, cuts = events.agg(F.min(micros), F.max(micros), F.percentile_approx(micros, shares, 1000)).first()
+    cuts = sorted(set(cuts or []))
+    ends = [None, *cuts, None]
+    for low, high in zip(ends, ends[1:]):
+        inside = F.lit(True) if high is None else micros < high
+        inside = inside | micros.isNull() if low is None else inside & (micros >= low)
+        events.where(inside).repartition(files).write.mode("append").parquet(path)
+    edges = [first or 0, *cuts, last or 0]
+    widest = max(b - a for a, b in zip(edges, edges[1:]))
+    return read_stream(spark, path, events.schema, files), f"{math.ceil(widest / 1e6) + 1} seconds"
+
+
 def push_to(
     stream: DataFrame, subscribers: list[Callable[[DataFrame, int], None]], checkpoint: str | None = None
 ) -> None:
@@ -123,17 +157,9 @@ def newest_candidates(
     `keep` of a session are always among the newest `keep` of its salts, so
     `eventlog.newest_per_session` over the output is the exact list.
     """
-    schema = T.StructType(
-        [
-            T.StructField("event_id", T.LongType()),
-            T.StructField("ts", T.TimestampType()),
-            T.StructField("session_id", T.LongType()),
-            T.StructField("event_type", T.StringType()),
-        ]
-    )
-    state = T.StructType(
-        [T.StructField("micros", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(T.LongType()))]
-    )
+    schema = stream.select("event_id", "ts", "session_id", "event_type").schema
+    ids = T.ArrayType(schema["event_id"].dataType)
+    state = T.StructType([T.StructField("micros", T.ArrayType(T.LongType())), T.StructField("ids", ids)])
 
     def update(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         if group.hasTimedOut:
@@ -150,8 +176,8 @@ def newest_candidates(
         kept = {i for _, i in ranked}
         yield fresh.loc[fresh["event_id"].isin(kept), ["event_id", "ts", "session_id", "event_type"]]
 
-    rows = stream.select("event_id", "ts", F.col("session_id").cast("long"), "event_type").withWatermark("ts", delay)
-    salted = rows.withColumn("salt", F.pmod("event_id", F.lit(salts)).cast("int"))
+    rows = stream.select("event_id", "ts", "session_id", "event_type").withWatermark("ts", delay)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int"))
     return salted.groupBy("session_id", "salt").applyInPandasWithState(
         update, schema, state, "append", GroupStateTimeout.EventTimeTimeout
     )
@@ -164,9 +190,11 @@ def windowed_counts(stream: DataFrame, width: str = "1 hour", delay: str = "10 m
 
 
 def drop_repeats(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """First copy of each event_id within the watermark.
+    """First copy of each event_id within the watermark, ids of any type.
 
-    Rows later than `delay` behind the newest event are dropped.  A bounded
-    replay takes its delay from the data (`replay_delay`) and loses nothing.
+    Ids leave the state when the watermark has passed them by `delay`.  Rows
+    later than `delay` behind the newest event are dropped and counted
+    (`run_available`).  A bounded replay takes stream and delay from
+    `ordered_replay`, or its delay from the data (`replay_delay`), and loses nothing.
     """
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])

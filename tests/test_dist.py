@@ -1,6 +1,7 @@
 """Order statistics against numpy, with limits so low that every path runs."""
 
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace import dist
+from millrace.operators import split
 
 PROBS = [0.0, 0.05, 0.25, 0.5, 0.75, 0.9, 1.0]
 
@@ -104,3 +106,31 @@ def test_quantiles_leave_out_nan_at_any_size(spark):
     df = spark.createDataFrame([*rows, (None,)], "x double")
     small, large = (dist.exact_quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.95], small_rows=n)["x"] for n in (10, 10**6))
     assert small == large == [0.0, 1.0, 3.0, float("inf")]
+
+
+def test_hash_cuts_narrow_by_prefix(spark):
+    """Classes of all sizes, NULL and odd names among them, with prefixes opened several times."""
+    rows = [(i, None if i % 11 == 0 else ("" if i % 13 == 0 else f"c{i % 5}" if i % 2 else f"rare {i}")) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, c string")
+    table = dist.hash_cut_table(df, "id", 3, [(1, 5), (1, 2), (1, 1)], "c", "ceil", small=2).collect()
+    hashes: dict = {}
+    for i, c in rows:
+        hashes.setdefault(c, []).append(hashlib.md5(f"3:{i}".encode()).hexdigest())
+    assert {r["_class"] for r in table} == set(hashes) and len(table) == len(hashes)
+    for r in table:
+        h = sorted(hashes[r["_class"]])
+        assert r["_cuts"] == [h[math.ceil(len(h) / 5) - 1], h[math.ceil(len(h) / 2) - 1], h[-1]]
+
+
+def test_hash_cuts_of_equal_keys(spark):
+    df = spark.range(500).select(F.lit(7).alias("id"))
+    h = hashlib.md5(b"1:7").hexdigest()
+    assert dist.hash_cuts(df, "id", 1, [(1, 2), (0, 1), (1, 1)], small=3) == {None: [h, "", h]}
+
+
+def test_a_million_strata(spark):
+    """The table of classes never comes to the driver."""
+    df = spark.range(2_000_000).select("id", (F.col("id") % 1_000_000).alias("c"))
+    marked = split.mark_test(df, "id", 0.5, stratify="c")
+    per = marked.groupBy("c").agg(F.sum(F.col("is_test").cast("int")).alias("n"))
+    assert per.agg(F.count("*"), F.min("n"), F.max("n")).first() == (1_000_000, 1, 1)

@@ -86,6 +86,28 @@ def test_nearest_rows_with_many_cells_and_chunks(spark, p, holes):
         assert got_i == want
 
 
+@pytest.mark.parametrize("p", [1, 2])
+def test_nearest_rows_in_many_dimensions(spark, p):
+    """64 dimensions, where boxes hold nearly every query; ids are texts; few cells are visited."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 64))
+    x = centres[rng.integers(30, size=1500)] + 0.25 * rng.normal(size=(1500, 64))
+    x[700:900] = x[700]  # equal rows
+    names = [f"f{j}" for j in range(64)]
+    rows = [(f"row {i:04d}", *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, ["id", *names])
+    report: dict = {}
+    got = neighbors.nearest_rows(df, df, names, "id", "id", 5, p=p, cell_rows=50, chunk_rows=60, report=report)
+    found: dict = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["neighbor_id"], round(r["distance"], 9)))
+    for i in range(0, 1500, 25):
+        d = np.abs(x[i] - x).sum(axis=1) if p == 1 else np.sqrt(((x[i] - x) ** 2).sum(axis=1))
+        want = sorted((round(v, 9), rows[j][0]) for j, v in enumerate(d))[:5]
+        assert found[rows[i][0]] == [(j, v) for v, j in want]
+    assert report["cells"] > 15 and report["visited"] < (0.8 if p == 1 else 0.6)
+
+
 def test_silhouette_over_blocks(spark):
     rng = np.random.default_rng(6)
     x = np.vstack([rng.normal(size=(60, 2)), rng.normal(size=(30, 2)) + 4, [[9.0, 9.0]]])
@@ -211,6 +233,33 @@ def test_pareto_front_rounds(spark, monkeypatch):
     assert one == {i for i in range(300) if m[i, 0] == m[:, 0].max()}
 
 
+def test_skyline_of_many_points(spark):
+    """200,000 points near a plane, where thousands stay: a point is copied to few blocks at any size."""
+    rng = np.random.default_rng(15)
+    names, copies = ["x", "y", "z"], {}
+    for n in (50_000, 200_000):
+        m = rng.dirichlet([1, 1, 1], n) * (1 - 0.05 * rng.random((n, 1)))
+        df = spark.createDataFrame(pd.DataFrame(m, columns=names))
+        report: dict = {}
+        front = trials._grid_front(df, names, block_points=2048, report=report)
+        got = {tuple(r) for r in front.select(*names).collect()}
+        kept = np.empty((0, 3))
+        for p in m[np.argsort(-m.sum(axis=1))]:  # a larger sum cannot be beaten by a smaller one
+            if not (kept >= p).all(axis=1).any():
+                kept = np.vstack([kept, p])
+        assert got == {tuple(p) for p in kept.tolist()} and len(got) > 500
+        copies[n] = report["copies"] / report["survivors"]
+        assert report["survivors"] < n
+    assert copies[200_000] < 1.5 * copies[50_000] < 150
+
+
+def test_skyline_of_nothing_and_of_equal_points(spark):
+    empty = spark.createDataFrame([], "x double, y double, z double")
+    assert trials._grid_front(empty, ["x", "y", "z"]).count() == 0
+    same = spark.createDataFrame([(1.0, 2.0, 3.0)], "x double, y double, z double")
+    assert trials._grid_front(same, ["x", "y", "z"]).count() == 1
+
+
 def test_select_k_best(spark):
     rng = np.random.default_rng(14)
     y = rng.integers(0, 2, size=300)

@@ -104,3 +104,38 @@ def test_live_sessions(log):
     out = eventlog.live_sessions(log[0], 600, as_of=last + dt.timedelta(seconds=590))
     assert {r[0] for r in out.select("session_id").distinct().collect()} == {0}
     assert eventlog.live_sessions(log[0], 10**6).count() == log[0].count()
+
+
+def test_an_ordered_replay_keeps_little_state(spark, tmp_path):
+    """20 batches: ids leave the state, the result is exact, nothing is late; ids are texts."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(f"id {i:05d}", start + dt.timedelta(seconds=7 * (i * 37 % 4000)), f"s{i % 3}", "a") for i in range(4000)]
+    rows += [("no time", None, "s0", "a")]
+    events = spark.createDataFrame(rows, "event_id string, ts timestamp, session_id string, event_type string")
+    stream, delay = streaming.ordered_replay(events, slices=20, files=2)
+    assert int(delay.split()[0]) < 7 * 4000 / 10
+    twice = stream.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).drop("k")
+    progress: list = []
+    got = streaming.run_to_table(streaming.drop_repeats(twice, delay).select("event_id"), "append", progress)
+    timed = [r for r in rows if r[1] is not None]
+    assert {r[0] for r in timed} <= {r[0] for r in got.collect()} and got.count() <= len(rows)
+    read = [p for p in progress if p["rows"]]
+    assert len(read) >= 20 and max(p["state_rows"] for p in progress) < 1000 and not any(p["late"] for p in progress)
+    wide, progress = streaming.newest_candidates(stream, keep=50, salts=4, delay=delay), []
+    kept = eventlog.newest_per_session(streaming.run_to_table(wide, "append", progress), 50)
+    want = eventlog.newest_per_session(events.where("ts is not null"), 50)
+    assert same(kept.select("session_id", "event_id"), want.select("session_id", "event_id"))
+    assert max(p["state_rows"] for p in progress) <= 12
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    path = str(tmp_path / "late")
+    for hour in (0, 5, 6, 1, 9):  # rows are late for the watermark of the batch before the last
+        rows = [(10 * hour + i, start + dt.timedelta(hours=hour, minutes=i)) for i in range(10)]
+        spark.createDataFrame(rows, "event_id long, ts timestamp").coalesce(1).write.mode("append").parquet(path)
+    late = streaming.read_stream(spark, path, spark.read.parquet(path).schema, max_files=1)
+    progress: list = []
+    with pytest.warns(UserWarning, match="10 rows"):
+        got = streaming.run_to_table(streaming.drop_repeats(late, "1 hour").select("event_id"), "append", progress)
+    assert sum(p["late"] for p in progress) == 10 and got.count() == 40
