@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -125,18 +126,29 @@ class Stacked:
 
 def fit_voting(df, bases: Sequence[Base], features, label, task, voting="soft", weights=None, key=None) -> Voting:
     with cached(df) as ready:
-        models = {n: fit_model(ready, m, features, label, task, p, key) for n, m, p in bases}
+        models = _fit_bases(ready, bases, features, label, task, key)
     return Voting(models, task, voting, weights)
 
 
-def out_of_fold(df, bases: Sequence[Base], features, label, task, key, folds=5, seed=42) -> DataFrame:
+def _fit_bases(df, bases: Sequence[Base], features, label, task, key, parallelism: int = 4) -> dict[str, Any]:
+    return dict(zip([b[0] for b in bases], _fit_each([(df, m, features, label, task, p, key) for _, m, p in bases], parallelism)))
+
+
+def _fit_each(fits: Sequence[tuple], parallelism: int) -> list:
+    """Models of (df, model, features, label, task, params, key); a bounded number at a time, because their small jobs overlap."""
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(lambda fit: fit_model(*fit), fits))
+
+
+def out_of_fold(df, bases: Sequence[Base], features, label, task, key, folds=5, seed=42, parallelism=4) -> DataFrame:
     """Every row with base predictions from models that did not see it."""
-    ready = mark_folds(df, key, folds, seed, label if task == "classification" else None)
+    ready = cut_lineage(mark_folds(df, key, folds, seed, label if task == "classification" else None))
+    train = [ready.where(F.col("fold") != f) for f in range(folds)]
+    fitted = _fit_each([(t, m, features, label, task, p, key) for t in train for _, m, p in bases], parallelism)
     parts = []
     for f in range(folds):
-        train, held = ready.where(F.col("fold") != f), ready.where(F.col("fold") == f)
-        models = {n: fit_model(train, m, features, label, task, p, key) for n, m, p in bases}
-        parts.append(_chain(models, held, task))
+        models = {base[0]: model for base, model in zip(bases, fitted[f * len(bases) :])}
+        parts.append(_chain(models, ready.where(F.col("fold") == f), task))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -154,7 +166,7 @@ def fit_stacking(
         extra = list(features) if passthrough else []
         with cached(rows.withColumns(made).select(q(label), *made, *[q(c) for c in extra])) as level:
             meta_model = fit_model(level, meta or _meta_name(task), [*made, *extra], label, task)
-        models = {n: fit_model(ready, m, features, label, task, p, key) for n, m, p in bases}
+        models = _fit_bases(ready, bases, features, label, task, key)
     return Stacked(models, meta_model, task, classes, extra)
 
 
@@ -165,7 +177,7 @@ def fit_blending(
     classes = _class_count(df, label, task)
     train, held = train_test_split(df, key, holdout, seed, label if task == "classification" else None)
     with cached(train) as ready:
-        models = {n: fit_model(ready, m, features, label, task, p, key) for n, m, p in bases}
+        models = _fit_bases(ready, bases, features, label, task, key)
     made = _meta_columns([b[0] for b in bases], task, classes)
     level = _chain(models, held, task).withColumns(made)
     return Stacked(models, fit_model(level, meta or _meta_name(task), list(made), label, task), task, classes)
@@ -199,7 +211,7 @@ def fit_multi_level(df, levels: Sequence[Sequence[Base]], features, label, task,
         with cached(table) as ready:
             made = _meta_columns([b[0] for b in named], task, classes)
             rows = out_of_fold(ready, named, inputs, label, task, key, folds, seed + i).withColumns(made)
-            fitted.append({n: fit_model(ready, m, inputs, label, task, p, key) for n, m, p in named})
+            fitted.append(_fit_bases(ready, named, inputs, label, task, key))
             table = cut_lineage(rows.select(*[q(c) for c in df.columns], *made))
         inputs = list(made)
     return MultiLevel(fitted, fit_model(table, _meta_name(task), inputs, label, task), task, classes)
@@ -224,7 +236,7 @@ def auto_ensemble(train, test, bases: Sequence[Base], features, label, task, key
     """Base models, a voting and a stacking ensemble; (best model, leaderboard)."""
     metric = "accuracy" if task == "classification" else "r2"
     with cached(train) as ready, cached(test) as held:
-        models = {n: fit_model(ready, m, features, label, task, p, key) for n, m, p in bases}
+        models = _fit_bases(ready, bases, features, label, task, key)
         made = {"voting": Voting(models, task), "stacking": fit_stacking(ready, bases, features, label, task, key, folds)}
         base_rows = [(n, all_scores(m.transform(held), label, task)) for n, m in models.items()]
         made_rows = [(n, all_scores(m.transform(held), label, task)) for n, m in made.items()]

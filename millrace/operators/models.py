@@ -34,6 +34,7 @@ from .metrics import (
     regression_aggregates,
     regression_metrics,
 )
+from .logistic import MOST_PARAMETERS, Softmax, fit_softmax, parameters
 from .neighbors import knn_predict
 
 SEED = 42
@@ -48,7 +49,7 @@ class FittedModel:
     name: str
     task: str
     features: list[str]
-    model: Transformer
+    model: Transformer | Softmax
     classes: int = 0
     lift: Callable[[DataFrame], DataFrame] | None = None
 
@@ -63,7 +64,8 @@ class FittedModel:
 
     def _probability(self, out: DataFrame) -> Column:
         if "probability" in out.columns:
-            return vector_to_array("probability")
+            vector = out.schema["probability"].dataType.typeName() != "array"
+            return vector_to_array("probability") if vector else F.col("probability")
         # margins only: logistic of each margin, normalised over the classes
         raw = vector_to_array("rawPrediction")
         p = F.transform(raw, lambda m: 1.0 / (1.0 + F.exp(-m)))
@@ -499,7 +501,12 @@ def fit_model(
     ready = ready.select("_features", q(label).cast("double").alias(label))
     if name in LINEAR:  # trees draw their bags per partition, so only solvers may be given fewer
         ready = few_tasks(ready, n)
-    model = estimator.fit(ready)
+    smooth = name == "logistic_regression" and params.get("penalty") in (None, "l2")
+    if smooth and parameters(classes, len(features)) <= MOST_PARAMETERS:
+        with cached(ready) as kept:
+            model = fit_softmax(kept, label, classes, n, estimator.getRegParam())
+    else:
+        model = estimator.fit(ready)
     return FittedModel(name, task, features, model, classes, lift)
 
 
@@ -508,10 +515,20 @@ def fit_model(
 LOWER_IS_BETTER = {"mse", "rmse", "mae", "mape", "max_error", "log_loss"}
 
 
-def score(predictions: DataFrame, label: str, metric: str) -> float:
-    """One metric of a prediction frame, in its natural sign."""
+#: a name, or a function from the prediction frame to a number (see `metrics.scorer`)
+Metric = str | Callable[[DataFrame], float]
+
+
+def metric_name(metric: Metric) -> str:
+    return metric if isinstance(metric, str) else getattr(metric, "__name__", type(metric).__name__)
+
+
+def score(predictions: DataFrame, label: str, metric: Metric) -> float:
+    """One metric of a prediction frame, in its natural sign; a user's metric as the function returns it."""
     known = regression_aggregates(label, "prediction")
-    if metric in known:
+    if callable(metric):
+        value = metric(predictions)
+    elif metric in known:
         value = predictions.agg(known[metric].alias("v")).first()["v"]
     elif metric == "accuracy":
         value = predictions.agg(F.avg((q(label) == F.col("prediction")).cast("double"))).first()[0]
@@ -547,12 +564,13 @@ def all_scores(predictions: DataFrame, label: str, task: str) -> dict[str, float
 
 def train(
     train_set: DataFrame, test_set: DataFrame, name: str, features: Sequence[str], label: str, task: str,
-    params: dict | None = None, key: str | None = None,
+    params: dict | None = None, key: str | None = None, metrics: Sequence[Metric] = (),
 ):
-    """Fit, predict the test set and score it: (model, predictions, metrics)."""
+    """Fit, predict the test set and score it: (model, predictions, metrics); `metrics` are scored besides the usual ones."""
     model = fit_model(train_set, name, features, label, task, params, key)
     predictions = model.transform(test_set)
-    return model, predictions, all_scores(predictions, label, task)
+    more = {metric_name(m): score(predictions, label, m) for m in metrics}
+    return model, predictions, {**all_scores(predictions, label, task), **more}
 
 
 def train_many(
@@ -609,12 +627,12 @@ def cross_validate(
     task: str,
     key: str,
     folds: int = 5,
-    metrics: Sequence[str] | None = None,
+    metrics: Sequence[Metric] | None = None,
     params: dict | None = None,
     seed: int = SEED,
     parallelism: int = 2,
 ) -> DataFrame:
-    """(fold, metric, value): each fold scored by a model of the others."""
+    """(fold, metric, value): each fold scored by a model of the others; metrics are names or a user's functions."""
     from .split import mark_folds
 
     metrics = list(metrics or (["accuracy"] if task == "classification" else ["r2"]))
@@ -623,7 +641,7 @@ def cross_validate(
     def one(fold: int):
         model = fit_model(ready.where(F.col("fold") != fold), name, features, label, task, params, key)
         predictions = model.transform(ready.where(F.col("fold") == fold))
-        return [(fold, m, score(predictions, label, m)) for m in metrics]
+        return [(fold, metric_name(m), score(predictions, label, m)) for m in metrics]
 
     with cached(mark_folds(df, key, folds, seed, stratify)) as ready:
         with ThreadPoolExecutor(max_workers=parallelism) as pool:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dist import q
@@ -44,45 +45,102 @@ def top_importance(importance: DataFrame, n: int = 20) -> DataFrame:
     return importance.orderBy(F.abs("importance").desc(), "feature").limit(n)
 
 
-def _lines(df: DataFrame, text) -> list[str]:
-    return [r["t"] for r in df.select(text.alias("t")).collect()]
+def _lines(part: int, df: DataFrame, text, order: Sequence = ()) -> DataFrame:
+    """(part, place, line) of a small frame, in its order."""
+    place = F.row_number().over(Window.orderBy(*order)) if order else F.lit(0)
+    return df.select(F.lit(part).alias("part"), place.alias("place"), text.alias("line"))
 
 
-def classification_text(df: DataFrame, model: str, label: str = "label", prediction: str = "prediction", importance: DataFrame | None = None) -> str:
-    """Headline scores, per-class rows, confusion counts and top features."""
+def _numbered(df: DataFrame, heads: dict[int, str], parts: list[DataFrame]) -> DataFrame:
+    """(position, line): a heading before each part, all in order; a report has some lines for each class and metric."""
+    titles = df.sparkSession.createDataFrame([(p, -1, t) for p, t in heads.items()], "part int, place int, line string")
+    every = reduce(DataFrame.unionByName, [titles, *parts])
+    position = F.row_number().over(Window.orderBy("part", "place")) - 1
+    return every.select(position.alias("position"), "line")
+
+
+def _in_order(names: Sequence[str]):
+    return F.array_position(F.array(*[F.lit(n) for n in names]), F.col("metric"))
+
+
+def classification_lines(
+    df: DataFrame, model: str, label: str = "label", prediction: str = "prediction", importance: DataFrame | None = None
+) -> DataFrame:
+    """(position, line): headline scores, per-class rows, confusion counts and top features."""
     counts = confusion_counts(df, label, prediction)
     weighted = averaged_scores(counts).where("average = 'weighted'").select(*SCORES)
-    heads = to_rows(accuracy(counts)).unionByName(to_rows(weighted))
-    out = [f"Classification report: {model}", ""]
-    out += _lines(heads, F.format_string("%-12s %.4f", "metric", "value"))
-    out += ["", "class         precision  recall  f1  support"]
-    out += _lines(
-        classification_report(counts),
-        F.format_string("%-12s %.4f %.4f %.4f %d", "class", "precision", "recall", "f1", "support"),
-    )
-    out += ["", "true → predicted: rows"]
-    out += _lines(
-        confusion_matrix(counts).orderBy("label", "prediction"),
-        F.format_string("%s → %s: %.0f", F.col("label").cast("string"), F.col("prediction").cast("string"), "value"),
-    )
-    return "\n".join(out + _importance_lines(importance))
+    scores = to_rows(accuracy(counts)).unionByName(to_rows(weighted))
+    heads = {0: f"Classification report: {model}", 1: "", 3: "", 4: "class         precision  recall  f1  support", 6: "", 7: "true → predicted: rows"}
+    last = F.col("class").try_cast("long")
+    parts = [
+        _lines(2, scores, F.format_string("%-12s %.4f", "metric", F.round("value", 10)), [_in_order(["accuracy", *SCORES])]),
+        _lines(
+            5,
+            classification_report(counts),
+            F.format_string("%-12s %.4f %.4f %.4f %d", "class", *[F.round(x, 10) for x in SCORES], "support"),
+            [last.asc_nulls_last(), "class"],
+        ),
+        _lines(
+            8,
+            confusion_matrix(counts),
+            F.format_string("%s → %s: %.0f", F.col("label").cast("string"), F.col("prediction").cast("string"), "value"),
+            ["label", "prediction"],
+        ),
+    ]
+    return _with_importance(df, heads, parts, importance)
+
+
+def regression_lines(
+    df: DataFrame, model: str, label: str = "label", prediction: str = "prediction", importance: DataFrame | None = None
+) -> DataFrame:
+    """(position, line): metrics, residuals and top features, each in order of their names."""
+    text = F.format_string("%-20s %.4f", "metric", F.round("value", 10))
+    heads = {0: f"Regression report: {model}", 1: "", 3: "", 4: "Residuals"}
+    parts = [
+        _lines(2, to_rows(regression_metrics(df, label, prediction)), text, ["metric"]),
+        _lines(5, to_rows(residual_summary(df, label, prediction)), text, ["metric"]),
+    ]
+    return _with_importance(df, heads, parts, importance)
+
+
+def _with_importance(df, heads: dict[int, str], parts: list[DataFrame], importance: DataFrame | None) -> DataFrame:
+    if importance is not None:
+        heads = {**heads, 90: "", 91: "Top features"}
+        text = F.format_string("%-20s %.4f", "feature", "importance")
+        parts = [*parts, _lines(92, top_importance(importance, 10), text, [F.abs("importance").desc(), "feature"])]
+    return _numbered(df, heads, parts)
+
+
+def _text(lines: DataFrame) -> str:
+    return "\n".join(r["line"] for r in lines.orderBy("position").collect())
+
+
+def classification_text(df: DataFrame, model: str, label: str = "label", prediction: str = "prediction", importance: DataFrame | None = None) -> str:
+    """The lines of a report in one text."""
+    return _text(classification_lines(df, model, label, prediction, importance))
 
 
 def regression_text(df: DataFrame, model: str, label: str = "label", prediction: str = "prediction", importance: DataFrame | None = None) -> str:
-    out = [f"Regression report: {model}", ""]
-    text = F.format_string("%-20s %.4f", "metric", "value")
-    out += _lines(to_rows(regression_metrics(df, label, prediction)), text)
-    out += ["", "Residuals"]
-    out += _lines(to_rows(residual_summary(df, label, prediction)), text)
-    return "\n".join(out + _importance_lines(importance))
-
-
-def _importance_lines(importance: DataFrame | None) -> list[str]:
-    if importance is None:
-        return []
-    return ["", "Top features"] + _lines(
-        top_importance(importance, 10), F.format_string("%-20s %.4f", "feature", "importance")
-    )
+    return _text(regression_lines(df, model, label, prediction, importance))
+
+
+#: columns that name a row of a section
+SECTION_KEYS = {
+    "confusion": ["label", "prediction"], "report": ["class"], "roc": ["class"], "precision_recall": ["class"],
+    "metrics": ["metric"], "residuals": ["metric"], "residual_histogram": ["bin"], "qq": ["position"],
+}
+
+
+def bundle_rows(parts: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFrame:
+    """(section, key, name, value): all frames of a bundle as one table; the rest of a frame's columns are values."""
+    out = []
+    for section, df in parts.items():
+        own = {**SECTION_KEYS, **keys}[section]
+        values = [c for c in df.columns if c not in own]
+        cells = F.array(*[F.struct(F.lit(c).alias("name"), q(c).cast("double").alias("value")) for c in values])
+        key = F.concat_ws("/", *[q(c).cast("string") for c in own])
+        out.append(df.select(F.lit(section).alias("section"), key.alias("key"), F.inline(cells)))
+    return reduce(DataFrame.unionByName, out)
 
 
 def evaluation_bundle(
@@ -99,7 +157,7 @@ def evaluation_bundle(
         return out
     return {
         "metrics": to_rows(regression_metrics(df, label, prediction)),
-        "residuals": residual_summary(df, label, prediction),
+        "residuals": to_rows(residual_summary(df, label, prediction)),
         "residual_histogram": residual_histogram(df, label, prediction),
         "qq": qq_points(df, label, prediction),
         "scale_location": scale_location(df, label, prediction).select(q(key), q(prediction), "sqrt_abs_standardized"),

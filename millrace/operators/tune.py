@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .models import LOWER_IS_BETTER, cached, cross_validate, fit_model, score
+from .models import LOWER_IS_BETTER, Metric, cached, cross_validate, fit_model, metric_name, score
 from .split import nested_samples, train_test_split
 from .trials import pareto_front, prune_below_median
 
@@ -98,7 +98,8 @@ def sample_points(space: Space, n: int, method: str = "random", seed: int = 42,
     return [_resolve(space, {k: space[k].at(float(x)) for k, x in zip(names, row)}) for row in u]
 
 
-def direction_of(metric: str) -> str:
+def direction_of(metric: Metric) -> str:
+    """A user's metric is larger for better models (`metrics.scorer` turns the sign of others)."""
     return "minimize" if metric in LOWER_IS_BETTER else "maximize"
 
 
@@ -161,7 +162,7 @@ class Study:
 
 
 def model_objective(
-    df: DataFrame, name: str, features: Sequence[str], label: str, task: str, key: str, metric: str,
+    df: DataFrame, name: str, features: Sequence[str], label: str, task: str, key: str, metric: Metric,
     folds: int | None = 5, valid: DataFrame | None = None, seed: int = 42,
 ) -> Callable[[dict], float]:
     """Mean fold score, or the score on `valid` when given; natural sign."""
@@ -178,7 +179,7 @@ def model_objective(
 
 def tune_model(
     df: DataFrame, name: str, features: Sequence[str], label: str, task: str, key: str, space: Space,
-    n_trials: int = 20, timeout: float | None = None, metric: str | None = None, folds: int = 5,
+    n_trials: int = 20, timeout: float | None = None, metric: Metric | None = None, folds: int = 5,
     valid: DataFrame | None = None, method: str = "random", seed: int = 42, parallelism: int = 2,
     study: Study | None = None,
 ):
@@ -196,7 +197,7 @@ def tune_model(
 
 def successive_halving(
     df: DataFrame, name: str, features: Sequence[str], label: str, task: str, key: str, space: Space,
-    n_trials: int = 8, shares: Sequence[float] = (0.25, 0.5, 1.0), metric: str | None = None, seed: int = 42,
+    n_trials: int = 8, shares: Sequence[float] = (0.25, 0.5, 1.0), metric: Metric | None = None, seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
     """Score all points on a small sample, keep those not below the median, and
     repeat on larger samples that contain the earlier ones.
@@ -228,7 +229,7 @@ def successive_halving(
 
 def tune_many_objectives(
     df: DataFrame, name: str, features: Sequence[str], label: str, task: str, key: str, space: Space,
-    metrics: Sequence[str], n_trials: int = 10, seed: int = 42,
+    metrics: Sequence[Metric], n_trials: int = 10, seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
     """Several metrics per trial on one hold-out: (trials, Pareto front)."""
     train_set, valid_set = train_test_split(df, key, 0.2, seed, label if task == "classification" else None)
@@ -241,6 +242,6 @@ def tune_many_objectives(
             except Exception:  # a failed trial is a result, not the end
                 values, state = [None] * len(metrics), "FAIL"
             rows.append((t, state, {k: str(v) for k, v in params.items()}, *values))
-    schema = "trial int, state string, params map<string,string>, " + ", ".join(f"{m} double" for m in metrics)
+    schema = "trial int, state string, params map<string,string>, " + ", ".join(f"{metric_name(m)} double" for m in metrics)
     trials = df.sparkSession.createDataFrame(rows, schema)
-    return trials, pareto_front(trials, {m: direction_of(m) for m in metrics})
+    return trials, pareto_front(trials, {metric_name(m): direction_of(m) for m in metrics})

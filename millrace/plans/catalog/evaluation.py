@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ...functions.normal import normal_quantile_sql
 from ...operators import clusters, curves, metrics, reports, residuals, split
 from .base import (
+    ORACLES,
     PREDS_BIN_SQL,
     PREDS_CLS_SQL,
     PREDS_REG_SQL,
@@ -292,26 +293,97 @@ def k27(spark, d):
     *[f"SELECT '{x}', round(sum({x} * s) / sum(s), 6) FROM m" for x in metrics.SCORES],
     "SELECT 'mcc', round((sum(tp) * sum(s) - sum(p * s)) / sqrt((sum(s) * sum(s) - sum(p * p)) * (sum(s) * sum(s) - sum(s * s))), 6) FROM m",
     "SELECT 'kappa', round((sum(tp) / sum(s) - sum(p * s) / (sum(s) * sum(s))) / (1 - sum(p * s) / (sum(s) * sum(s))), 6) FROM m",
-    "SELECT 'balanced_accuracy', round(avg(recall) FILTER (WHERE s > 0), 6) FROM m"]))
+    "SELECT 'balanced_accuracy', round(avg(recall) FILTER (WHERE s > 0), 6) FROM m",
+    "SELECT 'log_loss', round(avg(-ln(CASE label WHEN 0 THEN w0 WHEN 1 THEN w1 ELSE w2 END / (w0 + w1 + w2))), 6) FROM preds",
+    "SELECT 'roc_auc', round(sum(auc * support) / sum(support), 6) FROM (" + union_sql([AUC_BIN.format(k=f"'{k}'", v=k, s=f"w{k} / (w0 + w1 + w2)") for k in range(3)]) + ")"]))
 def k27b(spark, d):
-    return rounded(metrics.evaluate_classification(class_predictions(spark, d)).select("metric", "value"))
+    predictions = class_predictions(spark, d)
+    return rounded(metrics.evaluate_classification(predictions, probability="probability").select("metric", "value"))
 
 
-@query("k27_evaluate_clustering")
-def k27c(spark, d):
-    return rounded(clusters.evaluate_clustering(table(spark, d, "embeddings"), "embedding", "label", "vec_id"))
+def one_value(name, sql):
+    return f"SELECT '{name}' AS metric, CAST({name} AS DOUBLE) AS value FROM ({sql})"
 
 
-@query("k28_text_reports")
+@query("k27_evaluate_clustering", union_sql([
+    one_value("silhouette", silhouette_sql(1, "silhouette")),
+    *[one_value(n, ORACLES[k]) for n, k in (("calinski_harabasz", "k23_calinski_harabasz"), ("davies_bouldin", "k24_davies_bouldin"))],
+    *[one_value(n, ORACLES["k25_size_variation"]) for n in ("clusters", "size_variation")]]))
+def k27c(spark, d):
+    rows = clusters.evaluate_clustering(table(spark, d, "embeddings"), "embedding", "label", "vec_id")
+    return rounded(rows.select("metric", "value"))
+
+
+def lines_sql(parts):
+    """(kind, position, line) of parts: one line, or (order, line expression, source)."""
+    rows = [f"SELECT {i} AS part, 0 AS place, '{p}' AS line" if isinstance(p, str) else f"SELECT {i}, row_number() OVER (ORDER BY {p[0]}), {p[1]} FROM ({p[2]})" for i, p in enumerate(parts)]
+    return "SELECT CAST(row_number() OVER (ORDER BY part, place) - 1 AS INTEGER) AS position, line FROM (" + union_sql(rows) + ")"
+
+
+HEADS = ["accuracy", *metrics.SCORES]
+TOLD = "format('{:<12} {:.4f} {:.4f} {:.4f} {}', class, precision, recall, f1, CAST(support AS BIGINT))"
+CLASS_ROWS = union_sql([
+    "SELECT CAST(class AS VARCHAR) AS class, precision, recall, f1, s AS support FROM m",
+    "SELECT 'accuracy', sum(tp) / sum(s), sum(tp) / sum(s), sum(tp) / sum(s), sum(s) FROM m",
+    "SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(s) FROM m",
+    "SELECT 'weighted avg', sum(precision * s) / sum(s), sum(recall * s) / sum(s), sum(f1 * s) / sum(s), sum(s) FROM m"])
+REG_TEXT = "format('{:<20} {:.4f}', metric, CAST(value AS DOUBLE))"
+RESIDUAL = ["mean", "std", "min", "max", "skewness", "kurtosis"]
+
+
+def named_sql(columns, source):
+    return union_sql([f"SELECT '{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM ({source})" for c in columns])
+
+
+@query("k28_text_reports", "SELECT 'classification' AS kind, * FROM (" + PER_CLASS + lines_sql([
+    "Classification report: rule", "",
+    ("list_position(" + str(HEADS) + ", metric)", "format('{:<12} {:.4f}', metric, value)",
+     union_sql(["SELECT 'accuracy' AS metric, sum(tp) / sum(s) AS value FROM m", *[f"SELECT '{x}', sum({x} * s) / sum(s) FROM m" for x in metrics.SCORES]])),
+    "", "class         precision  recall  f1  support", ("TRY_CAST(class AS BIGINT) NULLS LAST, class", TOLD, CLASS_ROWS),
+    "", "true → predicted: rows",
+    ("label, prediction", "format('{} → {}: {}', label, prediction, n)", "SELECT a.class AS label, b.class AS prediction, coalesce(n, 0) AS n FROM pc a CROSS JOIN pc b LEFT JOIN cm ON cm.label = a.class AND cm.prediction = b.class")])
+    + ") UNION ALL SELECT 'regression', * FROM (" + REG + f", w AS (SELECT {REG_COLS.replace(', 2) AS mse', ', 10) AS mse').replace(', 6)', ', 10)')} FROM preds), v AS ({ORACLES['k15_residual_summary'].replace(', 6)', ', 10)')}) " + lines_sql([
+    "Regression report: rule", "",
+    ("metric", REG_TEXT, named_sql(["mse", "rmse", "mae", "r2", "explained_variance", "max_error", "mape", "mean_residual", "std_residual"], "SELECT * FROM w")),
+    "", "Residuals", ("metric", REG_TEXT, named_sql(RESIDUAL, "SELECT * FROM v"))]) + ")")
 def k28(spark, d):
-    texts = [("classification", reports.classification_text(class_predictions(spark, d), "rule")),
-             ("regression", reports.regression_text(regression_predictions(spark, d), "rule"))]
-    return spark.createDataFrame(texts, "kind string, report string")
+    parts = [("classification", reports.classification_lines(class_predictions(spark, d), "rule")),
+             ("regression", reports.regression_lines(regression_predictions(spark, d), "rule"))]
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), "position", "line") for kind, df in parts])
+
+
+def section_sql(section, key, columns, source):
+    return union_sql([f"SELECT '{section}' AS section, CAST({key} AS VARCHAR) AS key, '{c}' AS name, CAST({c} AS DOUBLE) AS value FROM ({source})" for c in columns])
+
+
+def class_curve_sql(k):
+    return CLS + f""", c AS (SELECT w{k} / (w0 + w1 + w2) AS score, sum(CAST(label = {k} AS INTEGER)) AS pos, sum(CAST(label <> {k} AS INTEGER)) AS neg FROM preds GROUP BY 1),
+r AS (SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n, pos FROM c WINDOW w AS (ORDER BY score DESC)) """
+
+
+ROC = union_sql([f"SELECT * FROM ({class_curve_sql(k)} SELECT '{k}' AS class, round(score, 6) AS threshold, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr FROM r UNION ALL SELECT '{k}', NULL, 0, 0)" for k in range(3)])
+PRC = union_sql([f"SELECT * FROM ({class_curve_sql(k)} SELECT '{k}' AS class, round(score, 6) AS threshold, round(tp / (tp + fp), 6) AS precision, round(tp / p, 6) AS recall FROM r UNION ALL SELECT '{k}', NULL, 1, 0)" for k in range(3)])
 
 
-@query("k29_evaluation_bundle")
+@query("k29_evaluation_bundle", union_sql([
+    section_sql("metrics", "metric", ["value"], named_sql(["mse", "rmse", "mae", "r2", "explained_variance", "max_error", "mape", "mean_residual", "std_residual"], ORACLES["k12_regression_metrics"])),
+    section_sql("residuals", "metric", ["value"], named_sql(RESIDUAL, ORACLES["k15_residual_summary"])),
+    section_sql("residual_histogram", "bin", ["lower", "upper", "n"], ORACLES["k19_residual_histogram"]),
+    section_sql("qq", "position", ["residual", "probability", "theoretical"], ORACLES["k18_qq_points"]),
+    section_sql("scale_location", "row_id", ["sqrt_abs_standardized"], ORACLES["k19_scale_location"]),
+    section_sql("sample", "row_id", ["label", "abs_error", "r2"], ORACLES["k20_prediction_sample"]),
+    section_sql("confusion", "label || '/' || prediction", ["value"], f"SELECT * FROM ({ORACLES['k4_confusion_matrix']}) WHERE normalize = 'none'"),
+    section_sql("report", "class", ["precision", "recall", "f1", "support"], ORACLES["k3_classification_report"]),
+    section_sql("roc", "class", ["threshold", "fpr", "tpr"], ROC),
+    section_sql("precision_recall", "class", ["threshold", "precision", "recall"], PRC)]))
 def k29(spark, d):
+    """All sections, one row for each value."""
     parts = reports.evaluation_bundle(regression_predictions(spark, d), "regression", "row_id")
     parts.update(reports.evaluation_bundle(class_predictions(spark, d), "classification", "row_id", probability="probability"))
-    rows = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("section"), "n_rows") for name, df in parts.items()]
-    return reduce(DataFrame.unionByName, rows)
+    digits = F.when(F.col("metric") == "mse", F.round("value", 2)).otherwise(F.round("value", 6))
+    parts["metrics"] = parts["metrics"].withColumn("value", digits)
+    parts["residual_histogram"] = rounded(parts["residual_histogram"], 4)
+    parts["qq"] = rounded(parts["qq"], 4, ["residual"]).drop("normal")
+    parts["scale_location"] = parts["scale_location"].select("row_id", "sqrt_abs_standardized")
+    parts["sample"] = parts["sample"].drop("prediction")
+    return reports.bundle_rows({k: rounded(v) for k, v in parts.items()}, {"scale_location": ["row_id"], "sample": ["row_id"]})

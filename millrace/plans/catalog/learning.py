@@ -64,6 +64,26 @@ register("m2_gradient_boosting_classifier", "gradient_boosting", "big", "classif
 register("m2_gradient_boosting_multiclass", "gradient_boosting", "size3", "classification")
 register("m2_gradient_boosting_regressor", "gradient_boosting", "charge", "regression")
 register("m3_logistic_regression", "logistic_regression", "size3", "classification")
+
+
+@query("m3_logistic_gradient", f"WITH {ORDER_SQL} SELECT DISTINCT size3 AS class, feature, CAST(0 AS DOUBLE) AS gradient FROM data, (SELECT unnest({FEATURES}) AS feature)")
+def m3g(spark, d):
+    """At the optimum the gradient of the penalised loss is zero, in units of each feature's deviation."""
+    data = orders_data(spark, d)
+    fitted = models.fit_model(data, "logistic_regression", FEATURES, "size3", "classification")
+    found = fitted.transform(data)
+    facts = found.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in FEATURES for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    weights = fitted.model.coefficientMatrix.toArray()
+    rows = []
+    for k in range(3):
+        off = F.col("probability")[k] - (F.col("size3") == k).cast("double")
+        for j, c in enumerate(FEATURES):
+            mean, spread = facts[f"m_{c}"], facts[f"s_{c}"]
+            slope = F.avg(off * (F.col(c) - mean) / spread) + F.lit(float(weights[k, j]) / spread / facts["n"])
+            rows.append(F.struct(F.lit(k).alias("class"), F.lit(c).alias("feature"), (F.round(slope, 6) + F.lit(0.0)).alias("gradient")))
+    return found.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+
+
 register("m4_decision_tree_classifier", "decision_tree", "size3", "classification")
 register("m4_decision_tree_regressor", "decision_tree", "charge", "regression")
 register("m7_linear_svm", "linear_svm", "big", "classification")

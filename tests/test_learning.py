@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import ensemble, models, tune
+from millrace.operators import ensemble, metrics, models, tune
 from millrace.operators.split import train_test_split
 
 X = ["a", "b"]
@@ -67,6 +67,45 @@ def test_logistic_regression_penalty(data):
     assert np.allclose([m.intercept, *m.coefficients.toArray()], w, atol=5e-3)
 
 
+@pytest.mark.parametrize("classes", [2, 4])
+def test_newton_steps_agree_with_the_iterative_solver(spark, classes):
+    """Few passes, features of very different sizes, probabilities equal to 1e-6."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(600, 3)) * [1.0, 300.0, 0.01] + [0, 5000.0, 0]
+    y = (x @ [1.0, 0.004, 60.0] - 20 + rng.normal(size=600)).argsort().argsort() * classes // 600
+    df = spark.createDataFrame([(i, *map(float, r), int(c)) for i, (r, c) in enumerate(zip(x, y))], "id long, a double, b double, e double, y int")
+    fitted = models.fit_model(df, "logistic_regression", ["a", "b", "e"], "y", "classification", {"C": 2.0})
+    assert fitted.model.passes < 15 and fitted.model.gradient < 1e-9
+    solver = models.classifier("logistic_regression", "y", 600, classes, {"C": 2.0, "tol": 1e-13, "max_iter": 5000})
+    theirs = models.FittedModel("x", "classification", ["a", "b", "e"], solver.fit(models.assemble(df, ["a", "b", "e"])))
+    ours, want = (np.array([r["probability"] for r in m.transform(df).orderBy("id").collect()]) for m in (fitted, theirs))
+    assert np.abs(ours - want).max() < 1e-5
+    # the gradient of the penalised loss, from the predictions
+    kept = x * 1.0
+    target = np.eye(classes)[y]
+    w = fitted.model.coefficientMatrix.toArray() if classes > 2 else np.vstack([-fitted.model.coefficients.toArray(), fitted.model.coefficients.toArray()])
+    gradient = ((ours - target).T @ kept / 600 + w / (2.0 * 600)) / kept.std(axis=0)
+    if classes == 2:
+        gradient = gradient[1:]
+    assert np.abs(gradient - (ours - target).mean(axis=0)[-len(gradient):, None] * (kept.mean(axis=0) / kept.std(axis=0))).max() < 1e-6
+
+
+def test_user_metrics(data):
+    df = data[0]
+
+    def share_right(predictions):
+        return predictions.agg(F.avg((F.col("c") == F.col("prediction")).cast("double"))).first()[0]
+
+    rows = models.cross_validate(df, "decision_tree", X, "c", "classification", "id", folds=2, metrics=["accuracy", share_right])
+    got = {(r["fold"], r["metric"]): r["value"] for r in rows.collect()}
+    assert all(got[f, "accuracy"] == got[f, "share_right"] for f in (0, 1))
+    lower = metrics.scorer(lambda p: p.agg(F.avg(F.abs(F.col("y") - F.col("prediction")))), greater_is_better=False)
+    _, _, scores = models.train(df, df, "linear_regression", X, "y", "regression", metrics=[lower])
+    assert scores[models.metric_name(lower)] == -scores["mae"]
+    study, _ = tune.tune_model(df, "decision_tree", X, "c", "classification", "id", {"max_depth": tune.Param("int", 1, 3)}, n_trials=2, metric=share_right, folds=2)
+    assert study.direction == "maximize" and all(0 < r[2] <= 1 for r in study.frame(df.sparkSession).select("trial", "state", "value").collect())
+
+
 def known(name, params):
     """Only parameters of the model: others are errors (see below)."""
     return {k: v for k, v in params.items() if k in models.PARAMS[name]}
