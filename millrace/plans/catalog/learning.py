@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ...operators import ensemble, models, reports, trials, tune
 from ...operators.split import train_test_split
-from .base import PREDS_CLS_SQL, class_predictions, query, rounded, table
+from .base import PREDS_CLS_SQL, class_predictions, query, rounded, table, union_sql
 
 FEATURES = ["qty", "price", "n_lines", "disc", "tax"]
 KEY = "o_orderkey"
@@ -201,6 +201,27 @@ def k21(spark, d):
     return rounded(models.learning_curve(train, valid, "ridge", FEATURES, "charge", "regression", KEY), 4)
 
 
+LINE = "regr_slope(charge, price) AS a, regr_intercept(charge, price) AS b"
+FIT = "round(1 - avg(pow(charge - a * price - b, 2)) / var_pop(charge), 6)"
+
+
+@query("v5_cross_validate_line", f"""WITH {ORDER_SQL}, f AS (SELECT *, CAST(((row_number() OVER (ORDER BY md5('42:' || o_orderkey)) - 1) * 5) // count(*) OVER () AS INTEGER) AS fold FROM data),
+k AS (SELECT CAST(unnest(range(5)) AS INTEGER) AS k), fits AS (SELECT k, {LINE} FROM f JOIN k ON fold <> k GROUP BY k)
+SELECT fold, 'r2' AS metric, {FIT} AS value FROM f JOIN fits ON fold = k GROUP BY fold
+UNION ALL SELECT fold, 'mae', round(avg(abs(charge - a * price - b)), 6) FROM f JOIN fits ON fold = k GROUP BY fold""")
+def v5b(spark, d):
+    """A line in each fold has a closed form."""
+    return rounded(models.cross_validate(orders_data(spark, d), "linear_regression", ["price"], "charge", "regression", KEY, metrics=["r2", "mae"]))
+
+
+@query("k21_learning_curve_line", f"WITH {ORDER_SQL}{SPLIT_SQL}, t AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || o_orderkey)) AS rn, count(*) OVER () AS n FROM parts WHERE NOT is_test) " + union_sql([
+    f"""SELECT CAST({s} AS DOUBLE) AS size, 0 AS fold, (SELECT {FIT} FROM t WHERE rn <= floor(n * {s})) AS train_score, (SELECT {FIT} FROM parts WHERE is_test) AS valid_score
+    FROM (SELECT {LINE} FROM t WHERE rn <= floor(n * {s}))""" for s in (0.1, 0.25, 0.5, 1.0)]))
+def k21b(spark, d):
+    train, valid = train_test_split(orders_data(spark, d), KEY)
+    return rounded(models.learning_curve(train, valid, "linear_regression", ["price"], "charge", "regression", KEY))
+
+
 # ---- ensembles ------------------------------------------------------------------
 
 VOTES_SQL = f"""WITH {PREDS_CLS_SQL}, v AS (SELECT label, [w0, w1, w2] AS a, [w0 * 0.5, w1, w2 * 1.5] AS b, [w1, w2, w0] AS c FROM preds),

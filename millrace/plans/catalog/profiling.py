@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import association, distribution, profile, target
-from .base import DIRTY_COLUMNS, DIRTY_SQL, dirty_orders, query, rounded, table, union_sql
+from ...operators.reports import bundle_rows
+from .base import DIRTY_COLUMNS, DIRTY_SQL, ORACLES, dirty_orders, query, rounded, table, union_sql
 from ..eda import eda_report
 
 LINE_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -335,11 +336,22 @@ def p27(spark, d):
     return profile.narrow_types(table(spark, d, "lineitem"))
 
 
-@query("p28_eda_report")
+def section_sql(section, key, columns, source):
+    return union_sql([f"SELECT '{section}' AS section, CAST({key} AS VARCHAR) AS key, '{c}' AS name, CAST({c} AS DOUBLE) AS value FROM ({source})" for c in columns])
+
+
+EDA = ["o_custkey", "o_totalprice"]
+
+
+@query("p28_eda_report", WITH + union_sql([
+    section_sql("distributions", "column_name || '/' || bin", ["lower", "upper", "n"],
+                union_sql([f"SELECT '{c}' AS column_name, * FROM ({histogram_sql(c, 'dirty', 30)})" for c in EDA])),
+    section_sql("missing", "column_name", ["missing", "missing_pct"], ORACLES["p5_missing_report"]),
+    section_sql("correlations", "'o_custkey/o_totalprice'", ["r"], "SELECT round(corr(o_custkey, o_totalprice), 6) AS r FROM dirty"),
+    section_sql("target", "bin", ["lower", "upper", "n", "mean", "median"],
+                f"SELECT *, (SELECT round(avg(o_totalprice), 6) FROM dirty) AS mean, (SELECT round(quantile_cont(o_totalprice, 0.5), 6) FROM dirty) AS median FROM ({histogram_sql('o_totalprice', 'dirty', 50)})")]))
 def p28(spark, d):
-    parts = eda_report(dirty_orders(spark, d), "o_totalprice", ["o_custkey", "o_totalprice"])
-    out = None
-    for section, df in parts.items():
-        row = df.select(F.lit(section).alias("section"), F.to_json(F.struct("*")).alias("row"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """All sections of the report, one row for each value."""
+    parts = eda_report(dirty_orders(spark, d), "o_totalprice", EDA)
+    keys = {"distributions": ["column_name", "bin"], "missing": ["column_name"], "correlations": ["left_column", "right_column"], "target": ["bin"]}
+    return bundle_rows({k: rounded(v) for k, v in parts.items()}, keys)

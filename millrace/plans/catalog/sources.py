@@ -87,18 +87,35 @@ def s6(spark, d):
     return io.read_dataset(spark, path)
 
 
-@query("s7_admit_files")
+TEXTS = """texts AS (SELECT o_orderpriority AS name, string_agg(o_orderkey || ',' || o_orderstatus || chr(10), '' ORDER BY o_orderkey) AS t FROM orders GROUP BY 1)"""
+BLOCK = 4096
+DIGEST = f"""CASE WHEN length(t) <= {BLOCK} THEN md5(t) ELSE md5(array_to_string(
+ list_transform(range(0, length(t), {BLOCK}), lambda i: md5(substr(t, CAST(i + 1 AS BIGINT), {BLOCK}))), '')) END"""
+
+
+def order_files(spark, d):
+    """A folder for each priority with one text file, and the name of a file's folder."""
+    path = scratch_path(spark, "orders")
+    rows = table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("name"), F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("value"), "o_orderkey"
+    )
+    rows = rows.repartition("name").sortWithinPartitions("name", "o_orderkey").drop("o_orderkey")
+    rows.write.partitionBy("name").text(path)
+    return f"{path}/name=*/*.txt", F.regexp_extract("path", "name=([^/]+)/", 1).alias("name")
+
+
+@query("s7_admit_files", f"WITH {TEXTS} SELECT name, length(t) AS bytes, CASE WHEN length(t) > 30000 THEN 'file size' END AS reason FROM texts")
 def s7(spark, d):
-    files = io.admit_files(io.list_files(spark, f"{d}/*.parquet"), allowed=["parquet"], max_bytes=1_000_000)
-    return files.select("name", "bytes", "reason")
+    path, name = order_files(spark, d)
+    return io.admit_files(io.list_files(spark, path), allowed=["txt"], max_bytes=30_000).select(name, "bytes", "reason")
 
 
-@query("s8_new_files")
+@query("s8_new_files", f"WITH {TEXTS} SELECT name, {DIGEST} AS hash FROM texts WHERE name <> '5-LOW'")
 def s8(spark, d):
-    """Files of over 64 kB are hashed in blocks."""
-    known = ranges.file_digests(spark, f"{d}/nation.parquet", 1 << 16)
-    found = io.new_files(spark, f"{d}/*.parquet", known, 1 << 16)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "hash")
+    """Files are hashed in blocks; one of them is known."""
+    path, name = order_files(spark, d)
+    known = ranges.file_digests(spark, path.replace("name=*", "name=5-LOW"), BLOCK)
+    return io.new_files(spark, path, known, BLOCK).select(name, "hash")
 
 
 @query("s9_validate_format", f"""WITH {DIRTY_SQL} SELECT 'dirty' AS name, true AS ok, CAST(NULL AS VARCHAR) AS message FROM dirty HAVING count(*) >= 10 AND count(mostly_null) > 0
