@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -13,71 +14,137 @@ from pyspark.sql import functions as F
 
 from ..dist import q
 from ..session import kernel_tasks
-from .neighbors import block_distances
+from .neighbors import euclidean
 
 BLOCK_ROWS = 1024
 
 
+def _labelled(df: DataFrame, features: str, cluster: str, row_id: str) -> DataFrame:
+    return df.select(
+        q(row_id).alias("row_id"),
+        F.transform(q(features), lambda x: x.cast("double")).alias("x"),
+        q(cluster).cast("string").alias("cluster"),
+    )
+
+
+def _members(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct names, and which of them each row has (rows x names)."""
+    found, codes = np.unique(names.astype(str), return_inverse=True)
+    member = np.zeros((len(names), len(found)))
+    member[np.arange(len(names)), codes] = 1.0
+    return found, member
+
+
+def _values(totals: DataFrame) -> DataFrame:
+    """totals (row_id, own, cluster, total, size) -> (row_id, silhouette)."""
+    same, s = F.col("own") == F.col("cluster"), F.col("size")
+    a = F.max(F.when(same & (s > 1), F.col("total") / F.when(s > 1, s - 1)))
+    b = F.min(F.when(~same, F.col("total") / s))
+    means = totals.groupBy("row_id").agg(a.alias("a"), b.alias("b"))
+    value = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
+    return means.select("row_id", F.coalesce(value, F.lit(0.0)).alias("silhouette"))
+
+
 def silhouette(
     df: DataFrame, features: str, cluster: str, row_id: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """(row_id, silhouette) with Euclidean distances, exact.
+    """(row_id, silhouette) with Euclidean distances, exact; ids of any type.
 
     The definition needs the distance of every row to every cluster's rows, so
     work is quadratic.  Rows are hashed into blocks of bounded size; one task
-    handles one pair of blocks with numpy and returns, per row, its distance
-    sum to each cluster, never pairs.  `silhouette_squared` is the linear-time
-    form for large tables.
+    handles one unordered pair of blocks as matrix products and returns, for
+    the rows of both, their distance sums to each cluster, never pairs.
+    `silhouette_estimate` and `silhouette_squared` are the linear-time forms.
     """
-    base = df.select(
-        q(row_id).cast("long").alias("row_id"),
-        F.transform(q(features), lambda x: x.cast("double")).alias("x"),
-        q(cluster).cast("string").alias("cluster"),
-    )
+    base = _labelled(df, features, cluster, row_id)
+    kind = base.schema["row_id"].dataType.simpleString()
     sizes = base.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     n, k = sizes.agg(F.sum("size"), F.count(F.lit(1))).first()
     if not n or k < 2:
-        return df.sparkSession.createDataFrame([], "row_id long, silhouette double")
+        return df.sparkSession.createDataFrame([], f"row_id {kind}, silhouette double")
     blocks = math.ceil(n / block_rows)
     own = F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = base.select("*", own.alias("i")).select("*", every.alias("j"))
-    right = base.select("x", "cluster", own.alias("j")).select("*", every.alias("i"))
+    left = base.select("*", own.alias("i")).select("*", F.explode(F.sequence(F.col("i"), F.lit(blocks - 1))).alias("j"))
+    right = base.select("*", own.alias("j")).select("*", F.explode(F.sequence(F.lit(0), F.col("j"))).alias("i"))
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"row_id": [], "own": [], "cluster": [], "total": []})
-        names, codes = np.unique(b["cluster"].to_numpy().astype(str), return_inverse=True)
-        d = block_distances(np.vstack(a["x"].to_numpy()), np.vstack(b["x"].to_numpy()), 2)
-        member = np.zeros((len(b), len(names)))
-        member[np.arange(len(b)), codes] = 1.0
-        total = d @ member
-        return pd.DataFrame(
-            {
-                "row_id": np.repeat(a["row_id"].to_numpy(), len(names)),
-                "own": np.repeat(a["cluster"].to_numpy(), len(names)),
-                "cluster": np.tile(names, len(a)),
-                "total": total.ravel(),
-            }
-        )
+        d = euclidean(np.vstack(a["x"].to_numpy()), np.vstack(b["x"].to_numpy()))
+        sides = [(a, b, d)]
+        if a["i"].iloc[0] != a["j"].iloc[0]:  # a block with itself is looked at once
+            sides.append((b, a, d.T))
+        out = []
+        for rows, others, away in sides:
+            names, member = _members(others["cluster"].to_numpy())
+            out.append(
+                pd.DataFrame(
+                    {
+                        "row_id": np.repeat(rows["row_id"].to_numpy(), len(names)),
+                        "own": np.repeat(rows["cluster"].to_numpy(), len(names)),
+                        "cluster": np.tile(names, len(rows)),
+                        "total": (away @ member).ravel(),
+                    }
+                )
+            )
+        return pd.concat(out)
 
     tasks = kernel_tasks(df.sparkSession)
     totals = (
         left.repartition(tasks, "i", "j")
         .groupBy("i", "j")
         .cogroup(right.repartition(tasks, "i", "j").groupBy("i", "j"))
-        .applyInPandas(sums, "row_id long, own string, cluster string, total double")
+        .applyInPandas(sums, f"row_id {kind}, own string, cluster string, total double")
         .groupBy("row_id", "own", "cluster")
         .agg(F.sum("total").alias("total"))
         .join(F.broadcast(sizes), "cluster")  # one row per cluster
     )
-    same = F.col("own") == F.col("cluster")
-    s = F.col("size")
-    a = F.max(F.when(same & (s > 1), F.col("total") / F.when(s > 1, s - 1)))
-    b = F.min(F.when(~same, F.col("total") / s))
-    means = totals.groupBy("row_id").agg(a.alias("a"), b.alias("b"))
-    value = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
-    return means.select("row_id", F.coalesce(value, F.lit(0.0)).alias("silhouette"))
+    return _values(totals)
+
+
+def silhouette_estimate(
+    df: DataFrame, features: str, cluster: str, row_id: str, rows: int = 2000, z: float = 1.96, seed: int = 42
+) -> DataFrame:
+    """One row (silhouette, low, high, rows): the mean over `rows` rows, the first by a seeded hash of the id,
+    each compared with all rows, and the interval that holds the exact mean with the confidence of z.
+
+    One pass in linear time; with `rows` not below the table's the value is exact.
+    """
+    base = _labelled(df, features, cluster, row_id)
+    sizes = base.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    n, k = sizes.agg(F.sum("size"), F.count(F.lit(1))).first()
+    spark = df.sparkSession
+    if not n or k < 2:
+        return spark.createDataFrame([(None, None, None, 0)], "silhouette double, low double, high double, rows long")
+    picked = base.orderBy(F.xxhash64(F.lit(seed), "row_id"), "row_id").limit(rows).collect()  # bounded by rows
+    x = np.array([r["x"] for r in picked])
+    clusters = [r["cluster"] for r in picked]
+
+    def run(batches):
+        total: dict[str, np.ndarray] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(at, BLOCK_ROWS)
+                y = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+                names, member = _members(np.array(batch.column("cluster").to_pylist()))
+                for name, column in zip(names, (euclidean(x, y) @ member).T):
+                    total[name] = total.get(name, 0.0) + column
+        for name, column in total.items():
+            place = pa.array(np.arange(len(column)))
+            yield pa.RecordBatch.from_arrays([place, pa.array([name] * len(column)), pa.array(column)], names=["i", "cluster", "total"])
+
+    parts = base.select("x", "cluster").mapInArrow(run, "i long, cluster string, total double")
+    totals = parts.groupBy("i", "cluster").agg(F.sum("total").alias("total")).join(F.broadcast(sizes), "cluster")
+    owners = spark.createDataFrame(list(enumerate(clusters)), "i long, own string")
+    value = _values(totals.join(F.broadcast(owners), "i").withColumnRenamed("i", "row_id"))
+    m = len(picked)
+    # the spread of a mean of m of n rows
+    spread = F.coalesce(F.stddev("silhouette"), F.lit(0.0)) * F.lit(z * math.sqrt((1 - m / n) / m))
+    out = value.agg(F.avg("silhouette").alias("silhouette"), spread.alias("e"))
+    return out.select(
+        "silhouette", (F.col("silhouette") - F.col("e")).alias("low"), (F.col("silhouette") + F.col("e")).alias("high"),
+        F.lit(m).cast("long").alias("rows"),
+    )
 
 
 def silhouette_score(df: DataFrame, features: str, cluster: str, row_id: str, block_rows: int = BLOCK_ROWS) -> DataFrame:

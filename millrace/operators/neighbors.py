@@ -66,6 +66,18 @@ def block_distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
     return np.sqrt(total) if p == 2 else total
 
 
+def euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of rows without missing coordinates by a matrix product; pairs
+    so near that it would lose digits are computed from their differences."""
+    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    square = aa[:, None] + bb[None, :] - 2 * (a @ b.T)
+    i, j = np.nonzero(square <= 1e-6 * (aa[:, None] + bb[None, :]))
+    for at in range(0, len(i), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        square[i[part], j[part]] = ((a[i[part]] - b[j[part]]) ** 2).sum(axis=1)
+    return np.sqrt(np.maximum(square, 0.0))
+
+
 def smallest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k smallest finite entries of each row, ties by column."""
     d = np.where(np.isnan(d), np.inf, d)

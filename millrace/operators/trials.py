@@ -206,10 +206,12 @@ def _grid_front(
     table = F.broadcast(points.sparkSession.createDataFrame(pairs, "worse int, better int, worse_parts int, better_parts int"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     keys = ["worse", "worse_part", "better", "better_part"]
+    # both sides are the same rows: columns of the second get names of their own
     here = rows.withColumnsRenamed({"cell": "worse", "part": "worse_part"}).join(table, "worse")
     here = here.withColumnRenamed("better_parts", "parts").withColumn("better_part", every).select(*keys, *names)
-    there = rows.withColumnsRenamed({"cell": "better", "part": "better_part"}).join(table, "better")
-    there = there.withColumnRenamed("worse_parts", "parts").withColumn("worse_part", every).select(*keys, *names)
+    again = rows.select(F.col("cell").alias("better"), F.col("part").alias("better_part"), *[F.col(n).alias(n) for n in names])
+    there = again.join(table.select(*[F.col(c).alias(c) for c in table.columns]), "better")
+    there = there.withColumnRenamed("worse_parts", "parts").withColumn("worse_part", every).select(*keys, *[F.col(n).alias(n) for n in names])
 
     def losers(worse: pd.DataFrame, better: pd.DataFrame) -> pd.DataFrame:
         if not len(worse) or not len(better):

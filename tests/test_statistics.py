@@ -260,6 +260,27 @@ def test_skyline_of_nothing_and_of_equal_points(spark):
     assert trials._grid_front(same, ["x", "y", "z"]).count() == 1
 
 
+def test_silhouette_estimate(spark):
+    """The interval holds the exact value for most seeds; all rows give it exactly; ids are texts, rows repeat."""
+    rng = np.random.default_rng(17)
+    x = np.vstack([rng.normal(size=(300, 8)), rng.normal(size=(200, 8)) + 1.5, rng.normal(size=(100, 8)) - 2])
+    x[10:20] = x[10]
+    c = [0] * 300 + [1] * 200 + [2] * 100
+    df = spark.createDataFrame([(f"r{i}", r.tolist(), k) for i, (r, k) in enumerate(zip(x, c))], "id string, f array<double>, k int")
+    exact = clusters.silhouette_score(df, "f", "k", "id", block_rows=70).first()[0]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    per = np.stack([d[:, np.array(c) == k].sum(axis=1) for k in range(3)], axis=1)
+    own, size = np.array(c), np.bincount(c)
+    a = per[np.arange(600), own] / (size[own] - 1)
+    per[np.arange(600), own] = np.inf
+    b = (per / size).min(axis=1)
+    assert exact == pytest.approx(((b - a) / np.maximum(a, b)).mean(), abs=1e-9)
+    whole = clusters.silhouette_estimate(df, "f", "k", "id", rows=1000).first()
+    assert whole["rows"] == 600 and whole["low"] == whole["high"] == pytest.approx(exact, abs=1e-9)
+    held = [clusters.silhouette_estimate(df, "f", "k", "id", rows=80, seed=s).first() for s in range(10)]
+    assert sum(r["low"] <= exact <= r["high"] for r in held) >= 8 and all(r["high"] - r["low"] < 0.12 for r in held)
+
+
 def test_select_k_best(spark):
     rng = np.random.default_rng(14)
     y = rng.integers(0, 2, size=300)
