@@ -175,18 +175,26 @@ def kendall_matrix(df: DataFrame, columns: Sequence[str], bucket_rows: int = BUC
     rx, ry = _ranked(pairs, "x", bucket_rows), _ranked(pairs, "y", bucket_rows)
     rows = pairs.join(rx.select("pair", "x", "dense_x"), ["pair", "x"]).join(ry.select("pair", "y", "dense_y"), ["pair", "y"])
 
-    def tied(table, counts, name):
+    def ties(counts):
         n = F.col(counts).cast("decimal(38,0)")
-        return table.groupBy("pair").agg((F.coalesce(F.sum(n * (n - 1)), F.lit(0)).cast("double") / 2).alias(name))
+        return F.coalesce(F.sum(n * (n - 1)), F.lit(0)).cast("double") / 2
 
-    size = F.sum("n").cast("double")
-    n0 = pairs.groupBy("pair").agg((size * (size - 1) / 2).alias("n0"))
+    # all sums of a pair come together in one shuffle
+    size, none = F.sum("n").cast("double"), F.lit(0.0)
+    sums = {name: [none] * i + [value] + [none] * (4 - i) for i, (name, value) in enumerate(
+        (("n0", size * (size - 1) / 2), ("n1", ties("ties_x")), ("n2", ties("ties_y")), ("n3", ties("n"))))}
+    facts = ["n0", "n1", "n2", "n3", "d"]
+
+    def summed(table, name):
+        return table.groupBy("pair").agg(*[c.alias(f) for c, f in zip(sums[name], facts)])
+
+    parts = [summed(pairs, "n0"), summed(rx, "n1"), summed(ry, "n2"), summed(pairs, "n3")]
     top = rx.agg(F.max("dense_x")).first()[0] or 0
     bits = max(int(top).bit_length(), 1)
     level = F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))
     sided = rows.select("pair", "dense_x", "dense_y", "n", level.alias("level"))
     bit = F.expr("shiftright(dense_x, level) & 1")
-    sums = sided.groupBy(
+    steps = sided.groupBy(
         "pair",
         "level",
         F.expr("shiftright(dense_x, level + 1)").alias("high"),
@@ -196,14 +204,13 @@ def kendall_matrix(df: DataFrame, columns: Sequence[str], bucket_rows: int = BUC
         F.sum(F.when(bit == 0, F.col("n")).otherwise(0)).alias("zeros"),
         F.sum(F.when(bit == 1, F.col("n")).otherwise(0)).alias("ones"),
     )
-    run = running_totals(sums, "y", {"larger": "zeros"}, ["pair", "level", "high"], bucket_rows)
-    discordant = run.groupBy("pair").agg(F.sum(F.col("ones").cast("double") * F.col("larger")).alias("d"))
-    counted = n0
-    for table, counts, name in ((rx, "ties_x", "n1"), (ry, "ties_y", "n2"), (pairs, "n", "n3")):
-        counted = counted.join(tied(table, counts, name), "pair")
+    run = running_totals(steps, "y", {"larger": "zeros"}, ["pair", "level", "high"], bucket_rows)
+    discordant = F.sum(F.col("ones").cast("double") * F.col("larger"))
+    parts.append(run.groupBy("pair").agg(*[none.alias(f) for f in facts[:4]], discordant.alias("d")))
+    counted = reduce(DataFrame.unionByName, parts).groupBy("pair").agg(*[F.sum(f).alias(f) for f in facts])
     scale = F.sqrt((F.col("n0") - F.col("n1")) * (F.col("n0") - F.col("n2")))
     tau = F.col("n0") - F.col("n1") - F.col("n2") + F.col("n3") - 2.0 * F.col("d")
-    return _by_name(df, names, counted.join(discordant, "pair").select("pair", F.try_divide(tau, scale).alias("r")))
+    return _by_name(df, names, counted.select("pair", F.try_divide(tau, scale).alias("r")))
 
 
 def kendall(df: DataFrame, a: str, b: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
