@@ -162,7 +162,9 @@ def _grid_front(
 
     names, block_points = list(names), block_points or BLOCK_POINTS
     schema = ", ".join(f"{n} double" for n in names) + ", cell int, part int"
-    slices = max(2, int(MOST_CELLS ** (1 / len(names)) + 1e-9))
+    # about half a block of points for each cell
+    wanted = min(MOST_CELLS, 2 * points.count() / block_points)
+    slices = max(2, int(max(wanted, 1.0) ** (1 / len(names)) + 1e-9))
     placed = cut_lineage(_cells(points.select(*[F.col(n).cast("double").alias(n) for n in names]), names, slices))
 
     def sizes(table: DataFrame) -> dict[int, int]:

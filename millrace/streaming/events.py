@@ -95,7 +95,7 @@ def replay_delay(events: DataFrame, time: str = "ts") -> str:
     return f"{int((last - first).total_seconds()) + 1 if first is not None else 1} seconds"
 
 
-def ordered_replay(events: DataFrame, time: str = "ts", slices: int = 20, files: int = 4) -> tuple[DataFrame, str]:
+def ordered_replay(events: DataFrame, time: str = "ts", slices: int = 8, files: int = 4) -> tuple[DataFrame, str]:
     """(stream, delay): a bounded table as a stream in the order of time, and the
     watermark delay with which it loses nothing.
 

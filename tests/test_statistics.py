@@ -253,7 +253,7 @@ def test_skyline_of_many_points(spark):
         assert len(got) > 500
         copies[n] = report["copies"] / report["survivors"]
         assert report["survivors"] < n
-    assert copies[200_000] < 1.5 * copies[50_000] < 150
+    assert max(copies.values()) < 60  # blocks of cells, however many points stay
 
 
 def test_skyline_of_nothing_and_of_equal_points(spark):
