@@ -198,7 +198,8 @@ def _grid_front(
         for b, better in zip(cells, above)
         if int(b) in blocks
         for a in cells[better]
-        if int(a) in blocks and (a != b or blocks[int(a)] > 1)
+        # a cell meets itself if its fronts came from several blocks
+        if int(a) in blocks and (a != b or left[int(a)] > block_points)
     ]
     if report is not None:
         report["survivors"], report["copies"] = sum(kept.values()), sum(kept[b] * n for b, _, _, n in pairs)
