@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from ..dist import q
 from ..session import cached, cut_lineage
+from . import boosting
 from .metrics import (
     accuracy,
     averaged_scores,
@@ -490,6 +491,8 @@ def fit_model(
         return fit_svr(train, features, label, params, name, facts["spread"] or 1.0)
     if name == "adaboost" and task == "regression":
         return fit_adaboost(train, features, label, params)
+    if name == "gradient_boosting" and boosting.handles(params):
+        return boosting.fit_boosting(train, features, label, task, classes, params)
     if task == "classification":
         estimator = classifier(name, label, n, classes, params)
     else:
