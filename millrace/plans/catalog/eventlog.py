@@ -50,8 +50,10 @@ def r1(spark, d):
 
 @query("r1_newest_per_session_stream", newest_sql(1000))
 def r1b(spark, d):
-    stream, delay = streaming.ordered_replay(log(spark, d))
-    kept = streaming.run_to_table(streaming.newest_candidates(stream, delay=delay), "append")
+    events = log(spark, d)
+    stream, delay = streaming.ordered_replay(events)
+    groups = max(64, events.count() // 8192)
+    kept = streaming.run_to_table(streaming.newest_candidates(stream, delay=delay, groups=groups), "append")
     return eventlog.newest_per_session(kept).select("event_id", "session_id", "event_type")
 
 

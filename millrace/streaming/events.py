@@ -147,40 +147,66 @@ def push_to(
 
 
 def newest_candidates(
-    stream: DataFrame, keep: int = KEEP, ttl_seconds: int = TTL_SECONDS, salts: int = 16, delay: str = "10 minutes"
+    stream: DataFrame,
+    keep: int = KEEP,
+    ttl_seconds: int = TTL_SECONDS,
+    salts: int = 16,
+    delay: str = "10 minutes",
+    groups: int = 1024,
 ) -> DataFrame:
     """Stream of events that were among the newest `keep` of their session when seen.
 
-    State per (session, salt) is the sorted (ts, event_id) list of at most
-    `keep` events, so a hot session is spread over `salts` tasks and state is
-    bounded; it leaves after `ttl` of event time without events.  The newest
-    `keep` of a session are always among the newest `keep` of its salts, so
-    `eventlog.newest_per_session` over the output is the exact list.
+    Events go to one of `groups` groups by a hash of session and salt, so a hot
+    session is spread over `salts` of them, and a batch costs a call for each
+    group, not for each session.  State of a group is, for each session in it, the
+    newest `keep` (ts, event_id); a session leaves after `ttl` of event time
+    without events.  The newest `keep` of a session are always among the newest
+    `keep` of its groups, so `eventlog.newest_per_session` over the output is the
+    exact list.  `groups` should grow with the events that are held, so that one
+    group's stay few (some thousands).
     """
-    schema = stream.select("event_id", "ts", "session_id", "event_type").schema
+    columns = ["event_id", "ts", "session", "event_type"]
+    # one text for each session, also for null; never null itself
+    text = F.coalesce(F.concat(F.lit("="), F.col("session_id").cast("string")), F.lit(""))
+    kind = stream.schema["session_id"].dataType
+    events = stream.select("event_id", "ts", text.alias("session"), "event_type")
+    schema = events.schema
     ids = T.ArrayType(schema["event_id"].dataType)
-    state = T.StructType([T.StructField("micros", T.ArrayType(T.LongType())), T.StructField("ids", ids)])
+    state = T.StructType(
+        [T.StructField("sessions", T.ArrayType(T.StringType())), T.StructField("micros", T.ArrayType(T.LongType())), T.StructField("ids", ids)]
+    )
+    ttl = ttl_seconds * 1_000_000
 
     def update(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        if group.hasTimedOut:
+        watermark = group.getCurrentWatermarkMs()
+        late = group.hasTimedOut
+        held = pd.DataFrame(dict(zip(("session", "micros", "event_id"), map(list, group.get))) if group.exists else {"session": [], "micros": [], "event_id": []})
+        fresh = None if late else pd.concat(list(frames), ignore_index=True)
+        every = held
+        if fresh is not None:
+            micros = fresh["ts"].astype("datetime64[us]").astype("int64")
+            seen = pd.DataFrame({"session": fresh["session"], "micros": micros, "event_id": fresh["event_id"]})
+            every = pd.concat([held, seen], ignore_index=True) if len(held) else seen
+        kept = every.drop_duplicates().sort_values(["session", "micros", "event_id"], ascending=[True, False, False])
+        kept = kept[kept.groupby("session").cumcount() < keep]
+        if fresh is not None:
+            mine = pd.MultiIndex.from_frame(fresh[["session", "event_id"]])
+            yield fresh.loc[mine.isin(pd.MultiIndex.from_frame(kept[["session", "event_id"]])), columns]
+        newest = kept.groupby("session")["micros"].transform("max") + ttl
+        if late:  # sessions that are over leave when their group's time is up
+            alive = newest > watermark * 1000
+            kept, newest = kept[alive], newest[alive]
+        if not len(kept):
             group.remove()
             return
-        held = list(zip(*group.get)) if group.exists else []
-        fresh = pd.concat(list(frames))
-        micros = fresh["ts"].astype("datetime64[us]").astype("int64")
-        ranked = sorted(set(held) | set(zip(micros.tolist(), fresh["event_id"].tolist())), reverse=True)[:keep]
-        group.update(([m for m, _ in ranked], [i for _, i in ranked]))
-        newest = pd.Timestamp(ranked[0][0], unit="us")
-        watermark = group.getCurrentWatermarkMs()
-        group.setTimeoutTimestamp(max(int(newest.timestamp() * 1000) + ttl_seconds * 1000, watermark + 1))
-        kept = {i for _, i in ranked}
-        yield fresh.loc[fresh["event_id"].isin(kept), ["event_id", "ts", "session_id", "event_type"]]
-
-    rows = stream.select("event_id", "ts", "session_id", "event_type").withWatermark("ts", delay)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int"))
-    return salted.groupBy("session_id", "salt").applyInPandasWithState(
-        update, schema, state, "append", GroupStateTimeout.EventTimeTimeout
-    )
+        group.update((kept["session"].tolist(), kept["micros"].tolist(), kept["event_id"].tolist()))
+        group.setTimeoutTimestamp(max(int(newest.min()) // 1000, watermark + 1))
+
+    salt = F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int")
+    grouped = events.withWatermark("ts", delay).withColumn("group", F.pmod(F.xxhash64("session", salt), F.lit(groups)).cast("int"))
+    found = grouped.groupBy("group").applyInPandasWithState(update, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+    session = F.when(F.col("session") != "", F.substring("session", 2, 2**31 - 1)).cast(kind)
+    return found.select("event_id", "ts", session.alias("session_id"), "event_type")
 
 
 def windowed_counts(stream: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
