@@ -108,6 +108,20 @@ def test_nearest_rows_in_many_dimensions(spark, p):
     assert report["cells"] > 15 and report["visited"] < (0.8 if p == 1 else 0.6)
 
 
+def test_visits_of_a_query_do_not_grow_with_the_table(spark):
+    """Cells follow the rows and the own leaf bounds the search: a query compares about as many rows at any size."""
+    visits = {}
+    for n in (2_000, 16_000):
+        df = spark.range(n).select(
+            "id", *[F.rand(seed=i).alias(c) for i, c in enumerate("ab")], F.when(F.col("id") % 9 != 0, F.rand(seed=7)).alias("c"))
+        report: dict = {}
+        got = neighbors.nearest_rows(df.where("id % 20 = 0"), df, ["a", "b", "c"], "id", "id", 3, cell_rows=50, report=report)
+        assert got.where("rank = 1 and query_id <> neighbor_id").isEmpty()
+        assert report["cells"] >= n / 50
+        visits[n] = report["visited"] * report["cells"]
+    assert visits[16_000] < 1.6 * visits[2_000]
+
+
 def test_silhouette_over_blocks(spark):
     rng = np.random.default_rng(6)
     x = np.vstack([rng.normal(size=(60, 2)), rng.normal(size=(30, 2)) + 4, [[9.0, 9.0]]])
