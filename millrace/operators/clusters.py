@@ -17,6 +17,9 @@ from ..session import kernel_tasks
 from .neighbors import euclidean
 
 BLOCK_ROWS = 1024
+#: blocks of rows that a table is cut into, and the most bytes of one block's features
+BLOCKS = 24
+BLOCK_BYTES = 32 << 20
 
 
 def _labelled(df: DataFrame, features: str, cluster: str, row_id: str) -> DataFrame:
@@ -46,14 +49,16 @@ def _values(totals: DataFrame) -> DataFrame:
 
 
 def silhouette(
-    df: DataFrame, features: str, cluster: str, row_id: str, block_rows: int = BLOCK_ROWS
+    df: DataFrame, features: str, cluster: str, row_id: str, block_rows: int | None = None
 ) -> DataFrame:
     """(row_id, silhouette) with Euclidean distances, exact; ids of any type.
 
     The definition needs the distance of every row to every cluster's rows, so
     work is quadratic.  Rows are hashed into blocks of bounded size; one task
-    handles one unordered pair of blocks as matrix products and returns, for
-    the rows of both, their distance sums to each cluster, never pairs.
+    handles one unordered pair of blocks as matrix products of BLOCK_ROWS rows and
+    returns, for the rows of both, their distance sums to each cluster, never pairs.
+    A row is shuffled once for each block, so blocks grow with the table, and what is
+    shuffled is in proportion to it, until a block has BLOCK_BYTES.
     `silhouette_estimate` and `silhouette_squared` are the linear-time forms.
     """
     base = _labelled(df, features, cluster, row_id)
@@ -62,6 +67,9 @@ def silhouette(
     n, k = sizes.agg(F.sum("size"), F.count(F.lit(1))).first()
     if not n or k < 2:
         return df.sparkSession.createDataFrame([], f"row_id {kind}, silhouette double")
+    if block_rows is None:
+        dims = base.agg(F.max(F.size("x"))).first()[0]
+        block_rows = max(BLOCK_ROWS, min(math.ceil(n / BLOCKS), BLOCK_BYTES // (8 * max(dims or 1, 1))))
     blocks = math.ceil(n / block_rows)
     own = F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int")
     left = base.select("*", own.alias("i")).select("*", F.explode(F.sequence(F.col("i"), F.lit(blocks - 1))).alias("j"))
@@ -70,20 +78,26 @@ def silhouette(
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"row_id": [], "own": [], "cluster": [], "total": []})
-        d = euclidean(np.vstack(a["x"].to_numpy()), np.vstack(b["x"].to_numpy()))
-        sides = [(a, b, d)]
+        x, y = np.vstack(a["x"].to_numpy()), np.vstack(b["x"].to_numpy())
+        (a_names, a_member), (b_names, b_member) = _members(a["cluster"].to_numpy()), _members(b["cluster"].to_numpy())
+        to_b, to_a = np.zeros((len(x), len(b_names))), np.zeros((len(y), len(a_names)))
+        for i in range(0, len(x), BLOCK_ROWS):
+            for j in range(0, len(y), BLOCK_ROWS):
+                d = euclidean(x[i : i + BLOCK_ROWS], y[j : j + BLOCK_ROWS])
+                to_b[i : i + BLOCK_ROWS] += d @ b_member[j : j + BLOCK_ROWS]
+                to_a[j : j + BLOCK_ROWS] += d.T @ a_member[i : i + BLOCK_ROWS]
+        sides = [(a, b_names, to_b)]
         if a["i"].iloc[0] != a["j"].iloc[0]:  # a block with itself is looked at once
-            sides.append((b, a, d.T))
+            sides.append((b, a_names, to_a))
         out = []
-        for rows, others, away in sides:
-            names, member = _members(others["cluster"].to_numpy())
+        for rows, names, total in sides:
             out.append(
                 pd.DataFrame(
                     {
                         "row_id": np.repeat(rows["row_id"].to_numpy(), len(names)),
                         "own": np.repeat(rows["cluster"].to_numpy(), len(names)),
                         "cluster": np.tile(names, len(rows)),
-                        "total": (away @ member).ravel(),
+                        "total": total.ravel(),
                     }
                 )
             )
@@ -147,7 +161,7 @@ def silhouette_estimate(
     )
 
 
-def silhouette_score(df: DataFrame, features: str, cluster: str, row_id: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def silhouette_score(df: DataFrame, features: str, cluster: str, row_id: str, block_rows: int | None = None) -> DataFrame:
     return silhouette(df, features, cluster, row_id, block_rows).agg(F.avg("silhouette").alias("silhouette"))
 
 
