@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..dist import exact_quantiles, numeric_columns, q
-from ..session import cached, spread
+from ..session import cut_lineage, spread
 
 TREE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, length double"
 
@@ -97,27 +97,33 @@ def fit_forest(df: DataFrame, columns: Sequence[str], trees: int = 100, sample:
 
 def anomaly_score(spark, forest: dict, columns: Sequence[str]):
     """Column of scores in (0, 1), higher is more isolated; NULL cells count as 0."""
-    shared = spark.sparkContext.broadcast(forest)
+    # one table for all trees; a leaf is its own child, so that every row takes the same steps
+    starts, tables, first = [], [], 0
+    for t in forest["trees"]:
+        size = len(t["feature"])
+        inner, own = t["feature"] >= 0, np.arange(size)
+        child = np.stack([np.where(inner, t["left"], own), np.where(inner, t["right"], own)], axis=1) + first
+        tables.append((np.maximum(t["feature"], 0), np.where(inner, t["cut"], np.inf), child.ravel(), t["length"]))
+        starts.append(first)
+        first += size
+    nodes = [np.concatenate(part) for part in zip(*tables)] if tables else [np.zeros(0)] * 4
+    shared = spark.sparkContext.broadcast((starts, nodes, forest["norm"], forest["depth"]))
 
     @F.pandas_udf(T.DoubleType())
     def score(x: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype="float64")
+        starts, (feature, cut, child, length), norm, depth = shared.value
         m = np.nan_to_num(np.vstack(x.to_numpy()).astype(float))
+        flat, base = m.ravel(), np.arange(len(m)) * m.shape[1]
         total = np.zeros(len(m))
-        for t in shared.value["trees"]:
-            at = np.zeros(len(m), dtype=int)
-            for _ in range(shared.value["depth"] + 1):
-                f = t["feature"][at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                v = m[np.arange(len(m)), np.maximum(f, 0)]
-                step = np.where(v <= t["cut"][at], t["left"][at], t["right"][at])
-                at = np.where(inner, step, at)
-            total += t["length"][at]
-        mean = total / max(len(shared.value["trees"]), 1)
-        return pd.Series(2.0 ** (-mean / max(shared.value["norm"], 1e-12)))
+        for start in starts:
+            at = np.full(len(m), start)
+            for _ in range(depth):
+                at = child[2 * at + (flat[base + feature[at]] > cut[at])]
+            total += length[at]
+        mean = total / max(len(starts), 1)
+        return pd.Series(2.0 ** (-mean / max(norm, 1e-12)))
 
     return score(F.array(*[F.coalesce(q(c).cast("double"), F.lit(0.0)) for c in columns]))
 
@@ -137,7 +143,7 @@ def flag_outliers(
     forest = fit_forest(df, columns, trees=trees, seed=seed)
     n = df.count()
     df = spread(df, n)
-    scored = df.withColumn("_score", anomaly_score(df.sparkSession, forest, columns))
-    with cached(scored.select("_score")) as scores:  # read once for each pass of the quantile
-        limit = exact_quantiles(scores, ["_score"], [1.0 - contamination])["_score"][0]
+    # written once: each pass of the quantile and the result read it
+    scored = cut_lineage(df.withColumn("_score", anomaly_score(df.sparkSession, forest, columns)))
+    limit = exact_quantiles(scored.select("_score"), ["_score"], [1.0 - contamination])["_score"][0]
     return scored.withColumn("is_outlier", F.col("_score") > F.lit(limit)).drop("_score")

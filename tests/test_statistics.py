@@ -214,6 +214,33 @@ def test_knn_imputation_falls_back_to_the_mean(spark):
     assert got[1] == (1.0, 6.0) and got[2] == (1.0, 4.0)
 
 
+def test_blocks_of_the_silhouette_follow_the_table(spark, monkeypatch):
+    """A row is shuffled once for each block: their number must not grow with the rows."""
+    monkeypatch.setattr(clusters, "BLOCK_ROWS", 16)
+    df = spark.range(600).select("id", F.array(F.rand(1), F.rand(2) + F.col("id") % 3).alias("f"), (F.col("id") % 3).alias("k")).cache()
+    got = clusters.silhouette(df, "f", "k", "id")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert f", {clusters.BLOCKS - 1}, " in plan or f", {clusters.BLOCKS - 1})" in plan
+    small = {r[0]: r[1] for r in clusters.silhouette(df, "f", "k", "id", block_rows=40).collect()}
+    assert all(abs(small[r[0]] - r[1]) < 1e-9 for r in got.collect())
+
+
+def test_isolation_scores_are_paths_and_made_once(spark):
+    df = spark.range(400).select("id", *[(F.randn(seed=i) * (i + 1)).alias(c) for i, c in enumerate("abc")]).cache()
+    forest = isolation.fit_forest(df, ["a", "b", "c"], trees=7, sample=64)
+    rows = df.withColumn("s", isolation.anomaly_score(spark, forest, ["a", "b", "c"])).collect()
+    for r in rows[:60]:
+        total = 0.0
+        for t in forest["trees"]:
+            at = 0
+            while t["feature"][at] >= 0:
+                at = t["left"][at] if r["abc"[t["feature"][at]]] <= t["cut"][at] else t["right"][at]
+            total += t["length"][at]
+        assert abs(r["s"] - 2.0 ** (-total / 7 / forest["norm"])) < 1e-12
+    plan = isolation.flag_outliers(df, ["a", "b", "c"])._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan  # the scores are read, not computed again
+
+
 def test_isolation_forest_flags_planted_rows(spark):
     rng = np.random.default_rng(12)
     x = rng.normal(size=(2000, 3))
