@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dist import exact_quantiles, many_quantiles, numeric_columns, q
+from ..session import cut_lineage, kernel_tasks
+
+#: terms whose document frequency is broadcast
+FREQUENT_TERMS = 100_000
 
 
 def date_features(df: DataFrame, column: str) -> DataFrame:
@@ -49,17 +53,31 @@ def text_counts(df: DataFrame, column: str) -> DataFrame:
 def tf_idf(df: DataFrame, row_id: str, column: str) -> DataFrame:
     """(row_id, term, tf, df, tf_idf) with idf = ln((N + 1) / (df + 1)).
 
-    Term counts combine before the shuffle; the document-frequency table is
-    joined on the term, where AQE splits frequent terms.
+    Texts, not their terms, are shuffled to their row id, where a row's terms are
+    counted.  The document frequencies of the FREQUENT_TERMS most frequent terms,
+    which most rows have, are broadcast; only rows of rarer terms are shuffled
+    to theirs.
     """
     total = df.count()
     tf = (
-        df.select(q(row_id), F.explode(tokens(column)).alias("term"))
+        df.select(q(row_id), q(column))
+        .repartition(kernel_tasks(df.sparkSession), q(row_id))
+        .select(q(row_id), F.explode(tokens(column)).alias("term"))
         .groupBy(row_id, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    seen = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return tf.join(seen, "term").select(
+    twice = df.groupBy(row_id).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    if twice.isEmpty():  # a row is a document: its terms are told apart in place
+        terms = df.select(F.explode(F.array_distinct(tokens(column))).alias("term"))
+    else:
+        terms = tf
+    seen = cut_lineage(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    top = seen.orderBy(F.col("df").desc(), "term").limit(FREQUENT_TERMS)
+    joined = tf.join(F.broadcast(top), "term")
+    if seen.count() > FREQUENT_TERMS:
+        rare = tf.join(F.broadcast(top), "term", "left_anti").join(seen, "term")
+        joined = joined.unionByName(rare)
+    return joined.select(
         row_id,
         "term",
         "tf",
