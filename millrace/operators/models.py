@@ -15,6 +15,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Transformer
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
@@ -40,6 +41,8 @@ from .neighbors import knn_predict
 
 SEED = 42
 TASK_ROWS = 50_000
+#: rows that a pass lifts at once
+PASS_ROWS = 4096
 
 
 # ---- fitted models -------------------------------------------------------------
@@ -314,19 +317,26 @@ class FourierLift:
     w: np.ndarray
     b: np.ndarray
 
+    def raw(self) -> Column:
+        """The features as an array, means for missing ones."""
+        return F.array(*[F.coalesce(q(c).cast("double"), F.lit(float(m))) for c, m in zip(self.features, self.mean)])
+
     def __call__(self, table: DataFrame) -> DataFrame:
-        mean, std, w, b = self.mean, self.std, self.w, self.b
-        scale = math.sqrt(2.0 / len(b))
+        project = self.projection()
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def project(x: pd.Series) -> pd.Series:
+        def lifted(x: pd.Series) -> pd.Series:
             if not len(x):
                 return pd.Series([], dtype=object)
-            z = (np.vstack(x.to_numpy()) - mean) / std
-            return pd.Series(list(scale * np.cos(z @ w + b)))
+            return pd.Series(list(project(np.vstack(x.to_numpy()))))
+
+        return table.withColumn("_features", array_to_vector(lifted(self.raw())))
 
-        raw = F.array(*[F.coalesce(q(c).cast("double"), F.lit(float(m))) for c, m in zip(self.features, mean)])
-        return table.withColumn("_features", array_to_vector(project(raw)))
+    def projection(self) -> Callable[[np.ndarray], np.ndarray]:
+        """From rows of `raw` to their lifted features."""
+        mean, std, w, b = self.mean, self.std, self.w, self.b
+        scale = math.sqrt(2.0 / len(b))
+        return lambda x: scale * np.cos((x - mean) / std @ w + b)
 
 
 def fourier_features(df: DataFrame, features: Sequence[str], size: int, gamma: float | None, seed: int = SEED):
@@ -372,7 +382,8 @@ def fit_svr(df: DataFrame, features: Sequence[str], label: str, params: dict, na
     Minimises |w|^2 / 2 + C sum max(0, |y - wx - b| - epsilon).  Residuals
     outside the tube get weight C / (distance to the tube) and the tube's edge
     as target, those inside none; one aggregation of a (size + 1)^2 matrix a
-    step, halved steps while the loss grows.
+    step, halved steps while the loss grows.  The table is kept with its raw
+    features; a pass lifts them and returns one matrix from each task.
     """
     if name == "svm":
         lift = fourier_features(df, features, int(params.get("components", 100)), params.get("gamma"))
@@ -380,29 +391,40 @@ def fit_svr(df: DataFrame, features: Sequence[str], label: str, params: dict, na
         def lift(table):
             return assemble(table, features)
     c, tube = float(params.get("C", 1.0)), float(params.get("epsilon", 0.1))
-    rows = lift(df).select(vector_to_array("_features").alias("x"), q(label).cast("double").alias("y"))
+    if name == "svm":
+        raw, project = lift.raw(), lift.projection()
+    else:
+        raw = F.array(*[F.coalesce(q(f).cast("double"), F.lit(float("nan"))) for f in features])
+        project = np.asarray
+    rows = df.select(raw.alias("x"), q(label).cast("double").alias("y"))
     floor = 1e-3 * spread
 
     def step(at: np.ndarray | None):
-        def run(frames):
-            for pdf in frames:
-                if not len(pdf):
-                    continue
-                x = np.hstack([np.vstack(pdf["x"].to_numpy()), np.ones((len(pdf), 1))])
-                y = pdf["y"].to_numpy()
-                if at is None:
-                    weight, target, loss = np.full(len(y), c / spread), y, 0.0
-                else:
-                    r = y - x @ at
-                    over = np.abs(r) - tube
-                    weight = np.where(over > 0, c / np.maximum(over, floor), 0.0)
-                    target, loss = y - np.sign(r) * tube, c * np.maximum(over, 0).sum()
-                left, right = (x * weight[:, None]).T @ x, (x * weight[:, None]).T @ target
-                yield pd.DataFrame({"m": [np.append(left.ravel(), [*right, loss]).tolist()]})
-
-        parts = ready.mapInPandas(run, "m array<double>").select(F.posexplode("m").alias("i", "v"))
-        sums = parts.groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # (size + 1)^2 numbers
-        flat = np.array([r["v"] for r in sums])
+        def run(batches):
+            total = 0.0
+            for whole in batches:
+                for first in range(0, whole.num_rows, PASS_ROWS):
+                    batch = whole.slice(first, PASS_ROWS)
+                    x = project(batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1))
+                    x = np.hstack([x, np.ones((len(x), 1))])
+                    y = batch.column("y").to_numpy()
+                    if at is None:
+                        weight, target, loss = np.full(len(y), c / spread), y, 0.0
+                    else:
+                        r = y - x @ at
+                        over = np.abs(r) - tube
+                        weight = np.where(over > 0, c / np.maximum(over, floor), 0.0)
+                        target, loss = y - np.sign(r) * tube, c * np.maximum(over, 0).sum()
+                    weighted = (x * weight[:, None]).T
+                    total = total + np.append((weighted @ x).ravel(), [*(weighted @ target), loss])
+            if np.ndim(total):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "v"])
+
+        parts = ready.mapInArrow(run, "i int, v double")
+        sums = parts.groupBy("i").agg(F.sum("v").alias("v")).collect()  # (size + 1)^2 numbers
+        flat = np.zeros(len(sums))
+        for r in sums:
+            flat[r["i"]] = r["v"]
         k = int(round((-1 + math.sqrt(1 + 4 * (len(flat) - 1))) / 2))
         return flat[: k * k].reshape(k, k), flat[k * k : -1], flat[-1]
 
