@@ -18,7 +18,7 @@ from pyspark.ml.linalg import DenseMatrix, DenseVector, Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: step lengths tried in one pass
+#: step lengths: the first alone, the others in one pass where it gains too little
 LENGTHS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
 #: parameters (classes x features) up to which Newton's system is formed
 MOST_PARAMETERS = 400
@@ -143,9 +143,15 @@ def fit_softmax(
     while np.abs(gradient).max() > tolerance and passes < most_passes:
         # intercepts of all classes may move together: the least step is taken
         step = np.linalg.lstsq(hessian, gradient.ravel(), rcond=1e-12)[0].reshape(theta.shape)
-        tries = [theta - s * step for s in LENGTHS]
+        tries = [theta - LENGTHS[0] * step]
         found = [whole(t, f) for t, f in zip(tries, _pass(table, classes, width, middle, scale, tries))]
         passes += 1
+        # the whole step, unless it gains much less than the quadratic form promises
+        if not value - found[0][0] >= 0.25 * (gradient * step).sum():
+            more = [theta - s * step for s in LENGTHS[1:]]
+            found += [whole(t, f) for t, f in zip(more, _pass(table, classes, width, middle, scale, more))]
+            tries += more
+            passes += 1
         best = int(np.argmin([f[0] for f in found]))
         if found[best][0] >= value:
             break

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import ensemble, metrics, models, tune
+from millrace.operators import ensemble, logistic, metrics, models, tune
 from millrace.operators.split import train_test_split
 
 X = ["a", "b"]
@@ -144,6 +144,24 @@ def test_support_vectors_ignore_what_is_inside_the_tube(spark):
     assert abs(model.weights[0] - 2.0) < 0.05 and abs(model.intercept - 1.0) < 1.0
 
 
+def test_kernel_regression_keeps_raw_features(data, monkeypatch):
+    """The lifted features, a hundred numbers a row, are made in the passes and never kept."""
+    kept = []
+    real = models.cached
+    monkeypatch.setattr(models, "cached", lambda df: kept.append(df) or real(df))
+    params = {"components": 60, "max_iter": 5}
+    model = models.fit_model(data[0], "svm", X, "y", "regression", params)
+    assert len(kept) == 1 and len(kept[0].first()["x"]) == len(X) and len(model.weights) == 60
+
+
+def test_newton_tries_one_step_at_a_time(data, monkeypatch):
+    tries = []
+    real = logistic._pass
+    monkeypatch.setattr(logistic, "_pass", lambda *a: tries.append(len(a[-1])) or real(*a))
+    model = models.fit_model(data[0], "logistic_regression", X, "c", "classification").model
+    assert model.gradient < 1e-9 and sum(tries) < 3 * len(tries)
+
+
 @pytest.mark.parametrize("name", models.CLASSIFIERS)
 def test_classifiers_learn(data, name):
     df = data[0]
