@@ -29,6 +29,8 @@ GRID = 500
 BUCKET_ROWS = 50_000
 #: a few hundred million distinct values; beyond that buckets grow
 MAX_BUCKETS = 8192
+#: rows of a task that sorts buckets
+SORT_ROWS = 1_000_000
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -240,6 +242,9 @@ def running_totals(
 
     part, df = list(partition), cut_lineage(df)
     tagged = range_buckets(df, order, bucket_rows=bucket_rows)
+    tasks = -(-df.count() // SORT_ROWS)
+    if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):  # a task sorts no more for a larger table
+        tagged = tagged.repartition(tasks, *part, "_bucket")
     before = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )

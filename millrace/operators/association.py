@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..dist import BUCKET_ROWS, numeric_columns, q, running_totals
+from ..dist import BUCKET_ROWS, SMALL_ROWS, numeric_columns, q, running_totals
 from ..session import cut_lineage
 
 PAIRS_PER_PASS = 400
+#: cells of a task that ranks are joined to or gathered in
+TASK_CELLS = 1_000_000
 
 
 def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -89,12 +91,42 @@ def _rank_sets(wide: DataFrame, width: int) -> tuple[list[tuple[int, int]], dict
     return sets, place
 
 
-def spearman_matrix(df: DataFrame, columns: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def _frequent(ranks: DataFrame, least: float, sets: list[tuple[int, int]], width: int):
+    """Kernel from rows (row, c0, c1, ...) to the same rows with `v`, the rank of each set: 0 where the row is
+    not in the set, NaN where its value has fewer than `least` rows.  All other values are a table of a bounded size."""
+    rows = ranks.where(F.col("n") >= least).select("set", "value", "rank").toPandas()
+    known = []
+    for s in range(len(sets)):
+        mine = rows[rows["set"] == s].sort_values("value")
+        known.append((mine["value"].to_numpy(), mine["rank"].to_numpy()))
+
+    def look_up(batches):
+        for batch in batches:
+            x = [batch.column(f"c{i}") for i in range(width)]
+            there = [c.is_valid().to_numpy(zero_copy_only=False) for c in x]
+            x = [c.fill_null(0.0).to_numpy() for c in x]
+            v = np.zeros((batch.num_rows, len(sets)))
+            for s, ((a, b), (values, rank)) in enumerate(zip(sets, known)):
+                found = np.full(batch.num_rows, np.nan)
+                if len(values):
+                    at = np.minimum(np.searchsorted(values, x[a]), len(values) - 1)
+                    found = np.where(values[at] == x[a], rank[at], np.nan)
+                v[:, s] = np.where(there[a] & there[b], found, 0.0)
+            ends = pa.array(np.arange(0, v.size + 1, len(sets), dtype=np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "v"])
+
+    return look_up
+
+
+def spearman_matrix(df: DataFrame, columns: Sequence[str], bucket_rows: int = BUCKET_ROWS, frequent: int = SMALL_ROWS, task_cells: int = TASK_CELLS) -> DataFrame:
     """(left_column, right_column, r) for i < j, pairwise complete: Pearson on average ranks.
 
     All columns are ranked together, as rows (set, value), in one pass of
-    prefix sums; ranks return to their rows by one join, and one Gram matrix of
-    the rank vectors has all pairs.  The number of jobs does not depend on the
+    prefix sums.  The ranks of frequent values, at most `frequent` of them, are
+    looked up; those of the others return by one join, whose tasks get about
+    `task_cells` cells each and no value of many rows.  One Gram matrix of the
+    rank vectors has all pairs.  The number of jobs does not depend on the
     number of columns; more sets than columns are ranked only where patterns of
     missing values differ.
     """
@@ -111,13 +143,33 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], bucket_rows: int = BU
     ]
     long = wide.select("row", F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
     counts = long.groupBy("set", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranks = running_totals(counts, "value", {"before": "n"}, ["set"], bucket_rows)
+    before = cut_lineage(running_totals(counts, "value", {"before": "n"}, ["set"], bucket_rows))
     # ranks are counted from the middle of each set
-    sizes = counts.groupBy("set").agg(((F.sum("n") + 1) / 2).alias("mid"))
-    ranks = ranks.join(F.broadcast(sizes), "set")  # one row for each set
-    ranks = ranks.select("set", "value", (F.col("before") + (F.col("n") + 1) / 2 - F.col("mid")).alias("rank"))
-    cell = [F.coalesce(F.max(F.when(F.col("set") == i, F.col("rank"))), F.lit(0.0)) for i in range(len(sets))]
-    vectors = long.join(ranks, ["set", "value"]).groupBy("row").agg(F.array(*cell).alias("v"))
+    sizes = before.groupBy("set").agg(((F.sum("n") + 1) / 2).alias("mid"))
+    ranks = before.join(F.broadcast(sizes), "set")  # one row for each set
+    ranks = ranks.select("set", "value", "n", (F.col("before") + (F.col("n") + 1) / 2 - F.col("mid")).alias("rank"))
+    least = (before.agg(F.sum("n")).first()[0] or 0) / frequent
+    few = F.col("n") < least
+    rare = before.where(few).groupBy("set").agg(F.sum("n").alias("n")).collect()  # one row for each set
+    found = wide.mapInArrow(_frequent(ranks, least, sets, len(columns)), f"{', '.join(f'{c} {t}' for c, t in wide.dtypes)}, v array<double>")
+    vectors = found.select("v")
+    if rare:
+        lost = [F.isnan(F.col("v")[r["set"]]) for r in rare]
+        some = reduce(lambda a, b: a | b, lost)
+        open_ = [F.when(i, F.struct(F.lit(r["set"]).alias("set"), F.col(f"c{sets[r['set']][0]}").alias("value"))) for i, r in zip(lost, rare)]
+        tasks = -(-sum(r["n"] for r in rare) // task_cells)
+        looked = found.where(some).select("row", "v", F.posexplode(F.filter(F.array(*open_), lambda c: c.isNotNull())))
+        # the vector of a row travels with its first cell
+        looked = looked.select("row", "col.set", "col.value", F.when(F.col("pos") == 0, F.col("v")).alias("v"))
+        keys = ["set", "value"]
+        looked = looked.repartition(tasks, *keys).join(ranks.where(few).drop("n").repartition(tasks, *keys), keys)
+        if len(rare) > 1:
+            cell = [F.max(F.when(F.col("set") == i, F.col("rank"))) for i in range(len(sets))]
+            looked = looked.repartition(tasks, "row").groupBy("row").agg(F.array(*cell).alias("rank"), F.first("v", ignorenulls=True).alias("v"))
+            full = F.zip_with("v", "rank", lambda v, rank: F.coalesce(rank, v))
+        else:
+            full = F.transform("v", lambda v, i: F.when(i == F.col("set"), F.col("rank")).otherwise(v))
+        vectors = vectors.where(~some).unionByName(looked.select(full.alias("v")))
     left = [place[columns.index(a), columns.index(b)] for a, b in pairs]
     right = [place[columns.index(b), columns.index(a)] for a, b in pairs]
 
@@ -131,7 +183,7 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], bucket_rows: int = BU
             names=["pair", "xy", "xx", "yy"],
         )
 
-    sums = vectors.select("v").mapInArrow(gram, "pair int, xy double, xx double, yy double")
+    sums = vectors.mapInArrow(gram, "pair int, xy double, xx double, yy double")
     r = F.try_divide(F.sum("xy"), F.sqrt(F.sum("xx") * F.sum("yy")))
     return _by_name(df, pairs, sums.groupBy("pair").agg(r.alias("r")))
 

@@ -371,3 +371,18 @@ def test_rank_correlations_without_rows(spark):
     for ours in (association.spearman_matrix, association.kendall_matrix):
         assert [tuple(r) for r in ours(df, ["a", "b"]).collect()] == [("a", "b", None)]
         assert ours(df, ["a"]).collect() == []
+
+
+def test_rank_correlations_look_up_frequent_values(spark):
+    """Frequent values never reach the join, whose tasks follow the rows: a value of half the rows would meet in one."""
+    rng = np.random.default_rng(5)
+    data = pd.DataFrame({"a": rng.permutation(600) / 7, "b": rng.integers(0, 3, 600) * 1.0, "c": np.where(rng.random(600) < 0.5, 0.0, rng.permutation(600))})
+    data.loc[rng.random(600) < 0.2, "c"] = None
+    for columns in (["a", "b"], ["a", "b", "c"]):
+        df = spark.createDataFrame(data[columns]).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns])
+        found = association.spearman_matrix(df, columns, bucket_rows=50, frequent=20, task_cells=100)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [set" in plan
+        for r in found.collect():
+            x, y = (ranks(v) for v in data[[r["left_column"], r["right_column"]]].dropna().to_numpy().T)
+            assert r["r"] == pytest.approx(np.corrcoef(x, y)[0, 1])
