@@ -97,8 +97,8 @@ def thresholds(df: DataFrame, features: Sequence[str], bins: int) -> list[np.nda
     return out
 
 
-def _cells(df: DataFrame, features: Sequence[str], label: str, classes: int, cuts: list[np.ndarray]) -> DataFrame:
-    """(bins, n, y): the number of rows of each cell and, for each booster, its sum of labels or of rows of its class."""
+def binned(df: DataFrame, features: Sequence[str], label: str, cuts: list[np.ndarray]) -> DataFrame:
+    """(bins, y): the bins of each row's features, and its label."""
     split = [i for i, c in enumerate(cuts) if len(c)]
     work = df.select(*[_number(c).alias(f"x{i}") for i, c in enumerate(features)], q(label).cast("double").alias("y"))
     if split:
@@ -106,11 +106,17 @@ def _cells(df: DataFrame, features: Sequence[str], label: str, classes: int, cut
         edges = [[-np.inf, *np.nextafter(cuts[i], np.inf).tolist(), np.inf] for i in split]
         work = Bucketizer(splitsArray=edges, inputCols=[f"x{i}" for i in split], outputCols=[f"b{i}" for i in split], handleInvalid="keep").transform(work)
     bins = [F.least(F.col(f"b{i}"), F.lit(float(len(c)))).cast("short") if len(c) else F.lit(0).cast("short") for i, c in enumerate(cuts)]
+    return work.select(F.array(*bins).alias("bins"), "y")
+
+
+def _cells(df: DataFrame, features: Sequence[str], label: str, classes: int, cuts: list[np.ndarray]) -> DataFrame:
+    """(bins, n, y): the number of rows of each cell and, for each booster, its sum of labels or of rows of its class."""
+    work = binned(df, features, label, cuts)
     if classes:
         sums = [F.count(F.when(F.col("y") == k, 1)).cast("double") for k in boosters(classes)]
     else:
         sums = [F.sum("y")]
-    return work.groupBy(F.array(*bins).alias("bins")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.array(*sums).alias("y"))
+    return work.groupBy("bins").agg(F.count(F.lit(1)).cast("double").alias("n"), F.array(*sums).alias("y"))
 
 
 def boosters(classes: int) -> list[int]:

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from ..dist import q
 from ..session import cached, cut_lineage
-from . import boosting
+from . import boosting, forest
 from .metrics import (
     accuracy,
     averaged_scores,
@@ -515,6 +515,8 @@ def fit_model(
         return fit_adaboost(train, features, label, params)
     if name == "gradient_boosting" and boosting.handles(params):
         return boosting.fit_boosting(train, features, label, task, classes, params)
+    if name in ("random_forest", "decision_tree") and forest.handles(params, task, len(features)):
+        return forest.fit_forest(train, name, features, label, task, classes, params)
     if task == "classification":
         estimator = classifier(name, label, n, classes, params)
     else:
