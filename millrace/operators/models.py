@@ -515,7 +515,7 @@ def fit_model(
         return fit_adaboost(train, features, label, params)
     if name == "gradient_boosting" and boosting.handles(params):
         return boosting.fit_boosting(train, features, label, task, classes, params)
-    if name in ("random_forest", "decision_tree") and forest.handles(params, task, len(features)):
+    if name == "random_forest" and task == "regression" and forest.handles(params, task, len(features)):
         return forest.fit_forest(train, name, features, label, task, classes, params)
     if task == "classification":
         estimator = classifier(name, label, n, classes, params)

@@ -25,8 +25,7 @@ def rows(spark):
 def test_trees_are_those_of_rows(rows):
     ready = models.assemble(rows, X)
     for label, task, solver in (("y", "regression", R.DecisionTreeRegressor), ("c", "classification", C.DecisionTreeClassifier)):
-        model = models.fit_model(rows, "decision_tree", X, label, task)
-        assert isinstance(model, forest.Forest)
+        model = forest.fit_forest(rows, "decision_tree", X, label, task, 3 if task == "classification" else 0, {})
         theirs = solver(featuresCol="_features", labelCol=label).fit(ready)
         both = model.transform(rows).join(theirs.transform(ready).select("id", F.col("prediction").alias("p")), "id")
         assert both.where(F.abs(F.col("prediction") - F.col("p")) > 1e-9).isEmpty()
@@ -38,7 +37,7 @@ def test_forests_score_as_those_of_rows(spark, rows):
     ready, sc = models.assemble(rows, X), spark.sparkContext
     for label, task, metric, solver in (("y", "regression", "r2", R.RandomForestRegressor), ("c", "classification", "accuracy", C.RandomForestClassifier)):
         sc.setJobGroup(f"forest-{task}", "")
-        model = models.fit_model(rows, "random_forest", X, label, task, {"n_estimators": 60})
+        model = forest.fit_forest(rows, "random_forest", X, label, task, 3 if task == "classification" else 0, {"n_estimators": 60})
         sc.setLocalProperty("spark.jobGroup.id", None)
         assert len(model.trees) == 60 and len(sc.statusTracker().getJobIdsForGroup(f"forest-{task}")) <= 30
         theirs = solver(featuresCol="_features", labelCol=label, numTrees=60, seed=1).fit(ready).transform(ready)
@@ -55,4 +54,5 @@ def test_bags_hold_rows_and_not_units(spark):
     assert half.max() <= 9 and half.var() == pytest.approx(2.25, abs=0.3)
     one = spark.createDataFrame([(1.0, 5.0)], "a double, y double")
     for k in (1, 5):
-        assert models.fit_model(one, "random_forest", ["a"], "y", "regression", {"n_estimators": k}).transform(one).first()["prediction"] == 5.0
+        model = models.fit_model(one, "random_forest", ["a"], "y", "regression", {"n_estimators": k})
+        assert isinstance(model, forest.Forest) and model.transform(one).first()["prediction"] == 5.0
